@@ -112,7 +112,9 @@ class Transition:
         states = np.empty((n + 1, width), np.int32)
         wakes = np.empty((n + 1, width), np.int64)
         states[n], wakes[n] = every, AWAKE
-        wakes_at = np.searchsorted(times, times + cooldown, "left")
+        wakes_at = np.maximum(
+            np.searchsorted(times, times + cooldown, "left"), np.arange(1, n + 1)
+        )
         for i in range(n - 1, -1, -1):
             moved = every if targets is None else targets[i]
             if wakes_at[i] < n:
