@@ -8,7 +8,10 @@ from musterroll.functions.phases import lookup
 from musterroll.operators import rollup
 from musterroll.plans import roles
 from musterroll.plans.registry import query
-from musterroll.streaming import replay, ticks
+from musterroll.plans.rollups import JOB_RUNS_SQL
+from musterroll.session import scratch_path
+from musterroll.sources.snapshot import read_watch
+from musterroll.streaming import live, replay, ticks
 
 AS_OF = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 
@@ -98,3 +101,97 @@ def preferred_source(spark, sf):
 @query("t8_tick_samples", roles=("watch", "ticks"), sql="SELECT key, ts FROM ticks")
 def tick_samples(spark, sf):
     return ticks.tick_samples(roles.watch(spark, sf), ["key"], "ts", roles.HOUR)
+
+
+# --- streams over the event files ----------------------------------------------------
+
+
+def live_watch(spark, sf):
+    """The event file as a stream with the watch columns."""
+    schema = roles.table(spark, sf, "events").schema
+    return roles.watch_columns(read_watch(spark, sf, schema, files="events.parquet"))
+
+
+@query("s2_read_watch", roles=("watch",), sql="""
+    SELECT key, seq, ts, event_type, phase, target, patch FROM watch""")
+def read_watch_query(spark, sf):
+    seen = live.run_available(live_watch(spark, sf), "watch")
+    return seen.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("t4_coalesce_updates", roles=("watch",), sql="""
+    SELECT key, seq, ts, target FROM watch
+    QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) = 1
+    UNION ALL SELECT -cluster_id - 1, -1, TIMESTAMP '2020-01-01', minimum
+    FROM (SELECT c_custkey AS cluster_id, CAST(c_custkey % 5 AS INTEGER) AS minimum FROM customer)
+    UNION ALL SELECT cluster_id, -1, TIMESTAMP '2020-01-01', minimum
+    FROM (SELECT c_custkey AS cluster_id, CAST(c_custkey % 5 AS INTEGER) AS minimum FROM customer)
+    WHERE cluster_id NOT IN (SELECT key FROM watch)""")
+def coalesce_updates(spark, sf):
+    updates = live_watch(spark, sf).select("key", "seq", "ts", "target")
+    start = roles.watch_clusters(spark, sf).select(
+        "key", F.lit(-1).cast("long").alias("seq"),
+        F.expr("TIMESTAMP_NTZ'2020-01-01'").cast("timestamp").alias("ts"),
+        F.col("minimum").alias("target"),
+    )
+    start = start.unionByName(start.withColumn("key", -F.col("key") - 1))
+    path = scratch_path(spark, "replicas")
+    table = live.coalesce_updates(updates, start, ["key"], ["ts", "seq"], path)
+    return table.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("t5_job_runs_stream", roles=("watch",), sql=JOB_RUNS_SQL)
+def job_runs_stream(spark, sf):
+    events = live_watch(spark, sf).select("key", "seq", "ts", "phase")
+    return live.job_runs_stream(
+        events, "key", "ts", "phase", ["ts", "seq"], scratch_path(spark, "jobs")
+    )
+
+
+@query("t6_ready_within_stream", roles=("watch",), sql="""
+    , e AS (SELECT * FROM watch WHERE event_type IN ('signup', 'click'))
+    SELECT c.key, c.seq, c.ts, min(r.ts) AS ready_ts,
+           CASE WHEN min(r.ts) IS NULL THEN 'timed_out' ELSE 'ready' END AS outcome
+    FROM (SELECT * FROM e WHERE event_type = 'signup') c
+    LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') r
+    ON r.key = c.key AND r.ts >= c.ts AND r.ts < c.ts + INTERVAL 6 HOUR
+    WHERE (epoch_us(c.ts) // 21600000000 + 2) * 21600000000
+          <= (SELECT epoch_us(max(ts)) FROM e) // 1000 * 1000
+    GROUP BY c.key, c.seq, c.ts""")
+def ready_within_stream(spark, sf):
+    events = live_watch(spark, sf).select("key", "seq", "ts", "event_type")
+    settled = live.ready_within_stream(
+        events, "key", "ts", "seq", F.col("event_type") == "signup",
+        F.col("event_type") == "click", roles.READY_TIMEOUT,
+    )
+    return live.run_available(settled, "ready").withColumnRenamed("t", "ts")
+
+
+# A change at the watermark itself may still be joined by an equally late one.
+_FINAL = " AND ts < (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) FROM watch)"
+
+
+@query("t1_replay_autoscaler_stream", roles=("watch", "clusters"), sql=_AUTOSCALER_SQL + _FINAL)
+def replay_autoscaler_stream(spark, sf):
+    changes = live.replay_autoscaler_stream(
+        live_watch(spark, sf), roles.watch_clusters(spark, sf), "key", "ts", "seq", "target",
+        "minimum", "maximum", "minimum", roles.COOLDOWN,
+    )
+    return live.run_available(changes, "autoscaler").withColumnRenamed("t", "ts")
+
+
+@query("t2_idle_shutdowns_stream", roles=("watch", "clusters"), sql=_IDLE_SQL.replace(
+    "TIMESTAMP '2024-02-01'", """(SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000 - 1)
+    FROM watch JOIN clusters ON cluster_id = key WHERE idle_timeout_s > 0)"""))
+def idle_shutdowns_stream(spark, sf):
+    shutdowns = live.idle_shutdowns_stream(
+        live_watch(spark, sf), roles.watch_clusters(spark, sf), "key", "ts", "seq",
+        "idle_timeout_s",
+    )
+    return live.run_available(shutdowns, "idle")
+
+
+@query("t3_throttle_stream", roles=("watch",), sql=_THROTTLE_SQL + _FINAL)
+def throttle_stream(spark, sf):
+    kept = live.throttle_stream(live_watch(spark, sf), "key", "ts", "seq", roles.COOLDOWN)
+    return live.run_available(kept, "throttle").withColumnRenamed("t", "ts")
