@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from musterroll.operators.relate import orphans
 from musterroll.sources.schemas import schema_of
 
+FILES_PER_BATCH = 64
+
 
 def read_snapshot(
     spark: SparkSession,
@@ -36,13 +38,17 @@ def read_watch(
     ts: str = "ts",
     lateness: str = "0 seconds",
     files: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
     """The change feed as a stream with event time, from files that keep arriving.
 
+    A backlog is taken in batches of ``files_per_batch`` files, which bounds what one key
+    can bring into one task.
+
     Zone-less times become session-zone timestamps, which a watermark requires; keep
     the session in UTC.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if files is not None:
         reader = reader.option("pathGlobFilter", files)
     feed = reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))

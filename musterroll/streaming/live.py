@@ -36,10 +36,15 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over the files present and return the table it wrote."""
+def run_available(
+    stream: DataFrame, label: str, mode: str = "append", path: str | None = None
+) -> DataFrame:
+    """Run a stream over the files present and return the table it wrote.
+
+    With the ``path`` of an earlier run it goes on from that run's checkpoint.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     with rocksdb_state(spark):
         query = (
             stream.writeStream.format("parquet").outputMode(mode)
@@ -69,17 +74,21 @@ def coalesce_updates(
     version of the table from the one before, so repeating a batch is harmless.
     """
     spark = updates.sparkSession
-    done = []
+    versions = f"{path}/versions"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        before = current if batch_id == 0 else spark.read.parquet(f"{path}/version={batch_id - 1}")
+        earlier = f"{versions}/version={batch_id - 1}"
+        before = current if batch_id == 0 else spark.read.schema(current.schema).parquet(earlier)
         changes = latest_state(batch, key, order).select(*current.columns)
         merged = latest_state(before.unionByName(changes), key, order)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        done.append(batch_id)
+        merged.write.mode("overwrite").parquet(f"{versions}/version={batch_id}")
 
     _per_batch(updates, path, "append", apply).awaitTermination()
-    return spark.read.parquet(f"{path}/version={max(done)}") if done else current
+    written = spark.read.schema(
+        T.StructType(current.schema.fields + [T.StructField("version", T.LongType())])
+    ).parquet(versions)
+    newest = written.agg(F.max("version")).first()[0]
+    return written.where(F.col("version") == newest).drop("version")
 
 
 def job_runs_stream(
@@ -124,7 +133,7 @@ class InOrder(StatefulProcessor):
     A key holds the rows of its lateness window, and what ``step`` keeps.
     """
 
-    ROW = "t LONG, seq LONG, value LONG, low LONG, high LONG"
+    ROW = "t LONG, seq LONG, value LONG, start LONG"
     KEPT = "a LONG, b LONG"
     out = ""
 
@@ -134,10 +143,10 @@ class InOrder(StatefulProcessor):
         self.kept = handle.getValueState("kept", self.KEPT)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows))[["t", "seq", "value", "low", "high"]]
-        arrived = arrived.astype("object").where(arrived.notna(), None)
-        self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
-        self.handle.registerTimer(int(arrived["t"].min()) // 1000 + 1)
+        for part in rows:
+            arrived = part[["t", "seq", "value", "start"]].astype("object")
+            self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
+            self.handle.registerTimer(int(arrived["t"].min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -167,7 +176,7 @@ class Cooldown(InOrder):
 
     def step(self, state, due, now):
         found = []
-        for t, seq, value, start, _ in due:
+        for t, seq, value, start in due:
             count, wake = state or (start, None)
             if wake is not None and t < wake:
                 continue
@@ -188,7 +197,7 @@ class Idle(InOrder):
 
     def step(self, state, due, now):
         found = []
-        for t, _, timeout, _, _ in due:
+        for t, _, timeout, _ in due:
             last, shutdown = state or (None, None)
             if last == -1:
                 break
@@ -225,12 +234,12 @@ def replay_autoscaler_stream(
     """``replay_autoscaler`` on a watermarked stream; a change appears once it is final."""
     limits = bounds.select(
         key, F.col(minimum).cast("int").alias("_min"), F.col(maximum).cast("int").alias("_max"),
-        F.coalesce(F.col(initial), F.col(minimum), F.lit(0)).cast("long").alias("low"),
+        F.coalesce(F.col(initial), F.col(minimum), F.lit(0)).cast("long").alias("start"),
     )
     rows = ticks.where(F.col(target).isNotNull()).join(limits, key).select(
         key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"),
         F.least("_max", F.greatest("_min", F.col(target).cast("int"))).cast("long").alias("value"),
-        "low", F.lit(None).cast("long").alias("high"),
+        "start",
     )
     out = f"{key} LONG, t LONG, seq LONG, old INT, new INT"
     return _timed(_in_order(rows, key, Cooldown(cooldown, True, out)), key, "t")
@@ -243,7 +252,7 @@ def throttle_stream(
     zero = F.lit(0).cast("long")
     rows = events.select(
         key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"),
-        zero.alias("value"), zero.alias("low"), zero.alias("high"),
+        zero.alias("value"), zero.alias("start"),
     )
     out = f"{key} LONG, t LONG, seq LONG, old INT, new INT"
     kept = _in_order(rows, key, Cooldown(cooldown, False, out))
@@ -261,7 +270,7 @@ def idle_shutdowns_stream(
     zero = F.lit(0).cast("long")
     rows = activity.join(watched, key).select(
         key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"), "value",
-        zero.alias("low"), zero.alias("high"),
+        zero.alias("start"),
     )
     out = f"{key} LONG, idle_since LONG, shutdown_at LONG"
     return _timed(_in_order(rows, key, Idle(period, out)), key, "idle_since", "shutdown_at")
@@ -278,8 +287,9 @@ class Readiness(StatefulProcessor):
         self.held = handle.getListState("held", "t LONG, seq LONG, created BOOLEAN")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows))[["t", "seq", "created"]].astype("object")
-        self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
+        for part in rows:
+            arrived = part[["t", "seq", "created"]].astype("object")
+            self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
         self.handle.registerTimer(((key[1] + 2) * self.timeout) // 1000)
         return iter(())
 
