@@ -58,12 +58,11 @@ def inject_env(containers: Column, defaults: Column) -> Column:
     """Append each default to every container that does not set that name yet."""
 
     def completed(container: Column) -> Column:
-        env = F.coalesce(container["env"], F.array().cast(
-            "array<struct<name:string,value:string>>"))
-        missing = F.filter(
-            defaults, lambda d: ~F.exists(env, lambda e: e["name"] == d["name"])
+        env = container["env"]
+        missing = F.filter(defaults, lambda d: ~F.array_contains(env["name"], d["name"]))
+        return container.withField(
+            "env", F.when(env.isNull(), defaults).otherwise(F.concat(env, missing))
         )
-        return container.withField("env", F.concat(env, missing))
 
     return F.transform(containers, completed)
 

@@ -122,8 +122,9 @@ def cluster_documents(params: DataFrame, words: Vocabulary) -> DataFrame:
 
 def scheduler_address(cluster: Column, namespace: Column) -> Column:
     """Address the injected environment gives to workers and runners."""
-    return F.format_string(
-        f"tcp://%s.%s.svc.cluster.local:{COMM_PORT}", scheduler_name(cluster), namespace
+    return F.concat(
+        F.lit("tcp://"), scheduler_name(cluster), F.lit("."), namespace,
+        F.lit(f".svc.cluster.local:{COMM_PORT}"),
     )
 
 

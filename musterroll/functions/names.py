@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The longest cluster name, its pattern and the derived names.
+# The longest cluster name and its pattern.
 MAX_NAME_LENGTH = 53
 NAME_PATTERN = r"\A[a-z0-9]([-a-z0-9]*[a-z0-9])?\z"
-SCHEDULER_NAME = "%s-scheduler"
-DEFAULT_GROUP_NAME = "%s-default"
-RUNNER_NAME = "%s-runner"
-WORKER_NAME = "%s-worker-%s"
 
 
 def scheduler_name(cluster) -> Column:
-    return F.format_string(SCHEDULER_NAME, cluster)
+    return F.concat(cluster, F.lit("-scheduler"))
 
 
 def default_group_name(cluster) -> Column:
-    return F.format_string(DEFAULT_GROUP_NAME, cluster)
+    return F.concat(cluster, F.lit("-default"))
 
 
 def runner_name(job) -> Column:
-    return F.format_string(RUNNER_NAME, job)
+    return F.concat(job, F.lit("-runner"))
 
 
 def worker_name(group, worker_id) -> Column:
-    return F.format_string(WORKER_NAME, group, worker_id)
+    return F.concat(group, F.lit("-worker-"), worker_id)
 
 
 def filled_template(template: Column, **values: Column) -> Column:

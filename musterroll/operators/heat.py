@@ -38,18 +38,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return small_side(df, 0 if df.limit(max_rows + 1).count() <= max_rows else max_rows + 1)
 
 
+def hot_key_counts(df: DataFrame, key: list[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows; reads the key columns, combines map-side."""
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.where(F.col("_rows") > hot_rows)
+
+
 def split_hot(
     df: DataFrame, key: list[str], hot_rows: int | None = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None, int, int]:
     """Cold rows, hot rows (or None), and how many hot keys and hot rows there are.
 
-    The count pass reads the key columns only and combines before its shuffle. At
-    most ``rows / hot_rows`` keys can be hot, which bounds the broadcast.
+    At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast.
     """
     if hot_rows is None:
         return df, None, 0, 0
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.where(F.col("_rows") > hot_rows)
+    hot = hot_key_counts(df, key, hot_rows)
     if hot.isEmpty():
         return df, None, 0, 0
     renamed = {k: f"_hot_{k}" for k in key}

@@ -253,14 +253,11 @@ def resolve_endpoint(
     host = (
         F.when(F.col("type") == "LoadBalancer", F.coalesce(ingress["hostname"], ingress["ip"]))
         .when(F.col("type") == "NodePort", F.col("_node"))
-        .when(F.col("type") == "ClusterIP", F.format_string("%s.%s", "name", "namespace"))
+        .when(F.col("type") == "ClusterIP", F.concat("name", F.lit("."), "namespace"))
     )
     port = F.when(
         F.col("type") == "NodePort", named_port(F.col("ports"), F.col("name"), port_name, True)
     ).otherwise(named_port(F.col("ports"), F.col("name"), port_name))["port"]
     joined = services.join(first, fleet, "left").withColumns({"_host": host, "_port": port})
-    endpoint = F.when(
-        F.col("_host").isNotNull() & F.col("_port").isNotNull(),
-        F.format_string("tcp://%s:%d", "_host", "_port"),
-    )
+    endpoint = F.concat(F.lit("tcp://"), "_host", F.lit(":"), "_port")
     return joined.withColumn("endpoint", endpoint).drop("_host", "_port", "_node")

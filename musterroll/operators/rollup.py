@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from musterroll.functions.names import runner_name
 from musterroll.functions.phases import ISO_FORMAT, JOB_STATUS, lookup
 
 
@@ -68,7 +69,7 @@ def job_fields(runs: DataFrame, key: str) -> DataFrame:
     return runs.select(
         key,
         name.alias("clusterName"),
-        F.concat(name, F.lit("-runner")).alias("jobRunnerPodName"),
+        runner_name(name).alias("jobRunnerPodName"),
         "jobStatus",
         F.date_format("started", ISO_FORMAT).alias("startTime"),
         F.date_format("ended", ISO_FORMAT).alias("endTime"),

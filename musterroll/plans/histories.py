@@ -155,8 +155,7 @@ def job_runs_stream(spark, sf):
     FROM (SELECT * FROM e WHERE event_type = 'signup') c
     LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') r
     ON r.key = c.key AND r.ts >= c.ts AND r.ts < c.ts + INTERVAL 6 HOUR
-    WHERE (epoch_us(c.ts) // 21600000000 + 2) * 21600000000
-          <= (SELECT epoch_us(max(ts)) FROM e) // 1000 * 1000
+    WHERE epoch_us(c.ts) + 21600000000 < (SELECT epoch_us(max(ts)) FROM e) // 1000 * 1000
     GROUP BY c.key, c.seq, c.ts""")
 def ready_within_stream(spark, sf):
     events = live_watch(spark, sf).select("key", "seq", "ts", "event_type")

@@ -30,6 +30,6 @@ def collect_logs(
     texts = blocks.groupBy(pod).agg(
         F.expr("listagg(_text, '\\n') WITHIN GROUP (ORDER BY _block)").alias("_text")
     )
-    missing = F.format_string("Cannot find logs. Pod is %s.", phase)
+    missing = F.concat(F.lit("Cannot find logs. Pod is "), phase, F.lit("."))
     log = F.when(F.col(phase) == "Running", F.coalesce("_text", F.lit(""))).otherwise(missing)
     return wanted.join(texts, pod, "left").withColumn("log", log).drop("_text")

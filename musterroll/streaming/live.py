@@ -277,10 +277,10 @@ def idle_shutdowns_stream(
 
 
 class Readiness(StatefulProcessor):
-    """Settles all creations of one time bucket once the watermark has passed their limit."""
+    """Settles each creation once the watermark has passed its limit."""
 
-    def __init__(self, timeout: int, out: str):
-        self.timeout, self.out = timeout * MICROS, out
+    def __init__(self, timeout: int, width: int, out: str):
+        self.timeout, self.width, self.out = timeout * MICROS, width * MICROS, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -288,53 +288,75 @@ class Readiness(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            arrived = part[["t", "seq", "created"]].astype("object")
-            self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
-        self.handle.registerTimer(((key[1] + 2) * self.timeout) // 1000)
+            arrived = part[["t", "seq", "created"]]
+            self.held.appendList([tuple(r) for r in arrived.astype("object").itertuples(index=False)])
+            first = arrived["t"][arrived["created"]].min()
+            if first == first:
+                self._wake(int(first) + self.timeout)
+        # Past this time nothing of the bucket is needed any more.
+        self._wake((key[1] + 1) * self.width + self.timeout)
         return iter(())
 
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found, following = [], None
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        found, rest, following = [], [], None
         # Backwards in time; at one time the ready events come before the creations.
-        for t, seq, created in sorted(self.held.get(), key=lambda r: (-r[0], r[2])):
+        rows = sorted(self.held.get(), key=lambda r: (-r[0], r[2]))
+        for t, seq, created in rows:
             if not created:
                 following = t
-                continue
-            in_time = following is not None and following < t + self.timeout
-            found.append((key[0], key[1], seq, t, following if in_time else None,
-                          "ready" if in_time else "timed_out"))
-        self.held.clear()
+            elif t + self.timeout >= now:
+                rest.append((t, seq, created))
+            else:
+                in_time = following is not None and following < t + self.timeout
+                found.append((key[0], key[1], seq, t, following if in_time else None,
+                              "ready" if in_time else "timed_out"))
+        earliest = min([now, *[r[0] for r in rest]])
+        done = now > (key[1] + 1) * self.width + self.timeout
+        rest += [r for r in rows if not r[2] and r[0] >= earliest and not done]
+        if rest:
+            self.held.put(rest)
+            pending = [r[0] for r in rest if r[2]]
+            if pending:
+                self._wake(min(pending) + self.timeout)
+        elif rows:
+            self.held.clear()
         if found:
             frame = next(_frame(self.out, found))
             frame["ready_ts"] = frame["ready_ts"].astype("Int64")
             yield frame
 
 
+BUCKET_TIMEOUTS = 16
+
+
 def ready_within_stream(
-    events: DataFrame, key: str, ts: str, seq: str, created: Column, ready: Column, timeout: int
+    events: DataFrame, key: str, ts: str, seq: str, created: Column, ready: Column, timeout: int,
+    bucket_timeouts: int = BUCKET_TIMEOUTS,
 ) -> DataFrame:
     """``ready_within`` on a watermarked stream, without joining creations to ready events.
 
-    Time is cut into buckets of the timeout, so a creation's answer lies in its own bucket
-    or the next one; a ready event goes to its bucket and the one before. Each bucket of a
-    key is a state of its own: a long history of one key spreads over many tasks, and a
-    bucket is dropped when it is settled.
+    Time is cut into buckets of some timeouts, so a creation's answer lies in its own
+    bucket or early in the next one; such a ready event also goes to the bucket before.
+    Each bucket of a key is a state of its own, so a long history of one key spreads over
+    many tasks, and a state keeps the rows of one timeout.
     """
-    bucket = F.floor(micros(ts) / (timeout * MICROS))
+    width = timeout * bucket_timeouts
+    at = micros(ts)
+    bucket = F.floor(at / (width * MICROS))
+    early = ready & (at - bucket * (width * MICROS) < timeout * MICROS)
+    own = F.struct(bucket.alias("bucket"), created.alias("created"))
+    before = F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("created"))
     rows = events.where(created | ready).select(
-        key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"),
-        F.explode(
-            F.concat(
-                F.array(F.struct(bucket.alias("bucket"), created.alias("created"))),
-                F.when(ready, F.array(F.struct((bucket - 1).alias("bucket"),
-                                               F.lit(False).alias("created"))))
-                .otherwise(F.array().cast("array<struct<bucket:bigint,created:boolean>>")),
-            )
-        ).alias("_b"),
+        key, ts, at.alias("t"), F.col(seq).cast("long").alias("seq"),
+        F.explode(F.when(early, F.array(own, before)).otherwise(F.array(own))).alias("_b"),
     )
     rows = rows.select(key, "_b.bucket", ts, "t", "seq", "_b.created")
     out = f"{key} LONG, bucket LONG, seq LONG, t LONG, ready_ts LONG, outcome STRING"
     settled = rows.groupBy(key, "bucket").transformWithStateInPandas(
-        Readiness(timeout, out), T.StructType.fromDDL(out), "append", "EventTime"
+        Readiness(timeout, width, out), T.StructType.fromDDL(out), "append", "EventTime"
     )
     return _timed(settled.drop("bucket"), key, "t", "ready_ts")
