@@ -9,17 +9,13 @@ BLOCK = 4096
 
 
 def numbered_rows(
-    df: DataFrame,
-    count: Column,
-    out: str,
-    spread: list[str] | None = None,
-    block: int = BLOCK,
+    df: DataFrame, key: list[str], count: Column, out: str, block: int = BLOCK
 ) -> DataFrame:
     """Each row ``count`` times with ``out`` = 0..count-1; none if the count is below one.
 
-    Large counts expand in two steps, so no array holds more than a block. Name
-    columns in ``spread`` where one row may stand for very many: the few block rows
-    are then shuffled on them and the block, and many tasks share the expansion.
+    Large counts expand in two steps, so no array holds more than a block. In between,
+    the few block rows are shuffled on key and block: one row that stands for a large
+    share of the output is expanded by many tasks.
     """
     blocks = F.floor((F.col("_count") - 1) / block)
     size = F.least(F.lit(block), F.col("_count") - F.col("_block") * block)
@@ -28,10 +24,9 @@ def numbered_rows(
         .where(F.col("_count") > 0)
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
     )
-    if spread is not None:
-        starts = starts.repartition(*spread, "_block")
     return (
-        starts.withColumn("_in_block", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+        starts.repartition(*key, "_block")
+        .withColumn("_in_block", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
         .withColumn(out, F.col("_block") * block + F.col("_in_block"))
         .drop("_count", "_block", "_in_block")
     )

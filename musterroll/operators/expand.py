@@ -103,7 +103,7 @@ def expand_workers(
 
     Ordinals continue after the current members; the id is a digest of group and ordinal.
     """
-    rows = numbered_rows(groups, F.col(needed), "_i")
+    rows = numbered_rows(groups, [group], F.col(needed), "_i")
     ordinal = F.col(current) + F.col("_i") + 1
     name = F.col(group).cast("string")
     digest = F.sha2(F.concat_ws(":", name, ordinal.cast("string")), 256)
@@ -116,7 +116,7 @@ def expand_workers(
 
 
 def creation_waves(
-    groups: DataFrame, needed: str, start: str, batch_size: int | None, delay: int
+    groups: DataFrame, group: str, needed: str, start: str, batch_size: int | None, delay: int
 ) -> DataFrame:
     """Creations in waves of ``batch_size``, ``delay`` seconds apart.
 
@@ -124,7 +124,7 @@ def creation_waves(
     """
     batch = F.lit(batch_size).cast("long") if batch_size else F.col(needed).cast("long")
     waves = F.when(F.col(needed) > 0, F.ceil(F.col(needed) / batch)).otherwise(0)
-    rows = numbered_rows(groups, waves, "_wave")
+    rows = numbered_rows(groups, [group], waves, "_wave")
     left = F.col(needed) - F.col("_wave") * batch
     return (
         rows.withColumn("wave_size", F.least(batch, left))

@@ -232,7 +232,9 @@ def expand_workers(spark, sf):
            created + to_seconds(w * 30) AS wave_at
     FROM waves""")
 def creation_waves(spark, sf):
-    waves = expand.creation_waves(fleet_plan(spark, sf), "needed", "created", 2, 30)
+    waves = expand.creation_waves(
+        fleet_plan(spark, sf), "group_id", "needed", "created", 2, 30
+    )
     return waves.select("group_id", "wave", "wave_size", "wave_at")
 
 

@@ -22,6 +22,7 @@ from musterroll.streaming.replay import MICROS, next_replicas
 from musterroll.streaming.ticks import IDLE_CHECK_PERIOD
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+BUCKET_TIMEOUTS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -330,9 +331,6 @@ class Readiness(StatefulProcessor):
             yield frame
 
 
-BUCKET_TIMEOUTS = 16
-
-
 def ready_within_stream(
     events: DataFrame, key: str, ts: str, seq: str, created: Column, ready: Column, timeout: int,
     bucket_timeouts: int = BUCKET_TIMEOUTS,

@@ -22,7 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from musterroll.functions.phases import SCALE_DOWN_SHARE
-from musterroll.operators.heat import PIECE, cut_pieces, same_values, small_side, split_hot
+from musterroll.operators.heat import (
+    PIECE,
+    cut_pieces,
+    hot_key_counts,
+    same_values,
+    small_side,
+    split_hot,
+)
 from musterroll.session import pinned
 
 HOT_REPLAY_ROWS = 1_000_000
@@ -317,6 +324,8 @@ def replay_autoscaler(
     starts the cooldown. Ticks without a target, when the scheduler could not be asked,
     are skipped. A null bound means unbounded.
     """
+    if hot_rows is not None and hot_key_counts(ticks, key, hot_rows).isEmpty():
+        hot_rows = None
     limits = bounds.select(
         *key, F.col(minimum).cast("int").alias("_min"), F.col(maximum).cast("int").alias("_max"),
         F.coalesce(F.col(initial), F.col(minimum), F.lit(0)).cast("int").alias("_start"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from musterroll.functions.clock import epoch_seconds, from_epoch, grid_after, shifted
 from musterroll.functions.counting import numbered_rows
-from musterroll.operators.heat import HOT_ROWS, with_previous
+from musterroll.operators.heat import HOT_ROWS, hot_key_counts, with_previous
 
 # Fixed value: seconds between two idle checks.
 IDLE_CHECK_PERIOD = 5
@@ -19,7 +19,7 @@ def tick_samples(events: DataFrame, key: list[str], ts: str, period: int) -> Dat
     first = F.ceil(epoch_seconds("_first") / period)
     last = F.floor(epoch_seconds("_last") / period)
     grid = span.select(*key, first.alias("_from"), last.alias("_to"))
-    ticks = numbered_rows(grid, F.col("_to") - F.col("_from") + 1, "_i", spread=key)
+    ticks = numbered_rows(grid, key, F.col("_to") - F.col("_from") + 1, "_i")
     return ticks.select(*key, from_epoch((F.col("_from") + F.col("_i")) * period).alias(ts))
 
 
@@ -48,6 +48,8 @@ def idle_shutdowns(
     shuts it down unless a new activity came at or before that check. Timeout 0 or null
     means never; such clusters leave before the shuffle.
     """
+    if hot_rows is not None and hot_key_counts(activity, key, hot_rows).isEmpty():
+        hot_rows = None
     watched = timeouts.where(F.col(timeout) > 0).select(*key, timeout)
     gaps = idle_gaps(
         activity.select(*key, ts, seq).join(watched, key), key, ts, seq, timeout, as_of,
