@@ -13,6 +13,7 @@ and then all pieces replay at once. The result is that of one pass in order.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,31 +50,44 @@ def next_replicas(current: int, bounded: int) -> int:
 # --- one pass over sorted rows -------------------------------------------------------
 
 
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where each run of equal keys starts in a batch, and the batch's end."""
+    changes = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for key in keys:
+        codes = batch.column(key).dictionary_encode().indices.fill_null(-1).to_numpy()
+        changes |= codes[1:] != codes[:-1]
+    return np.concatenate([[0], np.flatnonzero(changes) + 1, [batch.num_rows]])
+
+
 def _replayed(batches: Iterator[pa.RecordBatch], keys: list[str], out: list[str], cooldown: int,
               scaling: bool) -> Iterator[pa.RecordBatch]:
     """Rows that fire, with the replica counts before and after."""
     group, state, wake = None, 0, AWAKE
     for batch in batches:
-        columns = {n: batch.column(n) for n in batch.schema.names}
-        groups = list(zip(*[columns[k].to_pylist() for k in keys]))
-        times = columns["_ts"].cast(pa.int64()).to_pylist()
-        starts, wakes = columns["_start"].to_pylist(), columns["_wake"].to_pylist()
-        targets = columns["_target"].to_pylist()
+        if not batch.num_rows:
+            continue
+        times = batch.column("_ts").cast(pa.int64()).to_numpy().tolist()
+        targets = batch.column("_target").to_numpy().tolist()
+        starts, wakes = batch.column("_start"), batch.column("_wake")
         fired, before, after = [], [], []
-        for i, t in enumerate(times):
-            if groups[i] != group:
-                group, state, wake = groups[i], starts[i], wakes[i]
-            if t < wake:
-                continue
-            new = next_replicas(state, targets[i]) if scaling else state
-            if scaling and new == state:
-                continue
-            fired.append(i)
-            before.append(state)
-            after.append(new)
-            state, wake = new, t + cooldown
+        runs = _runs(batch, keys)
+        for row, end in zip(runs[:-1].tolist(), runs[1:].tolist()):
+            owner = tuple(batch.column(k)[row].as_py() for k in keys)
+            if owner != group:
+                group, state, wake = owner, starts[row].as_py(), wakes[row].as_py()
+            while row < end:
+                if times[row] < wake:
+                    row = bisect_left(times, wake, row, end)
+                    continue
+                new = next_replicas(state, targets[row]) if scaling else state
+                if not scaling or new != state:
+                    fired.append(row)
+                    before.append(state)
+                    after.append(new)
+                    state, wake = new, times[row] + cooldown
+                row += 1
         if fired:
-            kept = [columns[n].take(pa.array(fired)) for n in out]
+            kept = [batch.column(n).take(pa.array(fired)) for n in out]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(before, pa.int32()), pa.array(after, pa.int32())],
                 names=[*out, "old", "new"],
