@@ -9,6 +9,7 @@ earlier pieces of the key carry over, which is one summary row per piece.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,30 +39,54 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return small_side(df, 0 if df.limit(max_rows + 1).count() <= max_rows else max_rows + 1)
 
 
-def hot_key_counts(df: DataFrame, key: list[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; reads the key columns, combines map-side."""
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > hot_rows)
+@dataclass(frozen=True)
+class HeatSplit:
+    """Rows of the ordinary keys, and those of the hot ones (None if no key is hot)."""
+
+    cold: DataFrame
+    hot: DataFrame | None
+    key: list[str]
+    hot_keys: DataFrame | None = None
+    n_keys: int = 0
+    n_rows: int = 0
+
+    def joined(self, per_key: DataFrame) -> HeatSplit:
+        """Inner join with a frame of at most one row per key.
+
+        The ordinary keys take an equi join. The few rows that belong to hot keys are
+        broadcast, so no hot key is ever shuffled to one task.
+        """
+        cold = self.cold.join(per_key, self.key)
+        if self.hot is None:
+            return replace(self, cold=cold)
+        few = per_key.join(
+            small_side(self.hot_keys, self.n_keys),
+            same_values(per_key, self.hot_keys, {k: f"_hot_{k}" for k in self.key}), "left_semi",
+        )
+        return replace(self, cold=cold, hot=self.hot.join(small_side(few, self.n_keys), self.key))
 
 
-def split_hot(
-    df: DataFrame, key: list[str], hot_rows: int | None = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None, int, int]:
-    """Cold rows, hot rows (or None), and how many hot keys and hot rows there are.
+def split_hot(df: DataFrame, key: list[str], hot_rows: int | None = HOT_ROWS) -> HeatSplit:
+    """Separate the keys with more than ``hot_rows`` rows.
 
-    At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast.
+    The check counts rows per key: it reads the key columns only and combines before
+    its shuffle. At most ``rows / hot_rows`` keys can be hot, which bounds the broadcast.
     """
     if hot_rows is None:
-        return df, None, 0, 0
-    hot = hot_key_counts(df, key, hot_rows)
-    if hot.isEmpty():
-        return df, None, 0, 0
+        return HeatSplit(df, None, key)
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    found = counts.where(F.col("_rows") > hot_rows)
+    if found.isEmpty():
+        return HeatSplit(df, None, key)
     renamed = {k: f"_hot_{k}" for k in key}
-    hot = pinned(hot.select(*[F.col(k).alias(r) for k, r in renamed.items()], "_rows"))
-    n_keys, n_rows = hot.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    side = small_side(hot, n_keys)
-    match = same_values(df, hot, renamed)
-    return df.join(side, match, "left_anti"), df.join(side, match, "left_semi"), n_keys, n_rows
+    keys = pinned(found.select(*[F.col(k).alias(r) for k, r in renamed.items()], "_rows"))
+    n_keys, n_rows = keys.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    side = small_side(keys, n_keys)
+    match = same_values(df, keys, renamed)
+    return HeatSplit(
+        df.join(side, match, "left_anti"), df.join(side, match, "left_semi"), key, keys,
+        n_keys, n_rows,
+    )
 
 
 def _sorting(order: list[str], descending: bool) -> list[Column]:
@@ -79,14 +104,17 @@ def cut_pieces(
 class _Cut:
     """One frame split into cold rows and, if any key is hot, pieces."""
 
-    def __init__(self, df, key, order, descending, hot_rows):
-        self.columns, self.key, self.order, self.descending = df.columns, key, order, descending
-        self.cold, hot, n_keys, n_rows = split_hot(df, key, hot_rows)
+    def __init__(self, df, key, order, descending, hot_rows, per_key=None):
+        split = split_hot(df, key, hot_rows)
+        if per_key is not None:
+            split = split.joined(per_key)
+        self.cold, self.columns = split.cold, split.cold.columns
+        self.key, self.order, self.descending = key, order, descending
         self.pieces = None
-        if hot is not None:
-            n_pieces = max(2, -(-n_rows // hot_rows))
-            self.summary_rows = n_keys + n_pieces
-            self.pieces = cut_pieces(hot, key, order, n_pieces, descending)
+        if split.hot is not None:
+            n_pieces = max(2, -(-split.n_rows // hot_rows))
+            self.summary_rows = split.n_keys + n_pieces
+            self.pieces = cut_pieces(split.hot, key, order, n_pieces, descending)
 
     def window(self, *extra: str):
         return Window.partitionBy(*self.key, *extra).orderBy(
@@ -125,9 +153,10 @@ def numbered(
     out: str,
     descending: bool = False,
     hot_rows: int | None = HOT_ROWS,
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
-    """``row_number`` per key."""
-    cut = _Cut(df, key, order, descending, hot_rows)
+    """``row_number`` per key; ``per_key`` is joined on the way (see ``HeatSplit``)."""
+    cut = _Cut(df, key, order, descending, hot_rows, per_key)
     cold = cut.cold.withColumn(out, F.row_number().over(cut.window()).cast("long"))
     if cut.pieces is None:
         return cold
@@ -148,12 +177,14 @@ def with_previous(
     columns: dict[str, str],
     descending: bool = False,
     hot_rows: int | None = HOT_ROWS,
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Add, for each ``out: source``, the source value one row earlier in the order.
 
-    ``descending=True`` looks at the next row instead (the order is reversed).
+    ``descending=True`` looks at the next row instead (the order is reversed);
+    ``per_key`` is joined on the way (see ``HeatSplit``).
     """
-    cut = _Cut(df, key, order, descending, hot_rows)
+    cut = _Cut(df, key, order, descending, hot_rows, per_key)
     window = cut.window()
     cold = cut.cold.withColumns({o: F.lag(s).over(window) for o, s in columns.items()})
     if cut.pieces is None:

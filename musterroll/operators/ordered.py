@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterroll.functions.clock import seconds_between
-from musterroll.operators.heat import (
-    HOT_ROWS,
-    checked_broadcast,
-    hot_key_counts,
-    numbered,
-    with_previous,
-)
+from musterroll.operators.heat import HOT_ROWS, checked_broadcast, numbered, with_previous
 
 
 def lifo_victims(
@@ -30,12 +24,10 @@ def lifo_victims(
     Groups that retire nothing leave before members are ranked. The rows come with
     ``rank``, 1 for the newest; sort by it descending to get them oldest first.
     """
-    # Counting the members alone is far cheaper than counting what the join leaves.
-    if hot_rows is not None and hot_key_counts(members, key, hot_rows).isEmpty():
-        hot_rows = None
     wanted = n_per_group.where(F.col(n) > 0).select(*key, F.col(n).alias("_n"))
-    candidates = members.join(wanted, key)
-    ranked = numbered(candidates, key, order, "rank", descending=True, hot_rows=hot_rows)
+    ranked = numbered(
+        members, key, order, "rank", descending=True, hot_rows=hot_rows, per_key=wanted
+    )
     return ranked.where(F.col("rank") <= F.col("_n")).drop("_n")
 
 

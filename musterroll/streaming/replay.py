@@ -18,19 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from musterroll.functions.phases import SCALE_DOWN_SHARE
-from musterroll.operators.heat import (
-    PIECE,
-    cut_pieces,
-    hot_key_counts,
-    same_values,
-    small_side,
-    split_hot,
-)
+from musterroll.operators.heat import PIECE, cut_pieces, same_values, small_side, split_hot
 from musterroll.session import pinned
 
 HOT_REPLAY_ROWS = 1_000_000
@@ -50,31 +43,23 @@ def next_replicas(current: int, bounded: int) -> int:
 # --- one pass over sorted rows -------------------------------------------------------
 
 
-def _runs(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """Where each run of equal keys starts in a batch, and the batch's end."""
-    changes = np.zeros(max(batch.num_rows - 1, 0), bool)
-    for key in keys:
-        codes = batch.column(key).dictionary_encode().indices.fill_null(-1).to_numpy()
-        changes |= codes[1:] != codes[:-1]
-    return np.concatenate([[0], np.flatnonzero(changes) + 1, [batch.num_rows]])
-
-
-def _replayed(batches: Iterator[pa.RecordBatch], keys: list[str], out: list[str], cooldown: int,
+def _replayed(batches: Iterator[pa.RecordBatch], out: list[str], cooldown: int,
               scaling: bool) -> Iterator[pa.RecordBatch]:
     """Rows that fire, with the replica counts before and after."""
-    group, state, wake = None, 0, AWAKE
+    state, wake = 0, AWAKE
     for batch in batches:
         if not batch.num_rows:
             continue
         times = batch.column("_ts").cast(pa.int64()).to_numpy().tolist()
         targets = batch.column("_target").to_numpy().tolist()
         starts, wakes = batch.column("_start"), batch.column("_wake")
+        heads = np.flatnonzero(batch.column("_row").to_numpy() == 1).tolist()
         fired, before, after = [], [], []
-        runs = _runs(batch, keys)
-        for row, end in zip(runs[:-1].tolist(), runs[1:].tolist()):
-            owner = tuple(batch.column(k)[row].as_py() for k in keys)
-            if owner != group:
-                group, state, wake = owner, starts[row].as_py(), wakes[row].as_py()
+        # What precedes the first head goes on with the key of the last batch.
+        for head, end in zip([-1, *heads], [*heads, batch.num_rows]):
+            row = max(head, 0)
+            if head >= 0:
+                state, wake = starts[head].as_py(), wakes[head].as_py()
             while row < end:
                 if times[row] < wake:
                     row = bisect_left(times, wake, row, end)
@@ -94,17 +79,24 @@ def _replayed(batches: Iterator[pa.RecordBatch], keys: list[str], out: list[str]
             )
 
 
-def _replay(sorted_rows: DataFrame, keys: list[str], out: list[str], cooldown: int,
+def _replay(rows: DataFrame, keys: list[str], order: list[str], out: list[str], cooldown: int,
             scaling: bool) -> DataFrame:
+    """Replay each key's rows in order.
+
+    The row number marks where a key begins. It also is what makes Spark keep a key in
+    one partition, in order: a plain ``repartition`` below ``mapInArrow`` may be dropped
+    as redundant and its partitions then split by a skew join.
+    """
     schema = T.StructType(
-        [T.StructField(n, sorted_rows.schema[n].dataType) for n in out]
+        [T.StructField(n, rows.schema[n].dataType) for n in out]
         + [T.StructField("old", T.IntegerType()), T.StructField("new", T.IntegerType())]
     )
+    window = Window.partitionBy(*keys).orderBy(*order)
 
     def run(batches):
-        return _replayed(batches, keys, out, cooldown, scaling)
+        return _replayed(batches, out, cooldown, scaling)
 
-    return sorted_rows.mapInArrow(run, schema)
+    return rows.withColumn("_row", F.row_number().over(window)).mapInArrow(run, schema)
 
 
 # --- tables of what a piece does to any start state ----------------------------------
@@ -295,17 +287,25 @@ def _with_start_states(pieces: DataFrame, keys: list[str], seq: str, n_pieces: i
     return known.drop(*[f"_of_{k}" for k in keys], "_slot").withColumnRenamed("_state", "_start")
 
 
-def _replay_keys(rows: DataFrame, key: list[str], seq: str, out: list[str], cooldown: int,
-                 scaling: bool, hot_rows: int | None, fan_in: int) -> DataFrame:
-    """``rows`` has ``_ts, _target, _start`` beside key and ``seq``."""
+def _replay_keys(rows: DataFrame, limits: DataFrame | None, key: list[str], seq: str,
+                 out: list[str], cooldown: int, scaling: bool, hot_rows: int | None,
+                 fan_in: int) -> DataFrame:
+    """``rows`` has ``_ts, _desired`` beside key and ``seq``; ``limits`` is per key."""
     order = ["_ts", seq]
-    rows = rows.withColumn("_wake", F.lit(AWAKE).cast("long"))
-    cold, hot, n_keys, n_rows = split_hot(rows, key, hot_rows)
-    passed = _replay(
-        cold.repartition(*key).sortWithinPartitions(*key, *order), key, out, cooldown, scaling
-    )
-    if hot is None:
+    split = split_hot(rows, key, hot_rows)
+    if limits is not None:
+        split = split.joined(limits)
+
+    def prepared(df: DataFrame) -> DataFrame:
+        target = F.least("_max", F.greatest("_min", "_desired")) if scaling else F.col("_desired")
+        start = F.col("_start") if scaling else F.lit(0)
+        return df.select(*key, "_ts", seq, target.alias("_target"), start.alias("_start"),
+                         F.lit(AWAKE).cast("long").alias("_wake"))
+
+    passed = _replay(prepared(split.cold), key, order, out, cooldown, scaling)
+    if split.hot is None:
         return passed
+    hot, n_keys, n_rows = prepared(split.hot), split.n_keys, split.n_rows
     span = hot.groupBy(*key).agg(
         F.least(F.min("_target"), F.min("_start")).alias("_low"),
         (F.greatest(F.max("_target"), F.max("_start"))
@@ -319,8 +319,7 @@ def _replay_keys(rows: DataFrame, key: list[str], seq: str, out: list[str], cool
     ).drop(*[f"_of_{k}" for k in key])
     pieces = cut_pieces(ranged, key, order, n_pieces)
     known = _with_start_states(pieces, key, seq, n_pieces, n_keys, cooldown, scaling, fan_in)
-    spread = known.repartition(*key, PIECE).sortWithinPartitions(*key, PIECE, *order)
-    return passed.unionByName(_replay(spread, [*key, PIECE], out, cooldown, scaling))
+    return passed.unionByName(_replay(known, [*key, PIECE], order, out, cooldown, scaling))
 
 
 # --- operators -----------------------------------------------------------------------
@@ -338,21 +337,15 @@ def replay_autoscaler(
     starts the cooldown. Ticks without a target, when the scheduler could not be asked,
     are skipped. A null bound means unbounded.
     """
-    if hot_rows is not None and hot_key_counts(ticks, key, hot_rows).isEmpty():
-        hot_rows = None
     limits = bounds.select(
         *key, F.col(minimum).cast("int").alias("_min"), F.col(maximum).cast("int").alias("_max"),
         F.coalesce(F.col(initial), F.col(minimum), F.lit(0)).cast("int").alias("_start"),
     )
-    rows = (
-        ticks.where(F.col(target).isNotNull())
-        .select(*key, ts, seq, F.col(target).cast("int").alias("_desired"))
-        .join(limits, key)
-        .withColumn("_target", F.least("_max", F.greatest("_min", "_desired")))
-        .select(*key, F.col(ts).alias("_ts"), seq, "_target", "_start")
+    rows = ticks.where(F.col(target).isNotNull()).select(
+        *key, F.col(ts).alias("_ts"), seq, F.col(target).cast("int").alias("_desired")
     )
     changes = _replay_keys(
-        rows, key, seq, [*key, "_ts", seq], cooldown * MICROS, True, hot_rows, fan_in
+        rows, limits, key, seq, [*key, "_ts", seq], cooldown * MICROS, True, hot_rows, fan_in
     )
     return changes.withColumnRenamed("_ts", ts)
 
@@ -362,11 +355,8 @@ def throttle(
     hot_rows: int | None = HOT_REPLAY_ROWS, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Events at least ``cooldown`` seconds after the last one kept of their key."""
-    rows = events.select(
-        *key, F.col(ts).alias("_ts"), seq,
-        F.lit(0).alias("_target"), F.lit(0).alias("_start"),
-    )
+    rows = events.select(*key, F.col(ts).alias("_ts"), seq, F.lit(0).alias("_desired"))
     kept = _replay_keys(
-        rows, key, seq, [*key, "_ts", seq], cooldown * MICROS, False, hot_rows, fan_in
+        rows, None, key, seq, [*key, "_ts", seq], cooldown * MICROS, False, hot_rows, fan_in
     )
     return kept.drop("old", "new").withColumnRenamed("_ts", ts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from musterroll.functions.clock import epoch_seconds, from_epoch, grid_after, shifted
 from musterroll.functions.counting import numbered_rows
-from musterroll.operators.heat import HOT_ROWS, hot_key_counts, with_previous
+from musterroll.operators.heat import HOT_ROWS, with_previous
 
 # Fixed value: seconds between two idle checks.
 IDLE_CHECK_PERIOD = 5
@@ -24,14 +24,15 @@ def tick_samples(events: DataFrame, key: list[str], ts: str, period: int) -> Dat
 
 
 def idle_gaps(
-    activity: DataFrame, key: list[str], ts: str, seq: str, timeout: str, as_of: Column,
-    period: int = IDLE_CHECK_PERIOD, hot_rows: int | None = HOT_ROWS,
+    activity: DataFrame, timeouts: DataFrame, key: list[str], ts: str, seq: str, timeout: str,
+    as_of: Column, period: int = IDLE_CHECK_PERIOD, hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Every activity after which the cluster stays idle past its timeout."""
-    watched = activity.where((F.col(timeout) > 0) & (F.col(ts) <= as_of))
+    watched = timeouts.where(F.col(timeout) > 0).select(*key, F.col(timeout).alias("_timeout"))
     ahead = with_previous(
-        watched, key, [ts, seq], {"_next": ts}, descending=True, hot_rows=hot_rows
-    ).withColumn("shutdown_at", grid_after(shifted(ts, timeout), period))
+        activity.where(F.col(ts) <= as_of).select(*key, ts, seq), key, [ts, seq], {"_next": ts},
+        descending=True, hot_rows=hot_rows, per_key=watched,
+    ).withColumn("shutdown_at", grid_after(shifted(ts, "_timeout"), period))
     due = F.when(F.col("_next").isNotNull(), F.col("shutdown_at") < F.col("_next")).otherwise(
         F.col("shutdown_at") <= as_of
     )
@@ -46,14 +47,8 @@ def idle_shutdowns(
 
     A cluster goes idle at an activity, and the first check strictly after the timeout
     shuts it down unless a new activity came at or before that check. Timeout 0 or null
-    means never; such clusters leave before the shuffle.
+    means never.
     """
-    if hot_rows is not None and hot_key_counts(activity, key, hot_rows).isEmpty():
-        hot_rows = None
-    watched = timeouts.where(F.col(timeout) > 0).select(*key, timeout)
-    gaps = idle_gaps(
-        activity.select(*key, ts, seq).join(watched, key), key, ts, seq, timeout, as_of,
-        period, hot_rows,
-    )
+    gaps = idle_gaps(activity, timeouts, key, ts, seq, timeout, as_of, period, hot_rows)
     first = F.min(F.struct("idle_since", "shutdown_at")).alias("_first")
     return gaps.groupBy(*key).agg(first).select(*key, "_first.*")

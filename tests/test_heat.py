@@ -36,11 +36,11 @@ def collected(df):
 
 
 def test_hot_keys_are_found_and_kept_whole(events):
-    cold, hot, n_keys, n_rows = heat.split_hot(events, ["key"], 300)
-    assert n_keys == 1
-    assert hot.count() == n_rows == events.where("key = 1").count()
-    assert cold.count() + n_rows == 1500
-    assert cold.where("key IS NULL").count() == events.where("key IS NULL").count()
+    split = heat.split_hot(events, ["key"], 300)
+    assert split.n_keys == 1
+    assert split.hot.count() == split.n_rows == events.where("key = 1").count()
+    assert split.cold.count() + split.n_rows == 1500
+    assert split.cold.where("key IS NULL").count() == events.where("key IS NULL").count()
 
 
 def test_pieces_are_balanced_and_ordered(events):
@@ -108,7 +108,7 @@ def test_operators_built_on_them_agree(spark, events):
             collected(relate.state_at(
                 keyed.select("key", "ts").distinct(), keyed, ["key"], "ts", "seq", ["value"], **hot)),
             collected(ticks.idle_gaps(
-                keyed.join(timeouts, "key"), ["key"], "ts", "seq", "idle", as_of, **hot)),
+                keyed, timeouts, ["key"], "ts", "seq", "idle", as_of, **hot)),
         ]
 
     plain = run(None)
@@ -174,3 +174,36 @@ def test_throttle_against_brute_force(spark, cooldown, span, grid):
             events, ["key"], "ts", "seq", cooldown, hot_rows=hot_rows, fan_in=2
         )
         assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_replay_survives_a_skew_join(spark):
+    """Splitting skewed join partitions must not tear a key's history apart."""
+    rows = skewed_rows(3000, 11)
+    bounds = {k: (0, 9, 2) for k in range(1, 6)}
+    events = spark.createDataFrame(
+        rows, "key LONG, ts TIMESTAMP_NTZ, seq LONG, target INT"
+    ).repartition(16)
+    limits = spark.createDataFrame(
+        [(k, *v) for k, v in bounds.items()], "key LONG, low INT, high INT, start INT"
+    )
+    eager = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.01",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1kb",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in eager}
+    try:
+        for name, value in eager.items():
+            spark.conf.set(name, value)
+        out = replay.replay_autoscaler(
+            events, limits, ["key"], "ts", "seq", "target", "low", "high", "start", 15,
+            hot_rows=None,
+        )
+        found = sorted(tuple(r) for r in out.collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert found == brute_autoscaler(rows, bounds, 15)
