@@ -55,7 +55,10 @@ def list_to_env(items: Column) -> Column:
 
 
 def inject_env(containers: Column, defaults: Column) -> Column:
-    """Append each default to every container that does not set that name yet."""
+    """Append each default to every container that does not set that name yet.
+
+    Pass ``defaults`` as a column of the frame: an expression is evaluated once per use.
+    """
 
     def completed(container: Column) -> Column:
         env = container["env"]

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from musterroll.session import pinned
+from musterroll.session import pinned, written
 
 HOT_ROWS = 5_000_000
 BROADCAST_ROWS = 200_000
@@ -96,9 +96,9 @@ def _sorting(order: list[str], descending: bool) -> list[Column]:
 def cut_pieces(
     hot: DataFrame, key: list[str], order: list[str], n_pieces: int, descending: bool = False
 ) -> DataFrame:
-    """Number consecutive ranges of (key, order); pinned, so every use sees the same cut."""
+    """Number consecutive ranges of (key, order); written, so every use sees the same cut."""
     ranged = hot.repartitionByRange(n_pieces, *key, *_sorting(order, descending))
-    return pinned(ranged.withColumn(PIECE, F.spark_partition_id()))
+    return written(ranged.withColumn(PIECE, F.spark_partition_id()), "pieces")
 
 
 class _Cut:

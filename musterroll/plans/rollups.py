@@ -317,9 +317,11 @@ def inject_env(spark, sf):
         item(roles.WORDS.scheduler_address_env,
              manifests.scheduler_address(cluster, F.lit("default"))),
     )
-    found = roles.workers(spark, sf).select(
-        *POD_KEYS, F.explode(labels.inject_env(containers, defaults)).alias("_c")
+    given = roles.workers(spark, sf).select(
+        *POD_KEYS, containers.alias("containers"), defaults.alias("defaults")
     )
+    completed = labels.inject_env(F.col("containers"), F.col("defaults"))
+    found = given.select(*POD_KEYS, F.explode(completed).alias("_c"))
     return found.select(*POD_KEYS, "_c.container", F.inline("_c.env"))
 
 

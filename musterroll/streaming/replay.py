@@ -121,29 +121,31 @@ class Transition:
 
         Without targets every awake row fires and the state never changes.
         """
-        n, every = len(times), np.arange(width, dtype=np.int32)
-        states = np.empty((n + 1, width), np.int32)
-        wakes = np.empty((n + 1, width), np.int64)
-        states[n], wakes[n] = every, AWAKE
+        n = len(times)
         wakes_at = np.maximum(
             np.searchsorted(times, times + cooldown, "left"), np.arange(1, n + 1)
         )
-        for i in range(n - 1, -1, -1):
-            moved = every if targets is None else targets[i]
-            if wakes_at[i] < n:
-                end, awake = states[wakes_at[i]][moved], wakes[wakes_at[i]][moved]
-            else:
-                end, awake = moved, times[i] + cooldown
-            if targets is None:
-                states[i], wakes[i] = end, awake
-            else:
-                fires = moved != every
-                states[i] = np.where(fires, end, states[i + 1])
-                wakes[i] = np.where(fires, awake, wakes[i + 1])
+        # An end is the last row that fired (n for none) and the state, as one number.
+        if targets is None:
+            last = list(range(n + 1))
+            for i, after in reversed(list(enumerate(wakes_at.tolist()))):
+                if after < n:
+                    last[i] = last[after]
+            ends = np.array(last, np.int64)[:, None]
+        else:
+            every = np.arange(width)
+            fires = targets != every
+            ends = np.empty((n + 1, width), np.int64)
+            ends[n] = n * width + every
+            for i in range(n - 1, -1, -1):
+                after = wakes_at[i]
+                moved = ends[after].take(targets[i]) if after < n else i * width + targets[i]
+                ends[i] = np.where(fires[i], moved, ends[i + 1])
+        slept = np.append(times + cooldown, AWAKE)
         # Nothing before the piece can sleep beyond its first row plus the cooldown.
         reachable = int(np.searchsorted(times, times[0] + cooldown, "left"))
         bounds, rows = np.unique(times[: min(reachable, n - 1) + 1], return_index=True)
-        return cls(bounds, states[rows], wakes[rows])
+        return cls(bounds, (ends[rows] % width).astype(np.int32), slept[ends[rows] // width])
 
     def apply(self, states: np.ndarray, wakes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.searchsorted(self.bounds, wakes, "left")
@@ -204,7 +206,7 @@ def _tables(
             allowed = np.maximum(1, (counts * SCALE_DOWN_SHARE).astype(np.int64))
             floor = np.where(counts > 0, counts - allowed, low)
             targets = table["_target"].to_numpy()
-            moves = (np.maximum(floor[None, :], targets[:, None]) - low).astype(np.int32)
+            moves = (np.maximum(floor[None, :], targets[:, None]) - low).astype(np.intp)
         found = Transition.of_piece(times, moves, width, cooldown)
         fixed = [table[n][:1].combine_chunks() for n in keys]
         slot = [pa.array([table[PIECE][0].as_py()], pa.int64()), pa.array([times[0]], pa.int64())]
