@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from musterroll.functions.labels import env_to_list
 from musterroll.functions.names import scheduler_name
@@ -64,12 +65,19 @@ def cluster_documents(params: DataFrame, words: Vocabulary) -> DataFrame:
     """One nested cluster manifest per parameter row, beside the row's own columns.
 
     Expects ``name, image, n_workers, resources, env, worker_command,
-    scheduler_service_type, idle_timeout, jupyter``; ``env`` is a map, and the worker
-    command is split at single spaces.
+    scheduler_service_type, idle_timeout, jupyter``. ``env`` is a map or a ready list of
+    names and values; the worker command is a list, or a text that is split at single
+    spaces.
     """
     name = F.col("name")
-    common = {"image": F.col("image"), "env": env_to_list(F.col("env")),
-              "resources": F.col("resources")}
+
+    def is_list(column: str) -> bool:
+        return isinstance(params.schema[column].dataType, T.ArrayType)
+
+    command = F.col("worker_command")
+    command = command if is_list("worker_command") else F.split(command, " ")
+    env = F.col("env") if is_list("env") else env_to_list(F.col("env"))
+    common = {"image": F.col("image"), "env": env, "resources": F.col("resources")}
 
     def container(title: str, args: Column, ports: Column, *more: Column) -> Column:
         return F.struct(
@@ -79,7 +87,7 @@ def cluster_documents(params: DataFrame, words: Vocabulary) -> DataFrame:
         )
 
     worker_args = F.concat(
-        F.split("worker_command", " "),
+        command,
         _literals("--name", f"$({words.worker_name_env})", "--dashboard",
                   "--dashboard-address", str(WORKER_DASHBOARD_PORT)),
     )

@@ -115,6 +115,25 @@ def expand_workers(
     )
 
 
+def worker_labels(
+    words: Vocabulary, cluster: Column, group: Column, group_labels: Column, part_labels: Column,
+    cluster_labels: Column,
+) -> Column:
+    """Labels of a group's worker deployments.
+
+    Those of the cluster fill in what is missing; those of the group lose to those of its
+    worker part, and all lose to the reserved ones.
+    """
+    reserved = {
+        words.label("cluster-name"): cluster,
+        words.label("workergroup-name"): group,
+        words.label("component"): F.lit("worker"),
+        "sidecar.istio.io/inject": F.lit("false"),
+    }
+    own = without_prefixes(group_labels, RESERVED_LABEL_PREFIXES)
+    return merge_layers(cluster_labels, own, part_labels, _labels(reserved))
+
+
 def creation_waves(
     groups: DataFrame, group: str, needed: str, start: str, batch_size: int | None, delay: int
 ) -> DataFrame:

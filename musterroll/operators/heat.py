@@ -51,7 +51,7 @@ class HeatSplit:
     n_rows: int = 0
 
     def joined(self, per_key: DataFrame) -> HeatSplit:
-        """Inner join with a frame of at most one row per key.
+        """Inner join with a narrow frame of at most one row per key.
 
         The ordinary keys take an equi join. The few rows that belong to hot keys are
         broadcast, so no hot key is ever shuffled to one task.
@@ -113,7 +113,6 @@ class _Cut:
         self.pieces = None
         if split.hot is not None:
             n_pieces = max(2, -(-split.n_rows // hot_rows))
-            self.summary_rows = split.n_keys + n_pieces
             self.pieces = cut_pieces(split.hot, key, order, n_pieces, descending)
 
     def window(self, *extra: str):
@@ -134,11 +133,13 @@ class _Cut:
         return Window.partitionBy(*self.key).orderBy(PIECE)
 
     def attach(self, carried: DataFrame) -> DataFrame:
+        """Pieces with what the earlier pieces of their key carry.
+
+        Joined on (key, piece), which is also how the window that follows is partitioned.
+        """
         pairs = {k: f"_of_{k}" for k in [*self.key, PIECE]}
         carried = carried.withColumnsRenamed(pairs)
-        joined = self.pieces.join(
-            small_side(carried, self.summary_rows), same_values(self.pieces, carried, pairs)
-        )
+        joined = self.pieces.join(carried, same_values(self.pieces, carried, pairs))
         return joined.drop(*pairs.values())
 
     def both(self, cold: DataFrame, hot: DataFrame, added: list[str]) -> DataFrame:

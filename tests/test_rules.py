@@ -396,6 +396,31 @@ def test_written_specs_read_back(spark, tmp_path):
         ("c1", "img", 3, True, 1), ("c2", "img", None, False, 0)]
 
 
+def test_specs_take_ready_lists(spark):
+    params = spark.createDataFrame(
+        [("c", "img", 1, None, [("A", "1")], ["run", "a b"], "ClusterIP", 0, False)],
+        "name STRING, image STRING, n_workers INT, resources MAP<STRING, MAP<STRING, STRING>>,"
+        " env ARRAY<STRUCT<name: STRING, value: STRING>>, worker_command ARRAY<STRING>,"
+        " scheduler_service_type STRING, idle_timeout INT, jupyter BOOLEAN")
+    line = json.loads(specs.spec_lines(params, WORDS).first()["line"])
+    worker = line["spec"]["worker"]["spec"]["containers"][0]
+    assert worker["args"][:3] == ["run", "a b", "--name"]
+    assert worker["env"] == [{"name": "A", "value": "1"}]
+
+
+def test_worker_labels(spark):
+    row = ("c", "g", {"a": "group", "b": "group", "fleet.example/component": "user"}, {"b": "part"},
+           {"a": "cluster", "z": "cluster"})
+    df = spark.createDataFrame([row], "c STRING, g STRING, own MAP<STRING, STRING>,"
+                               " part MAP<STRING, STRING>, top MAP<STRING, STRING>")
+    found = df.select(expand.worker_labels(
+        WORDS, F.col("c"), F.col("g"), F.col("own"), F.col("part"), F.col("top"))).first()[0]
+    assert found == {
+        "a": "group", "b": "part", "z": "cluster", "fleet.example/cluster-name": "c",
+        "fleet.example/workergroup-name": "g", "fleet.example/component": "worker",
+        "sidecar.istio.io/inject": "false"}
+
+
 def test_snapshot_prunes_namespaces(spark, tmp_path):
     path = str(tmp_path / "objects")
     spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "ns STRING, id INT").write.partitionBy("ns").parquet(path)
