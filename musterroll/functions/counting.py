@@ -13,10 +13,12 @@ def numbered_rows(
 ) -> DataFrame:
     """Each row ``count`` times with ``out`` = 0..count-1; none if the count is below one.
 
-    Large counts expand in two steps, so no array holds more than a block. In between,
-    the few block rows are shuffled on key and block: one row that stands for a large
-    share of the output is expanded by many tasks.
+    ``key`` is unique per row. Large counts expand in two steps, so no array holds more
+    than a block. In between, the few block rows are shuffled on key and block: one row
+    that stands for a large share of the output is expanded by many tasks. Their number
+    is given, since adaptive execution would judge by the size before the expansion.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.floor((F.col("_count") - 1) / block)
     size = F.least(F.lit(block), F.col("_count") - F.col("_block") * block)
     starts = (
@@ -25,7 +27,7 @@ def numbered_rows(
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks)))
     )
     return (
-        starts.repartition(*key, "_block")
+        starts.repartition(tasks, *key, "_block")
         .withColumn("_in_block", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
         .withColumn(out, F.col("_block") * block + F.col("_in_block"))
         .drop("_count", "_block", "_in_block")

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from musterroll.functions.clock import shifted
 from musterroll.functions.names import named_port
 from musterroll.functions.phases import service_phase
-from musterroll.operators.heat import HOT_ROWS, checked_broadcast, with_latest
+from musterroll.operators.heat import HOT_ROWS, checked_broadcast, small_side, with_latest
 from musterroll.operators.rollup import count_members
-from musterroll.session import pinned
+from musterroll.session import written
 
 
 def owner_of(children: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame:
@@ -164,26 +164,27 @@ def owned_closure(
 ) -> DataFrame:
     """Every descendant of each root with its depth; the root itself is depth zero.
 
-    One join per level. Each level is checkpointed, so no plan grows with the depth,
-    and the search ends at an empty level. A node reached twice keeps its least depth,
-    which also ends cycles.
+    One join per level. A level is written before the next one starts, so no plan grows
+    with the depth; while it is small it is broadcast and the edges are not shuffled. The
+    search ends at an empty level. A node reached twice keeps its least depth, which also
+    ends cycles.
     """
-    level = pinned(
+    level = written(
         roots.select(F.col("root"), F.col("root").alias("node")).distinct()
-        .withColumn("depth", F.lit(0))
+        .withColumn("depth", F.lit(0)), "closure",
     )
     seen = level
     for depth in range(1, max_depth + 1):
+        size = level.count()
+        if not size:
+            break
         reached = (
-            level.join(edges, level["node"] == edges[parent])
+            edges.join(small_side(level, size), level["node"] == edges[parent])
             .select("root", F.col(child).alias("node"))
             .distinct()
         )
-        level = pinned(
-            reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        )
-        if level.isEmpty():
-            break
+        fresh = reached.join(seen, ["root", "node"], "left_anti")
+        level = written(fresh.withColumn("depth", F.lit(depth)), "closure")
         seen = seen.unionByName(level)
     return seen
 

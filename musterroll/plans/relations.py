@@ -84,17 +84,27 @@ def reconcile(spark, sf):
     return fleet_plan(spark, sf).drop("cluster_id", "created")
 
 
-@query("j7_state_at", roles=("watch", "ticks"), sql="""
+_STATE_AT_SQL = """
     SELECT t.key, t.ts, w.target FROM ticks t
     ASOF LEFT JOIN (SELECT key, ts, arg_max(target, seq) AS target FROM watch
                     GROUP BY key, ts) w
-    ON t.key = w.key AND t.ts >= w.ts""")
+    ON t.key = w.key AND t.ts >= w.ts"""
+
+
+@query("j7_state_at", roles=("watch", "ticks"), sql=_STATE_AT_SQL)
 def state_at(spark, sf):
     changes = roles.watch(spark, sf)
     grid = ticks.tick_samples(changes, ["key"], "ts", roles.HOUR)
     return relate.state_at(grid, changes, ["key"], "ts", "seq", ["target"])
 
 
+@query("j7_state_on_grid", roles=("watch", "ticks"), sql=_STATE_AT_SQL)
+def state_on_grid(spark, sf):
+    return ticks.state_on_grid(
+        roles.watch(spark, sf), ["key"], "ts", "seq", ["target"], roles.HOUR
+    )
+
+
 @query("j8_owned_closure", roles=("edges",), sql="""
     , reach AS (
       SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region

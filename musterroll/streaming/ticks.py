@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from musterroll.functions.clock import epoch_seconds, from_epoch, grid_after, shifted
 from musterroll.functions.counting import numbered_rows
-from musterroll.operators.heat import HOT_ROWS, with_previous
+from musterroll.operators.heat import HOT_ROWS, with_latest, with_previous
 
 # Fixed value: seconds between two idle checks.
 IDLE_CHECK_PERIOD = 5
@@ -23,6 +23,36 @@ def tick_samples(events: DataFrame, key: list[str], ts: str, period: int) -> Dat
     return ticks.select(*key, from_epoch((F.col("_from") + F.col("_i")) * period).alias(ts))
 
 
+def state_on_grid(
+    changes: DataFrame, key: list[str], ts: str, tie: str, columns: list[str], period: int,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """``state_at`` for the regular grid of ``tick_samples``, without shuffling the ticks.
+
+    Each change lasts until the next one and emits the ticks in between. Only changes are
+    shuffled, however fine the grid.
+    """
+    known = with_latest(
+        changes.select(*key, ts, tie, *columns), key, [ts, tie],
+        {f"_at_{c}": c for c in columns}, hot_rows=hot_rows,
+    )
+    ahead = with_previous(
+        known, key, [ts, tie], {"_next": ts}, descending=True, hot_rows=hot_rows
+    )
+    first = F.ceil(epoch_seconds(ts) / period)
+    last = F.coalesce(
+        F.ceil(epoch_seconds("_next") / period) - 1, F.floor(epoch_seconds(ts) / period)
+    )
+    lasting = ahead.withColumns({"_from": first, "_to": last})
+    ticks = numbered_rows(
+        lasting, [*key, ts, tie], F.col("_to") - F.col("_from") + 1, "_i"
+    )
+    return ticks.select(
+        *key, from_epoch((F.col("_from") + F.col("_i")) * period).alias(ts),
+        *[F.col(f"_at_{c}").alias(c) for c in columns],
+    )
+
+
 def idle_gaps(
     activity: DataFrame, timeouts: DataFrame, key: list[str], ts: str, seq: str, timeout: str,
     as_of: Column, period: int = IDLE_CHECK_PERIOD, hot_rows: int | None = HOT_ROWS,

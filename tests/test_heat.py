@@ -107,12 +107,17 @@ def test_operators_built_on_them_agree(spark, events):
                 keyed.where("value < 3"), keyed.where("value > 9"), ["key"], "ts", "seq", 7, **hot)),
             collected(relate.state_at(
                 keyed.select("key", "ts").distinct(), keyed, ["key"], "ts", "seq", ["value"], **hot)),
+            collected(ticks.state_on_grid(keyed, ["key"], "ts", "seq", ["value"], 7, **hot)),
+            collected(relate.state_at(
+                ticks.tick_samples(keyed, ["key"], "ts", 7), keyed, ["key"], "ts", "seq",
+                ["value"], **hot)),
             collected(ticks.idle_gaps(
                 keyed, timeouts, ["key"], "ts", "seq", "idle", as_of, **hot)),
         ]
 
     plain = run(None)
     assert all(plain)
+    assert plain[5] == plain[6]
     assert run(40) == plain
 
 
