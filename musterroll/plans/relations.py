@@ -30,17 +30,15 @@ def orphans(spark, sf):
 
 @query("j3_members_of", roles=("clusters", "worker_groups", "workers"), sql="""
     SELECT cluster_id, group_id, part, supplier, line FROM clusters
-    JOIN worker_groups g USING (cluster_id) JOIN workers w USING (group_id)
-    WHERE phase = 'Running' AND namespace = 7""")
+    JOIN worker_groups g USING (cluster_id) JOIN workers w USING (group_id)""")
 def members_of(spark, sf):
     def labelled(df, **entries):
         flat = [p for k, v in entries.items() for p in (F.lit(k), F.col(v).cast("string"))]
         return df.withColumn("labels", F.create_map(*flat))
 
-    parents = roles.clusters(spark, sf).where(F.col("namespace") == 7).select("cluster_id")
+    parents = roles.clusters(spark, sf).select("cluster_id")
     groups = labelled(
-        roles.worker_groups(spark, sf).where(F.col("phase") == "Running"),
-        **{"cluster-name": "cluster_id"},
+        roles.worker_groups(spark, sf), **{"cluster-name": "cluster_id"}
     ).select("group_id", "labels")
     members = labelled(roles.workers(spark, sf), **{"workergroup-name": "group_id"}).select(
         "part", "supplier", "line", "labels"
