@@ -64,3 +64,35 @@ def test_entry(spark):
     result = entry(spark)
     assert result.columns == ["group_id", "desired", "current", "needed", "action"]
     assert result.count() == 1500
+
+
+def test_skewed_owner_join_is_split(spark):
+    """An equi join without hints leaves a hot owner's children to adaptive splitting."""
+    from pyspark.sql import functions as F
+
+    from musterroll.operators.relate import orphans, owner_of
+
+    children = spark.range(0, 60000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("owner"), "id"
+    )
+    parents = spark.range(0, 400).select(F.col("id").alias("owner"), F.lit("p").alias("name"))
+    eager = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4kb",
+    }
+    before = {k: spark.conf.get(k, None) for k in eager}
+    try:
+        for name, value in eager.items():
+            spark.conf.set(name, value)
+        for joined, kept in [
+            (owner_of(children, parents, ["owner"]), 20000 + 32000),
+            (orphans(children, parents, ["owner"]), 8000),
+        ]:
+            assert len(joined.collect()) == kept
+            assert "skew=true" in plan_of(joined)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
