@@ -27,8 +27,8 @@ from musterroll.operators.heat import PIECE, cut_pieces, same_values, small_side
 from musterroll.session import pinned
 
 HOT_REPLAY_ROWS = 1_000_000
-TABLE_CELLS = 8_000_000
-FAN_IN = 32
+TABLE_CELLS = 4_000_000
+FAN_IN = 16
 AWAKE = -(2**62)
 MICROS = 1_000_000
 
@@ -177,11 +177,15 @@ class Transition:
         ]
 
     @classmethod
-    def read(cls, row: dict) -> Transition:
-        bounds = np.asarray(row["bounds"], np.int64)
-        shape = (len(bounds), -1)
-        return cls(bounds, np.asarray(row["states"], np.int32).reshape(shape),
-                   np.asarray(row["wakes"], np.int64).reshape(shape))
+    def read_all(cls, table: pa.Table) -> list[Transition]:
+        """The transitions of a table's rows, without making Python numbers of them."""
+        columns = [table[n].combine_chunks() for n in ("bounds", "states", "wakes")]
+        found = []
+        for i in range(table.num_rows):
+            bounds, states, wakes = (c[i].values.to_numpy() for c in columns)
+            shape = (len(bounds), -1)
+            found.append(cls(bounds, states.reshape(shape), wakes.reshape(shape)))
+        return found
 
 
 def _tables(
@@ -221,11 +225,10 @@ def _composed(tables: DataFrame, keys: list[str], fan_in: int, cooldown: int) ->
 
     def compose(table: pa.Table) -> pa.Table:
         table = table.sort_by("_slot")
-        rows = table.select(["bounds", "states", "wakes"]).to_pylist()
         first = table["first"][0].as_py()
-        total = Transition.read(rows[0])
-        for row in rows[1:]:
-            total = total.then(Transition.read(row)).reachable(first + cooldown)
+        total, *others = Transition.read_all(table)
+        for later in others:
+            total = total.then(later).reachable(first + cooldown)
         fixed = [table[n][:1].combine_chunks() for n in keys]
         slot = [pa.array([table["_slot"][0].as_py() // fan_in], pa.int64())]
         more = [table[n][:1].combine_chunks() for n in ("first", "_low", "_start")]
@@ -249,10 +252,10 @@ def _started(tables: DataFrame, keys: list[str], fan_in: int) -> DataFrame:
         state = np.array([table["_state"][0].as_py() - low])
         wake = np.array([table["_wake"][0].as_py()], np.int64)
         states, wakes = [], []
-        for row in table.select(["bounds", "states", "wakes"]).to_pylist():
+        for piece in Transition.read_all(table):
             states.append(int(state[0]) + low)
             wakes.append(int(wake[0]))
-            state, wake = Transition.read(row).apply(state, wake)
+            state, wake = piece.apply(state, wake)
         fixed = [table[n].combine_chunks() for n in [*keys, "_slot"]]
         return pa.Table.from_arrays(
             [*fixed, pa.array(states, pa.int32()), pa.array(wakes, pa.int64())],
