@@ -22,8 +22,6 @@ from musterroll.functions.names import (
 )
 
 
-
-
 def _labels(entries: dict[str, Column]) -> Column:
     flat = [part for key, value in entries.items() for part in (F.lit(key), value)]
     return F.create_map(*flat)
@@ -41,6 +39,13 @@ def _inherited(own: str, part: str | None, prefixes: tuple[str, ...]) -> Column:
     return merge_layers(kept, F.col(part)) if part else merge_layers(kept)
 
 
+def _exploded(owners: DataFrame, children: Column) -> DataFrame:
+    """One row per child, with the owner's other columns."""
+    own = [c for c in owners.columns if c.endswith(("labels", "annotations")) or c == "name"]
+    rows = owners.withColumn("_child", F.explode(children)).drop(*own)
+    return rows.select("*", "_child.*").drop("_child")
+
+
 def expand_resources(manifests: DataFrame, words: Vocabulary) -> DataFrame:
     """Each cluster to its scheduler deployment, its service and its default group.
 
@@ -64,9 +69,7 @@ def expand_resources(manifests: DataFrame, words: Vocabulary) -> DataFrame:
         _child(words.group_kind, default_group_name("name"),
                merge_layers(worker, _labels(on_group)), group_notes),
     )
-    own = [c for c in manifests.columns if c.endswith(("labels", "annotations")) or c == "name"]
-    return manifests.withColumn("_child", F.explode(children)).drop(*own).select("*", "_child.*") \
-        .drop("_child")
+    return _exploded(manifests, children)
 
 
 def expand_jobs(jobs: DataFrame, words: Vocabulary) -> DataFrame:
@@ -91,9 +94,7 @@ def expand_jobs(jobs: DataFrame, words: Vocabulary) -> DataFrame:
                             _labels(on_runner)),
                _inherited("annotations", "job_annotations", RESERVED_ANNOTATION_PREFIXES)),
     )
-    own = [c for c in jobs.columns if c.endswith(("labels", "annotations")) or c == "name"]
-    return jobs.withColumn("_child", F.explode(children)).drop(*own).select("*", "_child.*") \
-        .drop("_child")
+    return _exploded(jobs, children)
 
 
 def expand_workers(
