@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-_CACHED_WORDS = 200_000
+_BLOCK = 1 << 18
 
 
 def word_ngrams(word: str, longest: int) -> set[str]:
@@ -34,28 +34,43 @@ def has_letter(text: str) -> bool:
 
 
 class Presence:
-    """Rows of n-gram presence over a fixed alphabet; words met before are looked up."""
+    """Rows of n-gram presence over a fixed alphabet of n-grams.
+
+    Characters of the alphabet are numbered, white space is one and all others are zero.
+    An n-gram is then a number in that base, and a table gives its column; the last column
+    takes all n-grams that are not in the alphabet, and is cut off.
+    """
 
     def __init__(self, alphabet: dict[str, int], longest: int):
-        self.alphabet, self.longest, self.words = alphabet, longest, {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= _CACHED_WORDS:
-                self.words.clear()
-            hits = (self.alphabet.get(g) for g in word_ngrams(word, self.longest))
-            found = np.array([h for h in hits if h is not None], dtype=np.int32)
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
+        self.longest, self.size = longest, len(alphabet)
+        letters = sorted(set("".join(alphabet)) - {" "})
+        self.code = np.zeros(max([0x3000, *map(ord, letters)]) + 2, dtype=np.int32)
+        self.code[[c for c in range(len(self.code)) if chr(c).isspace()]] = 1
+        for number, letter in enumerate(letters, 2):
+            self.code[ord(letter)] = number
+        self.base = len(letters) + 2
+        self.columns = [np.full(self.base**n, self.size, dtype=np.int32) for n in range(1, longest + 1)]
+        for gram, column in alphabet.items():
+            self.columns[len(gram) - 1][self._numbers(gram, len(gram))[0]] = column
+
+    def _numbers(self, text: str, n: int) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        codes = self.code[np.minimum(points, len(self.code) - 1)].astype(np.int64)
+        numbers = codes[: len(codes) - n + 1].copy()
+        for k in range(1, n):
+            numbers *= self.base
+            numbers += codes[k : len(codes) - n + 1 + k]
+        return numbers
 
     def rows(self, texts: list[str]) -> np.ndarray:
-        rows = np.zeros((len(texts), len(self.alphabet)), dtype=np.float32)
+        rows = np.zeros((len(texts), self.size + 1), dtype=np.float32)
         for row, text in zip(rows, texts, strict=True):
-            words = set(text.lower().split())
-            if words:
-                row[np.concatenate([self.of_word(w) for w in words])] = 1
+            padded = f" {text.lower()} "
+            for start in range(0, len(padded), _BLOCK):
+                block = padded[start : start + _BLOCK + self.longest - 1]
+                for n, columns in enumerate(self.columns, 1):
+                    row[columns[self._numbers(block, n)]] = 1
+        rows = rows[:, : self.size]
         norms = np.sqrt(rows.sum(axis=1, keepdims=True))
         return rows / np.maximum(norms, 1)
 
@@ -89,16 +104,22 @@ class LanguageModel:
 
 def fit(
     texts: list[str], langs: list[str], longest: int = 3, alphabet_size: int = 6000, landmarks: int = 32,
-    ridge: float = 1e-2, seed: int = 7,
+    characters: int = 160, ridge: float = 1e-2, seed: int = 7,
 ) -> LanguageModel:
-    """``landmarks`` per language; the alphabet holds the most frequent landmark n-grams."""
+    """``landmarks`` texts per language give the kernel.
+
+    The alphabet holds their ``alphabet_size`` most frequent n-grams, made of their most
+    frequent ``characters``.
+    """
     languages = sorted(set(langs))
     if not languages:
         return LanguageModel([], {}, longest, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     chosen = np.random.default_rng(seed).permutation(len(texts))
     marks = [i for name in languages for i in [j for j in chosen if langs[j] == name][:landmarks]]
     seen = Counter(g for i in marks for g in set().union(*(word_ngrams(w, longest) for w in set(texts[i].lower().split()))))
-    ranked = sorted(seen, key=lambda g: (-seen[g], g))[:alphabet_size]
+    letters = sorted((g for g in seen if len(g) == 1), key=lambda g: (-seen[g], g))[:characters]
+    known = {*letters, " "}
+    ranked = sorted((g for g in seen if known.issuperset(g)), key=lambda g: (-seen[g], g))[:alphabet_size]
     presence = Presence({g: i for i, g in enumerate(ranked)}, longest)
     rows = presence.rows(texts)
     base = rows[marks]

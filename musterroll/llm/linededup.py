@@ -155,7 +155,6 @@ def repeated_runs(docs: DataFrame, gram_words: int, window_words: int) -> DataFr
     return runs.groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-@F.pandas_udf("struct<kept: string, lines: bigint, removed: bigint>")
 def _without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     out = []
     for text, found in zip(texts, runs, strict=True):
@@ -192,7 +191,8 @@ def drop_repeated_lines(
     runs = repeated_runs(source, gram_words, window_words)
     runs = runs.select(*[F.col(c).alias(f"_cut_{c}") for c in [*KEY, "runs"]])
     same = docs[doc_id].eqNullSafe(runs["_cut_doc"]) & (body == runs["_cut_body"])
-    cut = docs.join(runs, same, "left").withColumn("_cut", _without(F.col(text), F.col("_cut_runs")))
+    without = F.pandas_udf(_without, "struct<kept: string, lines: bigint, removed: bigint>")
+    cut = docs.join(runs, same, "left").withColumn("_cut", without(F.col(text), F.col("_cut_runs")))
     columns = [F.col("_cut.kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     added = [F.col(f"_cut.{f}").alias(c) for f, c in (("lines", n_lines), ("removed", n_removed)) if c]
     return cut.select(*columns, *added)
