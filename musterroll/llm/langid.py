@@ -120,7 +120,8 @@ def fit(
     letters = sorted((g for g in seen if len(g) == 1), key=lambda g: (-seen[g], g))[:characters]
     known = {*letters, " "}
     ranked = sorted((g for g in seen if known.issuperset(g)), key=lambda g: (-seen[g], g))[:alphabet_size]
-    presence = Presence({g: i for i, g in enumerate(ranked)}, longest)
+    alphabet = {g: i for i, g in enumerate(ranked)}
+    presence = Presence(alphabet, longest)
     rows = presence.rows(texts)
     base = rows[marks]
     # Nyström map: kernel values times the inverse square root of the landmark kernel.
@@ -133,7 +134,7 @@ def fit(
     target = np.array([[1.0 if name == own else -1.0 for name in languages] for own in langs])
     left = (mapped * weight[:, None]).T @ mapped + ridge * len(langs) * np.eye(mapped.shape[1]) / mapped.shape[1]
     solved = half @ np.linalg.solve(left, (mapped * weight[:, None]).T @ target)
-    return LanguageModel(languages, presence.alphabet, longest, base, solved.astype(np.float32))
+    return LanguageModel(languages, alphabet, longest, base, solved.astype(np.float32))
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, keep: Column, per_language: int, longest_text: int) -> DataFrame:
