@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, langid, linededup, packing, pii, simhash
+from musterroll.llm import bpe, langid, linededup, packing, pii, quality, simhash
 from musterroll.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,17 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.fit_on(docs, labels, keep=fold("doc_id", 5) != 0)
+    scored = quality.score(docs, model)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
