@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, langid, linededup, packing, pii, quality, simhash, topk
+from musterroll.llm import bpe, langid, linededup, packing, pii, quality, simhash, topk, vecdedup
 from musterroll.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
