@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.llm import bpe, langid, linededup, packing, pii, quality, simhash, topk, vecdedup
+from musterroll.llm import bpe, katz, langid, linededup, packing, pii, quality, simhash, topk, vecdedup
 from musterroll.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,12 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return katz.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
