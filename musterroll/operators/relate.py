@@ -8,6 +8,7 @@ needed, children are aggregated before the join.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,25 +160,27 @@ def ready_within(
 
 
 def owned_closure(
-    edges: DataFrame, roots: DataFrame, max_depth: int, parent: str = "parent_id",
-    child: str = "child_id",
+    edges: DataFrame, roots: DataFrame, parent: str = "parent_id", child: str = "child_id",
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Every descendant of each root with its depth; the root itself is depth zero.
 
     One join per level. A level is written before the next one starts, so no plan grows
     with the depth; while it is small it is broadcast and the edges are not shuffled. The
     search ends at an empty level. A node reached twice keeps its least depth, which also
-    ends cycles.
+    ends cycles. Descendants below ``max_depth``, if one is given, are an error.
     """
     level = written(
         roots.select(F.col("root"), F.col("root").alias("node")).distinct()
         .withColumn("depth", F.lit(0)), "closure",
     )
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         size = level.count()
         if not size:
             break
+        if max_depth is not None and depth > max_depth + 1:
+            raise ValueError(f"{size} nodes lie deeper than {max_depth} levels")
         reached = (
             edges.join(small_side(level, size), level["node"] == edges[parent])
             .select("root", F.col(child).alias("node"))

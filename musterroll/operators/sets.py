@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from musterroll.functions.comparing import comparable
+
 
 def drift(expected: DataFrame, actual: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    """Per key: missing, extra, changed or same. Keys are unique on both sides."""
-    left = expected.select(*key, F.struct(*cols).alias("_expected"))
-    right = actual.select(*key, F.struct(*cols).alias("_actual"))
+    """Per key: missing, extra, changed or same.
+
+    Maps, also nested ones, are equal if their entries are. A null key equals a null key.
+    Keys are unique on both sides; a key that is not gives one row per pair.
+    """
+
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        values = [comparable(F.col(c), rows.schema[c].dataType).alias(c) for c in cols]
+        named = [F.col(k).alias(f"_{prefix}_{k}") for k in key]
+        return rows.select(*named, F.struct(*values).alias(f"_{prefix}"))
+
+    left, right = side(expected, "expected"), side(actual, "actual")
+    match = reduce(and_, [F.col(f"_expected_{k}").eqNullSafe(F.col(f"_actual_{k}")) for k in key])
+    both = [F.coalesce(f"_expected_{k}", f"_actual_{k}").alias(k) for k in key]
     state = (
         F.when(F.col("_actual").isNull(), "missing")
         .when(F.col("_expected").isNull(), "extra")
         .when(F.col("_expected").eqNullSafe(F.col("_actual")), "same")
         .otherwise("changed")
     )
-    return left.join(right, key, "full_outer").select(*key, state.alias("drift"))
+    return left.join(right, match, "full_outer").select(*both, state.alias("drift"))
 
 
 def missing_components(

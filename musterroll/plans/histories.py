@@ -10,10 +10,11 @@ from musterroll.plans import roles
 from musterroll.plans.registry import query
 from musterroll.plans.rollups import JOB_RUNS_SQL
 from musterroll.session import scratch_path
-from musterroll.sources.snapshot import read_watch
+from musterroll.sources.snapshot import close_feed, closing_folder, read_watch
 from musterroll.streaming import live, replay, ticks
 
 AS_OF = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
+END = "TIMESTAMP_NTZ'2025-01-01 00:00:00'"
 
 _AUTOSCALER_SQL = """
     , s AS (SELECT key, seq, ts, target, minimum, maximum,
@@ -106,10 +107,20 @@ def tick_samples(spark, sf):
 # --- streams over the event files ----------------------------------------------------
 
 
-def live_watch(spark, sf):
+def live_watch(spark, sf, closing=None):
     """The event file as a stream with the watch columns."""
     schema = roles.table(spark, sf, "events").schema
-    return roles.watch_columns(read_watch(spark, sf, schema, files="events.parquet"))
+    return roles.watch_columns(read_watch(spark, sf, schema, files="events.parquet", closing=closing))
+
+
+def backfilled(spark, sf, label, of_watch, at=END):
+    """What a stream over the event file gives once its time has come to ``at``."""
+    schema = roles.table(spark, sf, "events").schema
+    closing = closing_folder(spark, schema)
+    stream = of_watch(live_watch(spark, sf, closing))
+    return live.run_available(
+        stream, label, close=lambda: close_feed(spark, closing, schema, "ts", F.expr(at))
+    )
 
 
 @query("s2_read_watch", roles=("watch",), sql="""
@@ -119,16 +130,17 @@ def read_watch_query(spark, sf):
     return seen.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("t4_coalesce_updates", roles=("watch",), sql="""
-    SELECT key, seq, ts, target FROM watch
-    QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) = 1
-    UNION ALL SELECT -cluster_id - 1, -1, TIMESTAMP '2020-01-01', minimum
-    FROM (SELECT c_custkey AS cluster_id, CAST(c_custkey % 5 AS INTEGER) AS minimum FROM customer)
-    UNION ALL SELECT cluster_id, -1, TIMESTAMP '2020-01-01', minimum
-    FROM (SELECT c_custkey AS cluster_id, CAST(c_custkey % 5 AS INTEGER) AS minimum FROM customer)
-    WHERE cluster_id NOT IN (SELECT key FROM watch)""")
+@query("t4_coalesce_updates", roles=("watch", "clusters"), sql="""
+    , u AS (SELECT key, seq, ts, CASE WHEN event_type <> 'error' THEN target END AS target
+            FROM watch
+            UNION ALL SELECT cluster_id, -1, TIMESTAMP '2020-01-01', minimum FROM clusters
+            UNION ALL SELECT -cluster_id - 1, -1, TIMESTAMP '2020-01-01', minimum FROM clusters)
+    SELECT key, list(seq ORDER BY ts DESC, seq DESC)[1] AS seq, max(ts) AS ts,
+           (list(target ORDER BY ts DESC, seq DESC) FILTER (target IS NOT NULL))[1] AS target
+    FROM u GROUP BY key""")
 def coalesce_updates(spark, sf):
-    updates = live_watch(spark, sf).select("key", "seq", "ts", "target")
+    named = F.when(F.col("event_type") != "error", F.col("target"))
+    updates = live_watch(spark, sf).select("key", "seq", "ts", named.alias("target"))
     start = roles.watch_clusters(spark, sf).select(
         "key", F.lit(-1).cast("long").alias("seq"),
         F.expr("TIMESTAMP_NTZ'2020-01-01'").cast("timestamp").alias("ts"),
@@ -155,42 +167,30 @@ def job_runs_stream(spark, sf):
     FROM (SELECT * FROM e WHERE event_type = 'signup') c
     LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') r
     ON r.key = c.key AND r.ts >= c.ts AND r.ts < c.ts + INTERVAL 6 HOUR
-    WHERE epoch_us(c.ts) + 21600000000 < (SELECT epoch_us(max(ts)) FROM e) // 1000 * 1000
     GROUP BY c.key, c.seq, c.ts""")
 def ready_within_stream(spark, sf):
-    events = live_watch(spark, sf).select("key", "seq", "ts", "event_type")
-    settled = live.ready_within_stream(
-        events, "key", "ts", "seq", F.col("event_type") == "signup",
-        F.col("event_type") == "click", roles.READY_TIMEOUT,
-    )
-    return live.run_available(settled, "ready").withColumnRenamed("t", "ts")
+    return backfilled(spark, sf, "ready", lambda watch: live.ready_within_stream(
+        watch.select("key", "seq", "ts", "event_type"), "key", "ts", "seq",
+        F.col("event_type") == "signup", F.col("event_type") == "click", roles.READY_TIMEOUT,
+    ))
 
 
-# A change at the watermark itself may still be joined by an equally late one.
-_FINAL = " AND ts < (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) FROM watch)"
-
-
-@query("t1_replay_autoscaler_stream", roles=("watch", "clusters"), sql=_AUTOSCALER_SQL + _FINAL)
+@query("t1_replay_autoscaler_stream", roles=("watch", "clusters"), sql=_AUTOSCALER_SQL)
 def replay_autoscaler_stream(spark, sf):
-    changes = live.replay_autoscaler_stream(
-        live_watch(spark, sf), roles.watch_clusters(spark, sf), "key", "ts", "seq", "target",
-        "minimum", "maximum", "minimum", roles.COOLDOWN,
-    )
-    return live.run_available(changes, "autoscaler").withColumnRenamed("t", "ts")
+    return backfilled(spark, sf, "autoscaler", lambda watch: live.replay_autoscaler_stream(
+        watch, roles.watch_clusters(spark, sf), "key", "ts", "seq", "target", "minimum",
+        "maximum", "minimum", roles.COOLDOWN,
+    ))
 
 
-@query("t2_idle_shutdowns_stream", roles=("watch", "clusters"), sql=_IDLE_SQL.replace(
-    "TIMESTAMP '2024-02-01'", """(SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000 - 1)
-    FROM watch JOIN clusters ON cluster_id = key WHERE idle_timeout_s > 0)"""))
+@query("t2_idle_shutdowns_stream", roles=("watch", "clusters"), sql=_IDLE_SQL)
 def idle_shutdowns_stream(spark, sf):
-    shutdowns = live.idle_shutdowns_stream(
-        live_watch(spark, sf), roles.watch_clusters(spark, sf), "key", "ts", "seq",
-        "idle_timeout_s",
-    )
-    return live.run_available(shutdowns, "idle")
+    return backfilled(spark, sf, "idle", lambda watch: live.idle_shutdowns_stream(
+        watch, roles.watch_clusters(spark, sf), "key", "ts", "seq", "idle_timeout_s",
+    ), at=f"{AS_OF} + INTERVAL '1' SECOND")
 
 
-@query("t3_throttle_stream", roles=("watch",), sql=_THROTTLE_SQL + _FINAL)
+@query("t3_throttle_stream", roles=("watch",), sql=_THROTTLE_SQL)
 def throttle_stream(spark, sf):
-    kept = live.throttle_stream(live_watch(spark, sf), "key", "ts", "seq", roles.COOLDOWN)
-    return live.run_available(kept, "throttle").withColumnRenamed("t", "ts")
+    return backfilled(spark, sf, "throttle", lambda watch: live.throttle_stream(
+        watch, "key", "ts", "seq", roles.COOLDOWN))

@@ -112,7 +112,7 @@ def owned_closure(spark, sf):
     roots = roles.table(spark, sf, "region").select(
         F.concat(F.lit("r"), "r_regionkey").alias("root")
     )
-    return relate.owned_closure(roles.edges(spark, sf), roots, max_depth=4)
+    return relate.owned_closure(roles.edges(spark, sf), roots)
 
 
 @query("j9_connect_plan", roles=("clusters", "worker_groups"), sql="""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from musterroll.functions.comparing import comparable
 from musterroll.operators.relate import orphans
+from musterroll.session import scratch_path
 from musterroll.sources.schemas import schema_of
 
 FILES_PER_BATCH = 64
@@ -39,11 +41,14 @@ def read_watch(
     lateness: str = "0 seconds",
     files: str | None = None,
     files_per_batch: int = FILES_PER_BATCH,
+    closing: str | None = None,
 ) -> DataFrame:
     """The change feed as a stream with event time, from files that keep arriving.
 
     A backlog is taken in batches of ``files_per_batch`` files, which bounds what one key
-    can bring into one task.
+    can bring into one task. The watermark follows every row of the feed; conditions that
+    are to stay above it have to be ``timed`` ones. ``closing`` is a folder from
+    ``closing_folder``: a row there, null but for its time, ends a backfill.
 
     Zone-less times become session-zone timestamps, which a watermark requires; keep
     the session in UTC.
@@ -51,18 +56,52 @@ def read_watch(
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if files is not None:
         reader = reader.option("pathGlobFilter", files)
-    feed = reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
-    return feed.withWatermark(ts, lateness)
+    feed = reader.parquet(path)
+    if closing is not None:
+        feed = feed.unionByName(spark.readStream.schema(schema).parquet(closing))
+    return feed.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+
+
+def closing_folder(spark: SparkSession, schema: T.StructType | str) -> str:
+    """A new folder for the row that ends a backfill."""
+    path = scratch_path(spark, "closing")
+    spark.createDataFrame([], schema).write.parquet(path)
+    return path
+
+
+def close_feed(spark: SparkSession, closing: str, schema: T.StructType, ts: str, at: Column) -> None:
+    """Let the feed's time be ``at``: all earlier rows are final from then on."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != ts]
+    row = spark.range(1).select(*empty, at.cast(schema[ts].dataType).alias(ts))
+    row.select(*schema.fieldNames()).write.mode("append").parquet(closing)
+
+
+def timed(condition: Column, ts: str) -> Column:
+    """The condition in a form that the optimizer does not push below the watermark.
+
+    Rows that it drops there would not move the clock. It leaves conditions on the event
+    time where they are; rows without a time have been dropped anyway.
+    """
+    return F.coalesce(condition, F.lit(False)) | F.col(ts).isNull()
 
 
 def read_manifests(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
-    """JSON documents as a typed ``manifest`` column; what does not parse stays in ``bad``."""
+    """JSON documents as a typed ``manifest`` column; what does not parse stays in ``bad``.
+
+    ``extra`` holds the top-level fields that the schema does not name, as JSON texts.
+    """
     kept = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     parsed = df.withColumn("_parsed", F.from_json(json_col, kept, options))
-    return parsed.withColumn(
-        "manifest", F.struct(*[F.col("_parsed")[f.name].alias(f.name) for f in schema.fields])
-    ).withColumn("bad", F.col("_parsed")["_corrupt_record"]).drop("_parsed")
+    bad = F.col("_parsed")["_corrupt_record"]
+    named = F.array(*[F.lit(f.name) for f in schema.fields])
+    fields = F.from_json(json_col, "map<string,string>")
+    extra = F.map_filter(fields, lambda name, _: ~F.array_contains(named, name))
+    return parsed.withColumns({
+        "manifest": F.struct(*[F.col("_parsed")[f.name].alias(f.name) for f in schema.fields]),
+        "bad": bad,
+        "extra": F.when(bad.isNull() & (F.size(extra) > 0), extra),
+    }).drop("_parsed")
 
 
 def upsert_current(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
@@ -85,11 +124,11 @@ def create_missing(
 ) -> DataFrame:
     """Existing rows, and the desired ones whose key is absent; running it twice adds none.
 
-    Of several desired rows with one key the least in ``order`` is created.
+    Of several desired rows with one key the least in ``order`` is created; maps compare by
+    their sorted entries.
     """
     rest = [c for c in desired.columns if c not in key]
-    first = desired.groupBy(*key).agg(
-        F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("_row")
-    )
+    place = F.struct(*[comparable(F.col(c), desired.schema[c].dataType) for c in order or rest])
+    first = desired.groupBy(*key).agg(F.min_by(F.struct(*rest), place).alias("_row"))
     unique = first.select(*key, "_row.*").select(*desired.columns)
     return existing.unionByName(orphans(unique, existing, key))

@@ -1,7 +1,8 @@
 """The same rules on a live change feed.
 
-``run_available`` drives any of these streams over the files present and stops, which is
-also how a backfill runs. Sinks are tables in the shared folder; every one survives a
+``run_available`` drives any of these streams over the files present and stops; with a
+closing row it also settles what the last watermark leaves open, which is how a backfill
+runs. Sinks are tables in the shared folder; every one survives a
 restart from its checkpoint, and a repeated batch overwrites what it wrote before.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from musterroll.operators.rollup import job_fields, job_run_columns, latest_state
+from musterroll.operators.rollup import job_fields, job_run_columns, latest_state, replay_patches
 from musterroll.session import scratch_path
+from musterroll.sources.snapshot import timed
 from musterroll.streaming.replay import MICROS, next_replicas
 from musterroll.streaming.ticks import IDLE_CHECK_PERIOD
 
@@ -38,21 +42,27 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 def run_available(
-    stream: DataFrame, label: str, mode: str = "append", path: str | None = None
+    stream: DataFrame, label: str, mode: str = "append", path: str | None = None,
+    close: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Run a stream over the files present and return the table it wrote.
 
-    With the ``path`` of an earlier run it goes on from that run's checkpoint.
+    With the ``path`` of an earlier run it goes on from that run's checkpoint. ``close``
+    is called when all files have been read and adds the closing row of the feed
+    (``close_feed``); the stream then goes on until that row has settled the rest.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, label)
     with rocksdb_state(spark):
-        query = (
-            stream.writeStream.format("parquet").outputMode(mode)
-            .option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(availableNow=True).start(f"{path}/table")
-        )
-        query.awaitTermination()
+        for before in [None] if close is None else [None, close]:
+            if before is not None:
+                before()
+            query = (
+                stream.writeStream.format("parquet").outputMode(mode)
+                .option("checkpointLocation", f"{path}/checkpoint")
+                .trigger(availableNow=True).start(f"{path}/table")
+            )
+            query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
@@ -70,9 +80,10 @@ def coalesce_updates(
 ) -> DataFrame:
     """Apply updates to a table of current rows, one write per key and micro-batch.
 
-    Several updates of a key in a batch collapse to the last before they meet the table,
-    and an update older than the table's row changes nothing. Each batch writes a new
-    version of the table from the one before, so repeating a batch is harmless.
+    Several updates of a key in a batch collapse before they meet the table. A null is "not
+    mentioned": the last value of each field counts, in ``order``, whether it came with an
+    update or stood in the table. Each batch writes a new version of the table from the
+    one before, so repeating a batch is harmless.
     """
     spark = updates.sparkSession
     versions = f"{path}/versions"
@@ -80,8 +91,8 @@ def coalesce_updates(
     def apply(batch: DataFrame, batch_id: int) -> None:
         earlier = f"{versions}/version={batch_id - 1}"
         before = current if batch_id == 0 else spark.read.schema(current.schema).parquet(earlier)
-        changes = latest_state(batch, key, order).select(*current.columns)
-        merged = latest_state(before.unionByName(changes), key, order)
+        fields = [c for c in current.columns if c not in key]
+        merged = replay_patches(before.unionByName(batch.select(*current.columns)), key, order, fields)
         merged.write.mode("overwrite").parquet(f"{versions}/version={batch_id}")
 
     _per_batch(updates, path, "append", apply).awaitTermination()
@@ -145,9 +156,9 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            arrived = part[["t", "seq", "value", "start"]].astype("object")
+            arrived = part[["at_micros", "at_seq", "value", "start"]].astype("object")
             self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
-            self.handle.registerTimer(int(arrived["t"].min()) // 1000 + 1)
+            self.handle.registerTimer(int(arrived["at_micros"].min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -216,65 +227,85 @@ class Idle(InOrder):
         return state, found
 
 
-def _in_order(rows: DataFrame, key: str, processor: InOrder) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _out(rows: DataFrame, key: list[str], fields: str) -> str:
+    """The output schema: the key columns with their own types, and ``fields``."""
+    return ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key), fields])
+
+
+def _in_order(rows: DataFrame, key: list[str], processor: InOrder) -> DataFrame:
     schema = T.StructType.fromDDL(processor.out)
-    return rows.groupBy(key).transformWithStateInPandas(
+    return rows.groupBy(*key).transformWithStateInPandas(
         processor, schema, "append", "EventTime"
     )
 
 
-def _timed(df: DataFrame, key: str, *fields: str) -> DataFrame:
-    at = [F.timestamp_micros(f).cast("timestamp_ntz").alias(f) for f in fields]
-    return df.select(key, *at, *[c for c in df.columns if c not in (key, *fields)])
+def _timed(df: DataFrame, fields: dict[str, str], *drop: str) -> DataFrame:
+    """Micros as zone-less times, under the names of the batch operator."""
+    columns = [
+        F.timestamp_micros(c).cast("timestamp_ntz").alias(fields[c]) if c in fields else F.col(c)
+        for c in df.columns if c not in drop
+    ]
+    return df.select(*columns)
 
 
 def replay_autoscaler_stream(
-    ticks: DataFrame, bounds: DataFrame, key: str, ts: str, seq: str, target: str, minimum: str,
-    maximum: str, initial: str, cooldown: int,
+    ticks: DataFrame, bounds: DataFrame, key: str | list[str], ts: str, seq: str, target: str,
+    minimum: str, maximum: str, initial: str, cooldown: int,
 ) -> DataFrame:
     """``replay_autoscaler`` on a watermarked stream; a change appears once it is final."""
+    key = _keys(key)
     limits = bounds.select(
-        key, F.col(minimum).cast("int").alias("_min"), F.col(maximum).cast("int").alias("_max"),
+        *key, F.lit(True).alias("_known"), F.col(minimum).cast("int").alias("_min"),
+        F.col(maximum).cast("int").alias("_max"),
         F.coalesce(F.col(initial), F.col(minimum), F.lit(0)).cast("long").alias("start"),
     )
-    rows = ticks.where(F.col(target).isNotNull()).join(limits, key).select(
-        key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"),
+    joined = ticks.join(limits, key, "left")
+    rows = joined.where(timed(F.col("_known") & F.col(target).isNotNull(), ts)).select(
+        *key, ts, micros(ts).alias("at_micros"), F.col(seq).cast("long").alias("at_seq"),
         F.least("_max", F.greatest("_min", F.col(target).cast("int"))).cast("long").alias("value"),
         "start",
     )
-    out = f"{key} LONG, t LONG, seq LONG, old INT, new INT"
-    return _timed(_in_order(rows, key, Cooldown(cooldown, True, out)), key, "t")
+    out = _out(rows, key, f"at_micros LONG, {seq} LONG, old INT, new INT")
+    return _timed(_in_order(rows, key, Cooldown(cooldown, True, out)), {"at_micros": ts})
 
 
 def throttle_stream(
-    events: DataFrame, key: str, ts: str, seq: str, cooldown: int
+    events: DataFrame, key: str | list[str], ts: str, seq: str, cooldown: int
 ) -> DataFrame:
     """``throttle`` on a watermarked stream."""
+    key = _keys(key)
     zero = F.lit(0).cast("long")
-    rows = events.select(
-        key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"),
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    rows = events.where(timed(known, ts)).select(
+        *key, ts, micros(ts).alias("at_micros"), F.col(seq).cast("long").alias("at_seq"),
         zero.alias("value"), zero.alias("start"),
     )
-    out = f"{key} LONG, t LONG, seq LONG, old INT, new INT"
-    kept = _in_order(rows, key, Cooldown(cooldown, False, out))
-    return _timed(kept.drop("old", "new"), key, "t")
+    out = _out(rows, key, f"at_micros LONG, {seq} LONG, old INT, new INT")
+    return _timed(_in_order(rows, key, Cooldown(cooldown, False, out)), {"at_micros": ts}, "old", "new")
 
 
 def idle_shutdowns_stream(
-    activity: DataFrame, timeouts: DataFrame, key: str, ts: str, seq: str, timeout: str,
-    period: int = IDLE_CHECK_PERIOD,
+    activity: DataFrame, timeouts: DataFrame, key: str | list[str], ts: str, seq: str,
+    timeout: str, period: int = IDLE_CHECK_PERIOD,
 ) -> DataFrame:
     """``idle_shutdowns`` on a watermarked stream; the watermark is the current time."""
+    key = _keys(key)
     watched = timeouts.where(F.col(timeout) > 0).select(
-        key, F.col(timeout).cast("long").alias("value")
+        *key, F.col(timeout).cast("long").alias("_timeout")
     )
     zero = F.lit(0).cast("long")
-    rows = activity.join(watched, key).select(
-        key, ts, micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"), "value",
-        zero.alias("start"),
+    joined = activity.join(watched, key, "left")
+    rows = joined.where(timed(F.col("_timeout").isNotNull(), ts)).select(
+        *key, ts, micros(ts).alias("at_micros"), F.col(seq).cast("long").alias("at_seq"),
+        F.col("_timeout").alias("value"), zero.alias("start"),
     )
-    out = f"{key} LONG, idle_since LONG, shutdown_at LONG"
-    return _timed(_in_order(rows, key, Idle(period, out)), key, "idle_since", "shutdown_at")
+    out = _out(rows, key, "idle_since LONG, shutdown_at LONG")
+    names = {c: c for c in ("idle_since", "shutdown_at")}
+    return _timed(_in_order(rows, key, Idle(period, out)), names)
 
 
 class Readiness(StatefulProcessor):
@@ -289,13 +320,13 @@ class Readiness(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            arrived = part[["t", "seq", "created"]]
+            arrived = part[["at_micros", "at_seq", "is_created"]]
             self.held.appendList([tuple(r) for r in arrived.astype("object").itertuples(index=False)])
-            first = arrived["t"][arrived["created"]].min()
+            first = arrived["at_micros"][arrived["is_created"]].min()
             if first == first:
                 self._wake(int(first) + self.timeout)
         # Past this time nothing of the bucket is needed any more.
-        self._wake((key[1] + 1) * self.width + self.timeout)
+        self._wake((key[-1] + 1) * self.width + self.timeout)
         return iter(())
 
     def _wake(self, at: int) -> None:
@@ -313,10 +344,10 @@ class Readiness(StatefulProcessor):
                 rest.append((t, seq, created))
             else:
                 in_time = following is not None and following < t + self.timeout
-                found.append((key[0], key[1], seq, t, following if in_time else None,
+                found.append((*key, seq, t, following if in_time else None,
                               "ready" if in_time else "timed_out"))
         earliest = min([now, *[r[0] for r in rest]])
-        done = now > (key[1] + 1) * self.width + self.timeout
+        done = now > (key[-1] + 1) * self.width + self.timeout
         rest += [r for r in rows if not r[2] and r[0] >= earliest and not done]
         if rest:
             self.held.put(rest)
@@ -332,8 +363,8 @@ class Readiness(StatefulProcessor):
 
 
 def ready_within_stream(
-    events: DataFrame, key: str, ts: str, seq: str, created: Column, ready: Column, timeout: int,
-    bucket_timeouts: int = BUCKET_TIMEOUTS,
+    events: DataFrame, key: str | list[str], ts: str, seq: str, created: Column, ready: Column,
+    timeout: int, bucket_timeouts: int = BUCKET_TIMEOUTS,
 ) -> DataFrame:
     """``ready_within`` on a watermarked stream, without joining creations to ready events.
 
@@ -342,19 +373,20 @@ def ready_within_stream(
     Each bucket of a key is a state of its own, so a long history of one key spreads over
     many tasks, and a state keeps the rows of one timeout.
     """
+    key = _keys(key)
     width = timeout * bucket_timeouts
     at = micros(ts)
     bucket = F.floor(at / (width * MICROS))
     early = ready & (at - bucket * (width * MICROS) < timeout * MICROS)
-    own = F.struct(bucket.alias("bucket"), created.alias("created"))
-    before = F.struct((bucket - 1).alias("bucket"), F.lit(False).alias("created"))
-    rows = events.where(created | ready).select(
-        key, ts, at.alias("t"), F.col(seq).cast("long").alias("seq"),
+    own = F.struct(bucket.alias("at_bucket"), created.alias("is_created"))
+    before = F.struct((bucket - 1).alias("at_bucket"), F.lit(False).alias("is_created"))
+    rows = events.where(timed(created | ready, ts)).select(
+        *key, ts, at.alias("at_micros"), F.col(seq).cast("long").alias("at_seq"),
         F.explode(F.when(early, F.array(own, before)).otherwise(F.array(own))).alias("_b"),
     )
-    rows = rows.select(key, "_b.bucket", ts, "t", "seq", "_b.created")
-    out = f"{key} LONG, bucket LONG, seq LONG, t LONG, ready_ts LONG, outcome STRING"
-    settled = rows.groupBy(key, "bucket").transformWithStateInPandas(
+    rows = rows.select(*key, "_b.at_bucket", ts, "at_micros", "at_seq", "_b.is_created")
+    out = _out(rows, key, f"at_bucket LONG, {seq} LONG, at_micros LONG, ready_ts LONG, outcome STRING")
+    settled = rows.groupBy(*key, "at_bucket").transformWithStateInPandas(
         Readiness(timeout, width, out), T.StructType.fromDDL(out), "append", "EventTime"
     )
-    return _timed(settled.drop("bucket"), key, "t", "ready_ts")
+    return _timed(settled, {"at_micros": ts, "ready_ts": "ready_ts"}, "at_bucket")

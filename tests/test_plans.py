@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, queries
+from __spark_entry__ import entry
+from musterroll.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {n for n in queries() if n.endswith("_stream")} | {"s2_read_watch", "t4_coalesce_updates"}
+STREAMS = {n for n in QUERIES if n.endswith("_stream")} | {"s2_read_watch", "t4_coalesce_updates"}
 PYTHON = {"t1_replay_autoscaler", "t3_throttle"}
 
 
@@ -15,9 +16,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_no_cross_joins_and_no_row_udfs(spark, name):
-    plan = plan_of(queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
     assert ("MapInArrow" in plan) == (name in PYTHON)
@@ -33,7 +34,7 @@ def shuffles(plan):
     ("w3_stuck_in_phase", 1), ("j11_ready_within", 1), ("t3_throttle", 1), ("x8_overlay_settings", 1),
 ])
 def test_one_shuffle_is_enough(spark, name, most):
-    assert shuffles(plan_of(queries()[name](spark, SF))) <= most
+    assert shuffles(plan_of(QUERIES[name](spark, SF))) <= most
 
 
 @pytest.mark.parametrize("name", [
@@ -41,21 +42,21 @@ def test_one_shuffle_is_enough(spark, name, most):
     "s7_write_specs", "x2_merge_layers", "x4_inject_env", "x10_flatten_manifest", "e1_expand_resources",
 ])
 def test_row_by_row_rules_do_not_shuffle(spark, name):
-    assert shuffles(plan_of(queries()[name](spark, SF))) == 0
+    assert shuffles(plan_of(QUERIES[name](spark, SF))) == 0
 
 
 def test_scans_read_only_what_they_need(spark):
-    plan = plan_of(queries()["j6_reconcile"](spark, SF))
+    plan = plan_of(QUERIES["j6_reconcile"](spark, SF))
     assert "ReadSchema: struct<l_orderkey:bigint>" in plan
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
-    plan = plan_of(queries()["s1_read_snapshot"](spark, SF))
+    plan = plan_of(QUERIES["s1_read_snapshot"](spark, SF))
     assert "PushedFilters: [In(c_nationkey, [1,5,9])]" in plan
-    plan = plan_of(queries()["f1_select_labels"](spark, SF))
+    plan = plan_of(QUERIES["f1_select_labels"](spark, SF))
     assert "EqualTo(c_mktsegment,BUILDING)" in plan
 
 
 def test_replay_sits_on_a_clustered_window(spark):
-    plan = plan_of(queries()["t1_replay_autoscaler"](spark, SF))
+    plan = plan_of(QUERIES["t1_replay_autoscaler"](spark, SF))
     below = plan[plan.index("MapInArrow"):]
     assert "Window" in below[: below.index("Join")]
 

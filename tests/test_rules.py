@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from musterroll.functions import clock, counting, labels, manifests, names, phases
 from musterroll.operators import expand, ordered, relate, rollup, select, sets
@@ -273,10 +274,18 @@ def test_closure_ends_cycles_and_keeps_least_depth(spark):
         [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d"), ("x", "y")],
         "parent_id STRING, child_id STRING")
     roots = spark.createDataFrame([("a",), ("x",), ("lone",)], "root STRING")
-    found = values(relate.owned_closure(edges, roots, 10), "root", "node", "depth")
+    found = values(relate.owned_closure(edges, roots), "root", "node", "depth")
     assert found == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2),
                      ("lone", "lone", 0), ("x", "x", 0), ("x", "y", 1)]
-    assert ("a", "d", 2) not in values(relate.owned_closure(edges, roots, 1), "root", "node", "depth")
+    assert values(relate.owned_closure(edges, roots, max_depth=2), "root", "node", "depth") == found
+    with pytest.raises(ValueError, match="deeper"):
+        relate.owned_closure(edges, roots, max_depth=1)
+
+
+def test_closure_follows_long_chains(spark):
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)], "parent_id STRING, child_id STRING")
+    found = relate.owned_closure(chain, spark.createDataFrame([("0",)], "root STRING"))
+    assert values(found, "node", "depth") == sorted((str(i), i) for i in range(41))
 
 
 def test_rules_match_label_subsets(spark):
@@ -322,6 +331,25 @@ def test_ready_within_bounds(spark):
         (1, None, "timed_out"), (2, at(20), "ready"), (3, None, "timed_out"), (4, None, "timed_out")]
 
 
+def test_drift_compares_maps_and_null_keys(spark):
+    kind = "k INT, labels MAP<STRING, STRING>, spec STRUCT<env: ARRAY<MAP<STRING, INT>>>"
+    expected = spark.createDataFrame(
+        [(1, {"a": "1", "b": "2"}, ([{"x": 1, "y": 2}],)), (2, {"a": "1"}, None), (None, None, None)], kind)
+    actual = spark.createDataFrame(
+        [(1, {"b": "2", "a": "1"}, ([{"y": 2, "x": 1}],)), (2, {"a": "2"}, None), (None, None, None)], kind)
+    found = {r.k: r.drift for r in sets.drift(expected, actual, ["k"], ["labels", "spec"]).collect()}
+    assert found == {1: "same", 2: "changed", None: "same"}
+    created = snapshot.create_missing(expected.where("k = 1"), actual.where("k IS NOT NULL"), ["k"])
+    assert {r.k: r.labels for r in created.collect()} == {1: {"a": "1", "b": "2"}, 2: {"a": "2"}}
+
+
+def test_unknown_fields_of_manifests_are_kept(spark):
+    lines = spark.createDataFrame([('{"k": 1, "other": {"a": [2]}}',), ('{"k": 2}',), ("{",)], "j STRING")
+    found = {r.j: r for r in snapshot.read_manifests(lines, "j", T.StructType.fromDDL("k INT")).collect()}
+    assert found['{"k": 1, "other": {"a": [2]}}'].extra == {"other": '{"a":[2]}'}
+    assert found['{"k": 2}'].extra is None and found["{"].extra is None and found["{"].bad == "{"
+
+
 def test_drift_and_missing(spark):
     expected = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, None)], "k INT, v STRING")
     actual = spark.createDataFrame([(1, "a"), (2, "b"), (4, None), (5, "e")], "k INT, v STRING")

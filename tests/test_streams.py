@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from musterroll.operators import relate, rollup
 from musterroll.session import scratch_path
-from musterroll.sources.snapshot import read_watch
+from musterroll.sources.snapshot import close_feed, closing_folder, read_watch
 from musterroll.streaming import live, replay, ticks
 
 START = datetime(2024, 1, 1)
@@ -17,10 +17,6 @@ PHASES = ["Created", "Pending", "Running", "Succeeded", "Failed"]
 LATENESS = 120
 
 
-def whole_millis(at):
-    return at.replace(microsecond=at.microsecond // 1000 * 1000)
-
-
 @pytest.fixture(scope="module")
 def feed(spark):
     """Six files in time order, but rows may be up to two minutes late."""
@@ -38,17 +34,24 @@ def feed(spark):
     return path, spark.createDataFrame(rows, SCHEMA).cache()
 
 
-def stream(spark, feed):
+def stream(spark, feed, closing=None):
     schema = feed[1].schema
-    return read_watch(spark, feed[0], schema, lateness=f"{LATENESS} seconds", files_per_batch=1)
+    return read_watch(
+        spark, feed[0], schema, lateness=f"{LATENESS} seconds", files_per_batch=1, closing=closing)
 
 
-def rows_of(df):
-    return sorted(tuple(r) for r in df.collect())
+def settled(spark, feed, of_feed, label):
+    """All rows of a stream whose feed has come to its end."""
+    schema = feed[1].schema
+    closing = closing_folder(spark, schema)
+    end = F.lit(START + timedelta(days=40))
+    return live.run_available(
+        of_feed(stream(spark, feed, closing)), label,
+        close=lambda: close_feed(spark, closing, schema, "ts", end))
 
 
-def final_time(feed):
-    return feed[1].agg(F.max("ts")).first()[0] - timedelta(seconds=LATENESS)
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
 
 
 def test_autoscaler(spark, feed):
@@ -56,49 +59,66 @@ def test_autoscaler(spark, feed):
         [(1, 1, 9), (2, 0, 5), (3, 2, 20), (4, 6, 3)], "key LONG, low INT, high INT"
     )
     args = ("ts", "seq", "target", "low", "high", "low", 45)
-    changes = live.replay_autoscaler_stream(stream(spark, feed), bounds, "key", *args)
-    found = rows_of(live.run_available(changes, "autoscaler").select("key", "t", "seq", "old", "new"))
+    found = settled(
+        spark, feed, lambda f: live.replay_autoscaler_stream(f, bounds, "key", *args), "autoscaler")
     batch = replay.replay_autoscaler(feed[1], bounds, ["key"], *args)
-    end = whole_millis(final_time(feed))
-    assert found == [r for r in rows_of(batch) if r[1] < end]
-    assert len(found) > 100
+    assert rows_of(found.select(batch.columns)) == rows_of(batch) and found.count() > 100
 
 
 def test_throttle(spark, feed):
-    kept = live.throttle_stream(stream(spark, feed), "key", "ts", "seq", 45)
-    found = rows_of(live.run_available(kept, "throttle").select("key", "t", "seq"))
+    found = settled(spark, feed, lambda f: live.throttle_stream(f, "key", "ts", "seq", 45), "throttle")
     batch = replay.throttle(feed[1], ["key"], "ts", "seq", 45)
-    end = whole_millis(final_time(feed))
-    assert found == [r for r in rows_of(batch) if r[1] < end]
+    assert rows_of(found.select(batch.columns)) == rows_of(batch)
+
+
+def test_throttle_by_namespace_and_name(spark, feed):
+    def named(events):
+        name = F.concat(F.lit("c"), F.col("key").cast("string"))
+        return events.select((F.col("key") % 2).cast("string").alias("namespace"), name.alias("name"), "ts", "seq")
+
+    key = ["namespace", "name"]
+    found = settled(
+        spark, feed, lambda f: live.throttle_stream(named(f), key, "ts", "seq", 45), "named")
+    batch = replay.throttle(named(feed[1]), key, "ts", "seq", 45)
+    assert rows_of(found.select(batch.columns)) == rows_of(batch)
 
 
 def test_idle_shutdowns(spark, feed):
     timeouts = spark.createDataFrame([(1, 60), (2, 90), (3, 100000), (4, 0)], "key LONG, idle INT")
-    shutdowns = live.idle_shutdowns_stream(
-        stream(spark, feed), timeouts, "key", "ts", "seq", "idle"
-    )
-    found = rows_of(live.run_available(shutdowns, "idle"))
-    as_of = F.lit(final_time(feed)).cast("timestamp_ntz")
+    found = settled(spark, feed, lambda f: live.idle_shutdowns_stream(
+        f, timeouts, "key", "ts", "seq", "idle"), "idle")
+    as_of = F.lit(START + timedelta(days=39)).cast("timestamp_ntz")
     batch = ticks.idle_shutdowns(feed[1], timeouts, ["key"], "ts", "seq", "idle", as_of)
-    assert found == rows_of(batch) and found
+    assert rows_of(found.select(batch.columns)) == rows_of(batch) and found.count() == 3
+
+
+def test_every_row_of_the_feed_moves_the_clock(spark):
+    """Events of other kinds and clusters settle a creation and an idle cluster."""
+    path = scratch_path(spark, "feed")
+    others = [(2, START + timedelta(seconds=s), 10 + s, "Pending", None) for s in range(0, 5000, 100)]
+    for part in ([(1, START, 1, "Created", None)], others):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    events = spark.read.parquet(path)
+    feed = read_watch(spark, path, events.schema)
+    ready = live.ready_within_stream(
+        feed, "key", "ts", "seq", F.col("phase") == "Created", F.col("phase") == "Running", 50)
+    found = live.run_available(ready, "ready").select("key", "outcome").collect()
+    assert [tuple(r) for r in found] == [(1, "timed_out")]
+    timeouts = spark.createDataFrame([(1, 60)], "key LONG, idle INT")
+    idle = live.idle_shutdowns_stream(feed, timeouts, "key", "ts", "seq", "idle")
+    assert [r.key for r in live.run_available(idle, "idle").collect()] == [1]
 
 
 @pytest.mark.parametrize("bucket_timeouts", [1, 16])
 def test_ready_within(spark, feed, bucket_timeouts):
-    settled = live.ready_within_stream(
-        stream(spark, feed), "key", "ts", "seq", F.col("phase") == "Created",
-        F.col("phase") == "Running", 50, bucket_timeouts,
-    )
-    found = rows_of(live.run_available(settled, "ready").select(
-        "key", "seq", "t", "ready_ts", "outcome"))
+    found = settled(spark, feed, lambda f: live.ready_within_stream(
+        f, "key", "ts", "seq", F.col("phase") == "Created", F.col("phase") == "Running", 50,
+        bucket_timeouts), "ready")
     batch = relate.ready_within(
         feed[1].where("phase = 'Created'"), feed[1].where("phase = 'Running'"), ["key"], "ts",
         "seq", 50,
     )
-    seen = feed[1].where("phase IN ('Created', 'Running')").agg(F.max("ts")).first()[0]
-    end = whole_millis(seen - timedelta(seconds=LATENESS)) - timedelta(seconds=50)
-    assert found == [r for r in rows_of(batch) if r[2] < end]
-    assert len(found) > 100
+    assert rows_of(found.select(batch.columns)) == rows_of(batch) and found.count() > 100
 
 
 def test_job_runs(spark, feed):
