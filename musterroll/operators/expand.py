@@ -98,19 +98,21 @@ def expand_jobs(jobs: DataFrame, words: Vocabulary) -> DataFrame:
 
 
 def expand_workers(
-    groups: DataFrame, group: str, needed: str = "needed", current: str = "current"
+    groups: DataFrame, group: str, needed: str = "needed", last_ordinal: str = "last_ordinal"
 ) -> DataFrame:
     """One row per worker to create, with an id and a name that are the same every run.
 
-    Ordinals continue after the current members; the id is a digest of group and ordinal.
+    Ordinals continue after ``last_ordinal``, the highest one that the group has ever used
+    (null: none), so no name meets that of a live worker, whichever ones were deleted.
+    The id is 64 bits of a digest of group and ordinal.
     """
     rows = numbered_rows(groups, [group], F.col(needed), "_i")
-    ordinal = F.col(current) + F.col("_i") + 1
+    ordinal = F.coalesce(F.col(last_ordinal), F.lit(0)) + F.col("_i") + 1
     name = F.col(group).cast("string")
     digest = F.sha2(F.concat_ws(":", name, ordinal.cast("string")), 256)
     return (
         rows.withColumn("ordinal", ordinal)
-        .withColumn("worker_id", F.substring(digest, 1, 10))
+        .withColumn("worker_id", F.substring(digest, 1, 16))
         .withColumn("worker_name", worker_name(name, F.col("worker_id")))
         .drop("_i")
     )

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from musterroll.functions.names import runner_name
 from musterroll.functions.phases import ISO_FORMAT, JOB_STATUS, lookup
+from musterroll.operators.heat import HOT_ROWS, with_previous
+
+# The phases that end a job.
+FINAL_PHASES = ("Succeeded", "Failed")
 
 
 def count_members(children: DataFrame, key: list[str], out: str = "members") -> DataFrame:
@@ -52,18 +56,8 @@ def replay_patches(
     return patches.groupBy(*key).agg(*[last(f).alias(f) for f in fields])
 
 
-def job_run_columns(ts: str, phase: str, order: list[str]) -> dict[str, Column]:
-    """Aggregates that follow a job: its status, and when it last started and ended."""
-    at = F.col(ts)
-    return {
-        "jobStatus": F.max_by(lookup(F.col(phase), JOB_STATUS), F.struct(*order)),
-        "started": F.max(F.when(F.col(phase) == "Running", at)),
-        "ended": F.max(F.when(F.col(phase).isin("Succeeded", "Failed"), at)),
-    }
-
-
 def job_fields(runs: DataFrame, key: str) -> DataFrame:
-    """The five status fields of a job and its duration, from ``job_run_columns``."""
+    """The five status fields of a job and its duration, from status, start and end."""
     name = F.col(key).cast("string")
     took = (F.col("ended") - F.col("started")).cast("interval second").cast("decimal(18,6)")
     return runs.select(
@@ -77,14 +71,26 @@ def job_fields(runs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def job_runs(events: DataFrame, key: str, ts: str, phase: str, order: list[str]) -> DataFrame:
+def job_runs(
+    events: DataFrame, key: str, ts: str, phase: str, order: list[str],
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
     """One row per job with its final status fields.
 
-    Each phase change overwrites, so a job that ran again reports its last start and
-    end; the duration is null while the last end lies before the last start.
+    A job starts when its phase changes to running and ends when it changes to a final
+    phase; seeing the same phase again moves neither. Each change overwrites, so a job that
+    ran again reports its last start and end; the duration is null while the last end lies
+    before the last start.
     """
-    runs = events.groupBy(key).agg(
-        *[c.alias(n) for n, c in job_run_columns(ts, phase, order).items()]
+    before = with_previous(
+        events.select(*dict.fromkeys([key, ts, phase, *order])), [key], order, {"_before": phase},
+        hot_rows=hot_rows,
+    )
+    changed = ~F.col(phase).eqNullSafe(F.col("_before"))
+    runs = before.groupBy(key).agg(
+        F.max_by(lookup(F.col(phase), JOB_STATUS), F.struct(*order)).alias("jobStatus"),
+        F.max(F.when(changed & (F.col(phase) == "Running"), F.col(ts))).alias("started"),
+        F.max(F.when(changed & F.col(phase).isin(*FINAL_PHASES), F.col(ts))).alias("ended"),
     )
     return job_fields(runs, key)
 

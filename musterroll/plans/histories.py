@@ -154,10 +154,9 @@ def coalesce_updates(spark, sf):
 
 @query("t5_job_runs_stream", roles=("watch",), sql=JOB_RUNS_SQL)
 def job_runs_stream(spark, sf):
-    events = live_watch(spark, sf).select("key", "seq", "ts", "phase")
-    return live.job_runs_stream(
-        events, "key", "ts", "phase", ["ts", "seq"], scratch_path(spark, "jobs")
-    )
+    written = backfilled(spark, sf, "jobs", lambda watch: live.job_runs_stream(
+        watch, "key", "ts", "seq", "phase"))
+    return live.job_runs_table(written, "key")
 
 
 @query("t6_ready_within_stream", roles=("watch",), sql="""

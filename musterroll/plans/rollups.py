@@ -59,19 +59,22 @@ def crash_looping(spark, sf):
 
 
 JOB_RUNS_SQL = """
+    , runs AS (
+      SELECT key, arg_max(phase, (ts, seq)) AS last,
+             max(ts) FILTER (WHERE changed AND phase = 'Running') AS started,
+             max(ts) FILTER (WHERE changed AND phase IN ('Succeeded', 'Failed')) AS ended
+      FROM (SELECT *, phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY key ORDER BY ts, seq)
+                   AS changed FROM watch) GROUP BY key)
     SELECT key, CAST(key AS VARCHAR) AS clusterName, key || '-runner' AS jobRunnerPodName,
-           CASE arg_max(phase, (ts, seq)) WHEN 'Created' THEN 'JobCreated'
-                WHEN 'Pending' THEN 'ClusterCreated' WHEN 'Running' THEN 'Running'
-                WHEN 'Succeeded' THEN 'Successful' ELSE 'Failed' END AS jobStatus,
-           strftime(max(ts) FILTER (WHERE phase = 'Running'), '%Y-%m-%dT%H:%M:%SZ') AS startTime,
-           strftime(max(ts) FILTER (WHERE phase IN ('Succeeded', 'Failed')),
-                    '%Y-%m-%dT%H:%M:%SZ') AS endTime,
-           CASE WHEN max(ts) FILTER (WHERE phase IN ('Succeeded', 'Failed'))
-                     >= max(ts) FILTER (WHERE phase = 'Running')
-                THEN CAST(floor((epoch_us(max(ts) FILTER (WHERE phase IN ('Succeeded', 'Failed')))
-                  - epoch_us(max(ts) FILTER (WHERE phase = 'Running'))) / 1e6) AS BIGINT)
+           CASE last WHEN 'Created' THEN 'JobCreated' WHEN 'Pending' THEN 'ClusterCreated'
+                WHEN 'Running' THEN 'Running' WHEN 'Succeeded' THEN 'Successful'
+                ELSE 'Failed' END AS jobStatus,
+           strftime(started, '%Y-%m-%dT%H:%M:%SZ') AS startTime,
+           strftime(ended, '%Y-%m-%dT%H:%M:%SZ') AS endTime,
+           CASE WHEN ended >= started
+                THEN CAST(floor((epoch_us(ended) - epoch_us(started)) / 1e6) AS BIGINT)
            END AS duration_s
-    FROM watch GROUP BY key"""
+    FROM runs"""
 
 
 @query("a5_job_runs", roles=("watch",), sql=JOB_RUNS_SQL)
@@ -214,14 +217,18 @@ def expand_resources(spark, sf):
 
 
 @query("e2_expand_workers", roles=("worker_groups", "workers", "plan"), sql="""
-    , new AS (SELECT group_id, current + unnest(range(1, needed + 1)) AS ordinal
-              FROM plan WHERE needed > 0)
-    SELECT group_id, ordinal, substr(sha256(group_id || ':' || ordinal), 1, 10) AS worker_id,
-           group_id || '-worker-' || substr(sha256(group_id || ':' || ordinal), 1, 10)
+    , new AS (SELECT group_id, coalesce(last, 0) + unnest(range(1, needed + 1)) AS ordinal
+              FROM plan LEFT JOIN (SELECT group_id, max(line) AS last FROM workers GROUP BY group_id)
+              USING (group_id) WHERE needed > 0)
+    SELECT group_id, ordinal, substr(sha256(group_id || ':' || ordinal), 1, 16) AS worker_id,
+           group_id || '-worker-' || substr(sha256(group_id || ':' || ordinal), 1, 16)
              AS worker_name
     FROM new""")
 def expand_workers(spark, sf):
-    rows = expand.expand_workers(fleet_plan(spark, sf), "group_id")
+    # The line number plays the ordinal of a worker; groups have gaps and repeats.
+    used = roles.workers(spark, sf).groupBy("group_id").agg(F.max("line").alias("last_ordinal"))
+    groups = fleet_plan(spark, sf).join(used, "group_id", "left")
+    rows = expand.expand_workers(groups, "group_id")
     return rows.select("group_id", "ordinal", "worker_id", "worker_name")
 
 

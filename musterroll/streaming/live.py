@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from musterroll.operators.rollup import job_fields, job_run_columns, latest_state, replay_patches
+from musterroll.functions.phases import JOB_STATUS
+from musterroll.operators.rollup import FINAL_PHASES, job_fields, latest_state, replay_patches
 from musterroll.session import scratch_path
 from musterroll.sources.snapshot import timed
 from musterroll.streaming.replay import MICROS, next_replicas
@@ -103,30 +104,6 @@ def coalesce_updates(
     return written.where(F.col("version") == newest).drop("version")
 
 
-def job_runs_stream(
-    events: DataFrame, key: str, ts: str, phase: str, order: list[str], path: str
-) -> DataFrame:
-    """Job status fields kept up to date; the table after the files present.
-
-    The state holds one aggregate per job. Every batch writes the jobs it touched, and
-    the last batch of a job wins.
-    """
-    spark = events.sparkSession
-    runs = events.groupBy(key).agg(
-        *[c.alias(n) for n, c in job_run_columns(ts, phase, order).items()]
-    )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
-
-    with rocksdb_state(spark):
-        _per_batch(runs, path, "update", write).awaitTermination()
-    written = spark.read.schema(
-        T.StructType(runs.schema.fields + [T.StructField("batch", T.LongType())])
-    ).parquet(f"{path}/batches")
-    return job_fields(latest_state(written, [key], ["batch"]).drop("batch"), key)
-
-
 # --- keyed state in event-time order -------------------------------------------------
 
 
@@ -227,6 +204,26 @@ class Idle(InOrder):
         return state, found
 
 
+class JobRun(InOrder):
+    """Follows the phase of a job; ``value`` numbers the phases of ``JOB_STATUS``."""
+
+    KEPT = "code LONG, started LONG, ended LONG"
+
+    def __init__(self, out: str):
+        names = list(JOB_STATUS)
+        self.out, self.running = out, names.index("Running") + 1
+        self.final = [names.index(p) + 1 for p in FINAL_PHASES]
+
+    def step(self, state, due, now):
+        for t, _, code, _ in due:
+            before, started, ended = state or (None, None, None)
+            if code != before:
+                started = t if code == self.running else started
+                ended = t if code in self.final else ended
+            state = (code, started, ended)
+        return state, [(*due[-1][:2], *state)] if due else []
+
+
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
@@ -308,6 +305,31 @@ def idle_shutdowns_stream(
     return _timed(_in_order(rows, key, Idle(period, out)), names)
 
 
+def job_runs_stream(events: DataFrame, key: str, ts: str, seq: str, phase: str) -> DataFrame:
+    """Runs of jobs on a watermarked stream: a row whenever events of a job became final.
+
+    The state holds phase, start and end. ``job_runs_table`` makes status fields of it.
+    """
+    code = F.array_position(F.array(*[F.lit(p) for p in JOB_STATUS]), F.col(phase))
+    rows = events.where(timed(F.col(key).isNotNull(), ts)).select(
+        key, ts, micros(ts).alias("at_micros"), F.col(seq).cast("long").alias("at_seq"),
+        F.coalesce(code, F.lit(0)).cast("long").alias("value"), F.lit(0).cast("long").alias("start"),
+    )
+    out = _out(rows, [key], "at_micros LONG, at_seq LONG, code LONG, started LONG, ended LONG")
+    followed = rows.groupBy(key).transformWithStateInPandas(
+        JobRun(out), T.StructType.fromDDL(out), "append", "EventTime"
+    )
+    status = F.element_at(F.array(*[F.lit(s) for s in JOB_STATUS.values()]), F.col("code").cast("int"))
+    times = {c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("started", "ended")}
+    return followed.withColumns(
+        {"jobStatus": F.when(F.col("code") > 0, status), **times}).drop("code")
+
+
+def job_runs_table(written: DataFrame, key: str) -> DataFrame:
+    """``job_runs`` from the rows that ``job_runs_stream`` has written so far."""
+    return job_fields(latest_state(written, [key], ["at_micros", "at_seq"]), key)
+
+
 class Readiness(StatefulProcessor):
     """Settles each creation once the watermark has passed its limit."""
 

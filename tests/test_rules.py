@@ -1,7 +1,7 @@
 """Small hand-made cases of the single rules."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,11 +222,11 @@ def test_reconcile_counts_empty_groups(spark):
 
 
 def test_expand_workers_is_repeatable_and_unique(spark):
-    groups = spark.createDataFrame([("g", 3, 2), ("h", 0, 1), ("i", -2, 5)], "g STRING, needed INT, current INT")
+    groups = spark.createDataFrame([("g", 3, 2), ("h", 0, 1), ("i", -2, 5), ("j", 1, None)], "g STRING, needed INT, last_ordinal INT")
     rows = values(expand.expand_workers(groups, "g"), "g", "ordinal", "worker_name")
-    assert [r[:2] for r in rows] == [("g", 3), ("g", 4), ("g", 5)]
-    assert len({r[2] for r in rows}) == 3
-    assert all(r[2].startswith("g-worker-") and len(r[2]) == 19 for r in rows)
+    assert [r[:2] for r in rows] == [("g", 3), ("g", 4), ("g", 5), ("j", 1)]
+    assert len({r[2] for r in rows}) == 4
+    assert all(r[2].startswith(f"{r[0]}-worker-") and len(r[2]) == 25 for r in rows)
     assert rows == values(expand.expand_workers(groups, "g"), "g", "ordinal", "worker_name")
 
 
@@ -389,6 +389,15 @@ def test_job_run_fields(spark):
     assert (found["k"].jobStatus, found["k"].endTime) == ("Running", None)
 
 
+def test_seeing_a_phase_again_moves_no_start(spark):
+    rows = [("j", 0, "Running"), ("j", 100, "Running"), ("j", 150, "Succeeded"), ("j", 170, "Succeeded")]
+    df = spark.createDataFrame(
+        [(j, T0 + timedelta(seconds=s), s, p) for j, s, p in rows], "job STRING, ts TIMESTAMP_NTZ, n INT, phase STRING")
+    for hot_rows in (None, 2):
+        found = rollup.job_runs(df, "job", "ts", "phase", ["ts", "n"], hot_rows=hot_rows).first()
+        assert (found.duration_s, found.startTime) == (150, "2024-01-01T00:00:00Z")
+
+
 def test_logs(spark):
     pods = spark.createDataFrame(
         [(1, "x-scheduler", "Running"), (2, "g-worker-1", "Pending"), (3, "j-runner", "Running"),

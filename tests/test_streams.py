@@ -122,11 +122,9 @@ def test_ready_within(spark, feed, bucket_timeouts):
 
 
 def test_job_runs(spark, feed):
-    found = live.job_runs_stream(
-        stream(spark, feed), "key", "ts", "phase", ["ts", "seq"], scratch_path(spark, "jobs")
-    )
+    found = settled(spark, feed, lambda f: live.job_runs_stream(f, "key", "ts", "seq", "phase"), "jobs")
     batch = rollup.job_runs(feed[1], "key", "ts", "phase", ["ts", "seq"])
-    assert rows_of(found) == rows_of(batch)
+    assert rows_of(live.job_runs_table(found, "key")) == rows_of(batch)
 
 
 def test_coalesced_updates_survive_a_restart(spark, feed):
