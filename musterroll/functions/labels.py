@@ -54,20 +54,28 @@ def list_to_env(items: Column) -> Column:
     return F.map_from_entries(items)
 
 
-def inject_env(containers: Column, defaults: Column) -> Column:
-    """Append each default to every container that does not set that name yet.
+def complete_env(env: Column, defaults: dict[str, Column]) -> Column:
+    """One container's environment with each default whose name it does not set yet.
 
-    Pass ``defaults`` as a column of the frame: an expression is evaluated once per use.
+    Plain expressions without lambdas, so it compiles; a missing environment is empty.
     """
+    kind = "array<struct<name:string,value:string>>"
 
-    def completed(container: Column) -> Column:
-        env = container["env"]
-        missing = F.filter(defaults, lambda d: ~F.array_contains(env["name"], d["name"]))
-        return container.withField(
-            "env", F.when(env.isNull(), defaults).otherwise(F.concat(env, missing))
-        )
+    def item(name: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(name).alias("name"), value.alias("value"))).cast(kind)
 
-    return F.transform(containers, completed)
+    none = F.array().cast(kind)
+    missing = [
+        F.when(F.array_contains(env["name"], F.lit(name)), none).otherwise(item(name, value))
+        for name, value in defaults.items()
+    ]
+    return F.concat(F.coalesce(env, none), *missing)
+
+
+def inject_env(containers: Column, defaults: dict[str, Column]) -> Column:
+    """Append each default to every container that does not set that name yet."""
+    return F.transform(
+        containers, lambda c: c.withField("env", complete_env(c["env"], defaults)))
 
 
 def pairs_to_settings(

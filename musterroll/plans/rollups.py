@@ -318,18 +318,15 @@ def inject_env(spark, sf):
         F.struct(F.lit("side").alias("container"), none.alias("env")),
     )
     cluster = F.concat(F.lit("c"), F.col("group_id") % 100)
-    defaults = F.array(
-        item(roles.WORDS.worker_name_env, names.worker_name(
-            F.col("group_id").cast("string"), F.col("line").cast("string"))),
-        item(roles.WORDS.scheduler_address_env,
-             manifests.scheduler_address(cluster, F.lit("default"))),
-    )
+    defaults = {
+        roles.WORDS.worker_name_env: names.worker_name(
+            F.col("group_id").cast("string"), F.col("line").cast("string")),
+        roles.WORDS.scheduler_address_env: manifests.scheduler_address(cluster, F.lit("default")),
+    }
     given = roles.workers(spark, sf).select(
-        *POD_KEYS, containers.alias("containers"), defaults.alias("defaults")
-    )
-    completed = labels.inject_env(F.col("containers"), F.col("defaults"))
-    found = given.select(*POD_KEYS, F.explode(completed).alias("_c"))
-    return found.select(*POD_KEYS, "_c.container", F.inline("_c.env"))
+        *POD_KEYS, F.explode(containers).alias("_c"))
+    completed = labels.complete_env(F.col("_c.env"), defaults)
+    return given.select(*POD_KEYS, F.col("_c.container").alias("container"), F.inline(completed))
 
 
 def _pairs(spark, sf):

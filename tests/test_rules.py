@@ -73,11 +73,9 @@ def test_merge_layers_last_wins_and_missing_is_empty(spark):
 
 
 def test_inject_env_keeps_what_is_set(spark):
-    schema = ("cs ARRAY<STRUCT<name: STRING, env: ARRAY<STRUCT<name: STRING, value: STRING>>>>,"
-              " d ARRAY<STRUCT<name: STRING, value: STRING>>")
-    row = ([("w", [("NAME", "mine")]), ("x", None), ("y", [])], [("NAME", "given"), ("ADDR", "tcp")])
-    df = spark.createDataFrame([row], schema)
-    found = df.select(labels.inject_env(F.col("cs"), F.col("d"))).first()[0]
+    schema = "cs ARRAY<STRUCT<name: STRING, env: ARRAY<STRUCT<name: STRING, value: STRING>>>>, d STRING"
+    df = spark.createDataFrame([([("w", [("NAME", "mine")]), ("x", None), ("y", [])], "given")], schema)
+    found = df.select(labels.inject_env(F.col("cs"), {"NAME": F.col("d"), "ADDR": F.lit("tcp")})).first()[0]
     assert [[tuple(e) for e in c.env] for c in found] == [
         [("NAME", "mine"), ("ADDR", "tcp")], [("NAME", "given"), ("ADDR", "tcp")],
         [("NAME", "given"), ("ADDR", "tcp")],
