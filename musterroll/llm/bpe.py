@@ -24,7 +24,7 @@ _NEVER = 1 << 60
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = regex.compile(f"[^{_SPACES}]+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
-_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
+WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 
 
 def byte_letters() -> list[str]:
@@ -35,19 +35,23 @@ def byte_letters() -> list[str]:
 
 
 class Recent(dict):
-    """Values of a function for recently used keys: at most two generations of ``size``."""
+    """Values of a function for recently used keys: two generations of about ``size``."""
 
     def __init__(self, make: Callable, size: int):
         super().__init__()
         self.make, self.size, self.older = make, size, {}
 
+    def make_room(self, n: int = 1) -> None:
+        """Call before ``n`` keys are added; the generation before the last may go."""
+        if len(self) + n > self.size and len(self):
+            self.older = dict(self)
+            self.clear()
+
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
+        self.make_room()
         self[key] = value
         return value
 
@@ -67,6 +71,15 @@ def text_pieces(text: str) -> Iterator[list[str]]:
     yield text[start:].split()
 
 
+def pre_tokens(piece: str) -> list[str]:
+    """The normalised words of what stands between white space."""
+    if piece.isascii():
+        piece = piece.lower()
+    else:
+        piece = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
+    return [piece] if piece.isalpha() else WORD.findall(piece)
+
+
 def read_spec(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
         return json.load(file)
@@ -194,13 +207,7 @@ class WordBpe:
         return tuple(ids[::-1])
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        if chunk.isascii():
-            chunk = chunk.lower()
-        else:
-            chunk = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
-        if chunk.isalpha():
-            return self.words[chunk]
-        words = _WORD.findall(chunk)
+        words = pre_tokens(chunk)
         if len(words) == 1:
             return self.words[words[0]]
         return tuple(i for w in words for i in self.words[w])

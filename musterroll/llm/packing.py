@@ -7,57 +7,121 @@ are handed out by the rank of a piece within its class.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from musterroll.llm.bpe import Recent, text_pieces
+from musterroll.llm.bpe import WORD, text_pieces
 from musterroll.llm.cuttingstock import plan
 from musterroll.session import written
 
 ID_BYTES = 4
+_TOGETHER = 1 << 21
+#: Beyond Latin letters, libraries may differ in classes and cases of letters.
+_ODD = re.compile("<\\||[\x1c-\x1f\u0250-\U0010ffff]")
+#: A sign that stands alone between a letter or digit and white space is a word of its own.
+_MARK = re.compile(r"(?<=[^\W_])([.,;:!?])(?=\s|\Z)")
+
+
+class _Known(dict):
+    """Ids by piece; what is not known is encoded on its own, and kept up to a size."""
+
+    def __init__(self, encode: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.encode, self.size = encode, size
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) <= self.size and len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
 
 class IdBytes:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    For tokenizers that drop white space: pieces between white space are encoded on their
-    own, once as long as they stay in a cache of bounded size.
+    For BPE tokenizers in lower case with word ends that drop white space. What stands
+    between white space is encoded once; a cache starts anew when it holds ``cached``
+    entries. Words that were not met before go to the tokenizer in one text, whose ids the
+    word ends divide again.
     """
 
-    def __init__(self, path: str, end_id: int, cached: int = 150_000):
+    def __init__(self, path: str, end_id: int, cached: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.end = end_id.to_bytes(ID_BYTES, "little")
-        self.known = Recent(self._encode, cached)
+        self.end, self.cached = end_id.to_bytes(ID_BYTES, "little"), cached
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words, self.odd = (_Known(self._encode, cached) for _ in range(2))
 
     def _encode(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(ID_BYTES, "little") for i in ids])
-
-    def of(self, text: str | None) -> bytes:
-        blocks = [b"".join(map(self.known.__getitem__, pieces)) for pieces in text_pieces(text or "")]
-        return b"".join([*blocks, self.end])
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces in lower case, made of Latin letters and ASCII signs."""
+        words = self.words
+        if len(words) > self.cached:
+            words.clear()
+        new = pieces.difference(words)
+        wanted = list(filter(str.isalpha, new))
+        for at in range(0, len(wanted), 4000):
+            some = wanted[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(some):
+                flat, stops = ids.tobytes(), (ends * ID_BYTES).tolist()
+                words.update(zip(some, [flat[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        for piece in new.difference(wanted):
+            words[piece] = b"".join([words[w] for w in WORD.findall(piece)])
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end; texts are taken together up to a bounded size."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= _TOGETHER:
+                out += self._of_some(held)
+                held, size = [], 0
+        return out + self._of_some(held)
+
+    def _of_some(self, texts: list[str]) -> list[bytes]:
+        if len(texts) == 1 and len(texts[0]) >= _TOGETHER:
+            blocks = (b"".join(map(self.odd.__getitem__, pieces)) for pieces in text_pieces(texts[0]))
+            return [b"".join([*blocks, self.end])]
+        plain = [None if _ODD.search(t) else _MARK.sub(r" \1", t.lower()).split() for t in texts]
+        self._learn(set().union(*(pieces for pieces in plain if pieces)))
+        out = []
+        for text, pieces in zip(texts, plain, strict=True):
+            if pieces is None:
+                own = [self.odd[p] for block in text_pieces(text) for p in block]
+            else:
+                own = map(self.words.__getitem__, pieces)
+            out.append(b"".join([*own, self.end]))
+        return out
 
 
 def token_pieces(
-    docs: DataFrame, ids_of: Callable[[], Callable[[str | None], bytes]], room: int, grain: int, with_ids: bool
+    docs: DataFrame, ids_of: Callable[[], Callable[[list[str]], list[bytes]]], room: int, grain: int, with_ids: bool
 ) -> DataFrame:
     """Pieces of at most ``room`` ids, with their rank among the same class in the partition."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of_text = ids_of()
+        ids_of_texts = ids_of()
         part, ranks = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc"], batch["text"], strict=True):
-                ids = ids_of_text(text)
+            coded = ids_of_texts(["" if t is None else t for t in batch["text"]])
+            for doc, ids in zip(batch["doc"], coded, strict=True):
                 total = len(ids) // ID_BYTES
                 for start in range(0, total, room):
                     length = min(room, total - start)
