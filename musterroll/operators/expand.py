@@ -57,19 +57,25 @@ def expand_resources(manifests: DataFrame, words: Vocabulary) -> DataFrame:
     on_scheduler = {**cluster, words.label("component"): F.lit("scheduler")}
     on_group = {**cluster, words.label("component"): F.lit("workergroup")}
     no_sidecar = {"sidecar.istio.io/inject": F.lit("false")}
-    scheduler = _inherited("labels", "scheduler_labels", RESERVED_LABEL_PREFIXES)
-    worker = _inherited("labels", "worker_labels", RESERVED_LABEL_PREFIXES)
-    notes = _inherited("annotations", "scheduler_annotations", RESERVED_ANNOTATION_PREFIXES)
-    group_notes = _inherited("annotations", "worker_annotations", RESERVED_ANNOTATION_PREFIXES)
+    # Maps that several children share are columns, so each is built once.
+    shared = manifests.withColumns({
+        "_scheduler_labels": _inherited("labels", "scheduler_labels", RESERVED_LABEL_PREFIXES),
+        "_worker_labels": _inherited("labels", "worker_labels", RESERVED_LABEL_PREFIXES),
+        "_scheduler_annotations": _inherited(
+            "annotations", "scheduler_annotations", RESERVED_ANNOTATION_PREFIXES),
+        "_worker_annotations": _inherited(
+            "annotations", "worker_annotations", RESERVED_ANNOTATION_PREFIXES),
+    })
+    scheduler, notes = F.col("_scheduler_labels"), F.col("_scheduler_annotations")
     children = F.array(
         _child("Deployment", scheduler_name("name"),
                merge_layers(scheduler, _labels({**on_scheduler, **no_sidecar})), notes),
         _child("Service", scheduler_name("name"),
                merge_layers(scheduler, _labels(on_scheduler)), notes),
         _child(words.group_kind, default_group_name("name"),
-               merge_layers(worker, _labels(on_group)), group_notes),
+               merge_layers(F.col("_worker_labels"), _labels(on_group)), F.col("_worker_annotations")),
     )
-    return _exploded(manifests, children)
+    return _exploded(shared, children)
 
 
 def expand_jobs(jobs: DataFrame, words: Vocabulary) -> DataFrame:
