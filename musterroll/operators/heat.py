@@ -89,6 +89,18 @@ def split_hot(df: DataFrame, key: list[str], hot_rows: int | None = HOT_ROWS) ->
     )
 
 
+def unless_cold(df: DataFrame, key: list[str], hot_rows: int | None) -> int | None:
+    """``hot_rows`` if some key of ``df`` holds more rows, else None.
+
+    For steps on frames that are derived from ``df`` and have no more rows of any key: they
+    need not be counted then, which would compute each of them twice.
+    """
+    if hot_rows is None:
+        return None
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    return None if counts.where(F.col("_rows") > hot_rows).isEmpty() else hot_rows
+
+
 def _sorting(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterroll.functions.clock import seconds_between
-from musterroll.operators.heat import HOT_ROWS, checked_broadcast, numbered, with_previous
+from musterroll.operators.heat import (
+    HOT_ROWS,
+    checked_broadcast,
+    numbered,
+    unless_cold,
+    with_previous,
+)
 
 
 def lifo_victims(
@@ -72,6 +78,7 @@ def stuck_in_phase(
     ``limits`` has ``phase`` and ``limit_s``; phases without a positive limit never
     count as stuck. Consecutive events of one phase are one stay.
     """
+    hot_rows = unless_cold(events, key, hot_rows)
     starts = field_changes(events, key, order, phase, hot_rows=hot_rows).select(
         *key, *dict.fromkeys([*order, ts, phase])
     )

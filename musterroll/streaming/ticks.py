@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from musterroll.functions.clock import epoch_seconds, from_epoch, grid_after, shifted
 from musterroll.functions.counting import numbered_rows
-from musterroll.operators.heat import HOT_ROWS, with_latest, with_previous
+from musterroll.operators.heat import HOT_ROWS, unless_cold, with_latest, with_previous
 
 # Fixed value: seconds between two idle checks.
 IDLE_CHECK_PERIOD = 5
@@ -32,6 +32,7 @@ def state_on_grid(
     Each change lasts until the next one and emits the ticks in between. Only changes are
     shuffled, however fine the grid.
     """
+    hot_rows = unless_cold(changes, key, hot_rows)
     known = with_latest(
         changes.select(*key, ts, tie, *columns), key, [ts, tie],
         {f"_at_{c}": c for c in columns}, hot_rows=hot_rows,
