@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 _BLOCK = 1 << 18
+_PARTS = 1_000_003
 
 
 def word_ngrams(word: str, longest: int) -> set[str]:
@@ -137,16 +138,22 @@ def fit(
     return LanguageModel(languages, alphabet, longest, base, solved.astype(np.float32))
 
 
-def training_sample(docs: DataFrame, text: str, lang: str, keep: Column, per_language: int, longest_text: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, chosen by a hash of the text.
+def training_sample(
+    docs: DataFrame, text: str, lang: str, shares: dict[str, float], per_language: int, longest_text: int
+) -> DataFrame:
+    """At most ``per_language`` texts of each language, chosen by a hash of the text.
 
-    The limit is taken within every partition before the shuffle, so a language that
-    holds most rows sends few.
+    The scan keeps a share of each language's texts that gives about three times that
+    many, so the shuffle gets as much from a large table as from a small one, whichever
+    language holds most rows; copies of a text are one.
     """
-    rows = docs.where(keep & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    rows = rows.where(F.length(text).between(1, longest_text)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).drop("nth")
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h"))
+    rows = rows.where(F.col("lang").isin(*shares) & (F.pmod("h", F.lit(_PARTS)) < share * _PARTS))
+    rows = rows.where(F.length("text").between(1, longest_text) & F.col("text").rlike(r"\p{L}"))
+    few = rows.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    return few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
 
 
 def fit_on(
@@ -159,10 +166,15 @@ def fit_on(
     ``languages`` most frequent labels. Rows with a null label or no letters teach nothing;
     without any labelled row the model answers ``und`` to everything.
     """
-    condition = F.lit(True) if keep is None else keep
-    named = docs.where(condition & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
-    names = [r["lang"] for r in named.orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    sample = training_sample(docs.where(F.col(lang).isin(names)), text, lang, condition, per_language, longest_text)
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = known if keep is None else known.where(keep)
+    kinds = F.approx_count_distinct(F.xxhash64(text)).alias("kinds")
+    named = known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), kinds)
+    found = named.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    shares = {r["lang"]: min(1.0, 3 * per_language / max(r["kinds"], 1)) for r in found}
+    if not shares:
+        return fit([], [], **options)
+    sample = training_sample(known, text, lang, shares, per_language, longest_text)
     rows = sorted((r["lang"], r["text"]) for r in sample.collect())
     return fit([t for _, t in rows], [name for name, _ in rows], **options)
 
