@@ -54,7 +54,7 @@ def test_packing_covers_every_id_once(spark, sf, texts, library):
     assert used >= 0.97 * 4096 * len(sequences) - 4096
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 24), st.integers(1, 400), max_size=12))
 def test_patterns_hold_exactly_the_items(histogram):
     patterns = cuttingstock.plan(histogram, 24)
@@ -64,8 +64,9 @@ def test_patterns_hold_exactly_the_items(histogram):
         for size, copies in p.copies.items():
             held[size] += copies * p.bins
     assert dict(held) == histogram
-    least = sum(s * n for s, n in histogram.items()) / 24
-    assert sum(p.bins for p in patterns) <= 1.5 * least + 2 * len(histogram) + 1
+    # Rounding leaves at most one bin per size above what single items in best fit need.
+    single = cuttingstock.fit_decreasing([s for s, n in histogram.items() for _ in range(n)], 24)
+    assert sum(p.bins for p in patterns) <= len(single) + len(histogram)
 
 
 def test_bpe_gives_the_ids_of_the_library(spark, sf, texts, library):
