@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from musterroll.llm import boosting, bpe, covertree, cuttingstock, katz, langid, linededup, packing, queries, simhash
+from musterroll.llm import boosting, bpe, covertree, cuttingstock, katz, langid, linededup, packing, queries, simhash, vecdedup
 from musterroll.llm.components import components
 
 
@@ -208,6 +208,31 @@ def test_near_vectors_recall(spark, sf):
     assert sum(r.n_links for r in rows.values()) >= 0.9 * links.sum()
 
 
+@pytest.mark.parametrize("count", [4096, 100_000, 1_000_000, 20_000_000])
+def test_planted_vectors_meet_at_any_table_size(count):
+    rng = np.random.default_rng(3)
+    units = vecdedup.unit_rows(list(rng.normal(size=(3000, 24)) @ rng.normal(size=(24, 64)) + 0.3 * rng.normal(size=(3000, 64))))
+    index = vecdedup.fit(units[:2000], count, 0.9, 0.95, 16, 384, 5)
+    assert index.bits == round(math.log2(count))
+    for cosine in (0.9, 0.92, 0.95):
+        for left, right in vecdedup.planted(units[2000:], cosine, 2000, 8):
+            assert np.allclose((left * right).sum(axis=1), cosine)
+            assert (index.strings(left) == index.strings(right)).any(axis=1).mean() >= 0.92
+
+
+def test_planted_vectors_link(spark):
+    rng = np.random.default_rng(4)
+    units = vecdedup.unit_rows(list(rng.normal(size=(30_000, 64))))
+    pairs = [vecdedup.planted(units, c, 500, 6)[0] for c in (0.905, 0.92, 0.95)]
+    table = np.vstack([units, *[right for _, right in pairs]]).astype(np.float32)
+    frame = spark.createDataFrame(list(enumerate(table.tolist())), "vec_id bigint, embedding array<float>")
+    found = {r.vec_id: r for r in vecdedup.near_vectors(frame).where("n_links > 0").collect()}
+    exact = vecdedup.unit_rows(list(table))
+    links = sum((exact[at : at + 1000] @ exact.T >= 0.9).sum() for at in range(0, len(exact), 1000)) - len(exact)
+    assert all(r.n_links < 10 for r in found.values())
+    assert 0.93 * links <= sum(r.n_links for r in found.values()) <= links
+
+
 def words_of(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()) + [b" end "]
 
