@@ -4,7 +4,8 @@ A gram is the shortest run of lines from some line on that holds ``gram_words``
 window is the shortest run that holds ``window_words``. Every window selects the smallest
 gram hash inside it, so any repeated run of ``window_words`` words shares a selected gram
 with its earlier occurrence. Equal grams are joined by position, each match is extended
-line by line in both directions, and the later of both runs is deleted.
+line by line in both directions, and the later of both runs is deleted. Where a gram occurs
+more than twice, whole windows are joined as well, by their hashes.
 """
 
 from __future__ import annotations
@@ -79,6 +80,40 @@ def selected(hashes: list[int], counts: list[int], gram_words: int, window_words
     return [(value, line) for line, value in picks.items()]
 
 
+def windows(hashes: list[int], counts: list[int], gram_words: int, window_words: int) -> list[tuple[int, int]]:
+    """(window hash, line of the gram it selects) of the runs that any long repeat is made of.
+
+    From each line on, these are the shortest run of ``window_words`` words and the longer
+    ones that hold fewer without that line: a run of that many words has its first lines in
+    the former and its last ones in one of the latter. All select by the shortest run.
+    """
+    gram_ends, window_ends = _run_ends(counts, gram_words), _run_ends(counts, window_words)
+    if not hashes or window_ends[0] == _ENDLESS:
+        return []
+    flat = np.array(hashes, dtype="<i8").tobytes()
+    least: deque[tuple[int, int]] = deque()
+    found, entering = [], 0
+    for start, end in enumerate(window_ends):
+        if end == _ENDLESS:
+            break
+        while entering < len(counts) and gram_ends[entering] <= end:
+            value = xxhash.xxh64_intdigest(flat[8 * entering : 8 * gram_ends[entering] + 8])
+            while least and least[-1][0] >= value:
+                least.pop()
+            least.append((value, entering))
+            entering += 1
+        while least and least[0][1] < start:
+            least.popleft()
+        after = min(window_ends[start + 1], len(counts)) if start + 1 < len(counts) else len(counts)
+        digest = xxhash.xxh64(flat[8 * start : 8 * end + 8])
+        for last in range(end, max(after, end + 1)):
+            if last > end:
+                digest.update(flat[8 * last : 8 * last + 8])
+            if least:
+                found.append((digest.intdigest() - (1 << 63), least[0][1]))
+    return found
+
+
 def extended(later: np.ndarray, earlier: np.ndarray, at: int, to: int) -> tuple[int, int]:
     """First and last line of the maximal run in ``later`` that runs through the match."""
     back = min(at, to)
@@ -96,14 +131,18 @@ def _line_table(docs: DataFrame, gram_words: int, window_words: int) -> DataFram
             for doc, body, text in zip(batch["doc"], batch["body"], batch["text"], strict=True):
                 numbers, hashes, counts = line_hashes(text)
                 picks = selected(hashes, counts, gram_words, window_words)
-                rows.append((doc, body, numbers, hashes, [{"gram": g, "line": p} for g, p in picks]))
-            yield pd.DataFrame(rows, columns=["doc", "body", "numbers", "hashes", "picks"])
+                by_line = {line: [] for _, line in picks}
+                for window, line in windows(hashes, counts, gram_words, window_words):
+                    by_line[line].append(window)
+                picked = [{"gram": g, "line": p} for g, p in picks]
+                rows.append((doc, body, numbers, hashes, picked, [by_line[p] for _, p in picks]))
+            yield pd.DataFrame(rows, columns=["doc", "body", "numbers", "hashes", "picks", "windows"])
 
     key_type = docs.schema["doc"].dataType.simpleString()
     return docs.mapInPandas(
         lines_of,
         f"doc {key_type}, body bigint, numbers array<int>, hashes array<bigint>, "
-        "picks array<struct<gram: bigint, line: int>>",
+        "picks array<struct<gram: bigint, line: int>>, windows array<array<bigint>>",
     )
 
 
@@ -129,7 +168,8 @@ def repeated_runs(docs: DataFrame, gram_words: int, window_words: int) -> DataFr
 
     ``docs`` has ``doc``, ``body`` (hash of the text) and ``text``. Order is by id, body and
     line; rows that agree in id and text are one document. Each selected gram is matched
-    with its first and with its previous occurrence, never with all of them.
+    with its first and with its previous occurrence, never with all of them. Where it has
+    more, every window that selects it is matched with the first occurrence of that window.
     """
     lines = written(_line_table(docs, gram_words, window_words).dropDuplicates(KEY), "lines")
     places = lines.select(*KEY, F.explode("picks").alias("pick")).select(*KEY, "pick.gram", "pick.line")
@@ -143,7 +183,16 @@ def repeated_runs(docs: DataFrame, gram_words: int, window_words: int) -> DataFr
         places.join(counted.select("gram"), "gram", "left_semi"), ["gram"], place, {f"{c}_e": c for c in place}
     )
     previous = previous.where("line_e IS NOT NULL").select(first.columns)
-    pairs = first.union(previous).groupBy(*KEY, "doc_e", "body_e").agg(
+    of_windows = lines.select(*KEY, F.explode(F.arrays_zip("picks", "windows")).alias("pick"))
+    of_windows = of_windows.select(*KEY, "pick.picks.gram", "pick.picks.line", "pick.windows")
+    of_windows = of_windows.join(counted.where("n > 2").select("gram"), "gram", "left_semi")
+    of_windows = of_windows.select(*place, F.explode("windows").alias("window"))
+    repeated = of_windows.groupBy("window").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("first")
+    ).where("n > 1")
+    whole = of_windows.join(repeated, "window").where(F.struct(*place) != F.col("first"))
+    whole = whole.select(*place, *[F.col(f"first.{c}").alias(f"{c}_e") for c in place])
+    pairs = first.union(previous).union(whole).groupBy(*KEY, "doc_e", "body_e").agg(
         F.collect_set(F.struct("line", "line_e")).alias("matches")
     )
     earlier = lines.select(*[F.col(c).alias(f"{c}_e") for c in [*KEY, "hashes"]])

@@ -339,6 +339,37 @@ def test_long_passages_across_documents_go(spark):
     assert all(found[i].gone == 7 and "p00" not in found[i].text for i in range(1, 30))
 
 
+def repeated_in_long_runs(docs, least):
+    """(document, line) of lines in a run of ``least`` words that occurred earlier, by brute force."""
+    flat = [(d, n, tuple(line.split())) for d, text in docs for n, line in enumerate(text.split("\n"))]
+    out = set()
+    for at in range(len(flat)):
+        for to in range(at):
+            size, words = 0, 0
+            while at + size < len(flat) and flat[at + size][0] == flat[at][0] and flat[to + size][0] == flat[to][0] \
+                    and flat[at + size][2] == flat[to + size][2]:
+                words += len(flat[at + size][2])
+                size += 1
+            if words >= least:
+                out |= {flat[at + k][:2] for k in range(size)}
+    return out
+
+
+def test_every_long_repeat_goes_around_frequent_lines(spark):
+    rng = random.Random(6)
+    frequent = [" ".join(f"f{i}w{k}" for k in range(10)) for i in range(3)]
+    pool = [" ".join(f"p{i}w{k}" for k in range(rng.choice((3, 14, 25, 44)))) for i in range(14)]
+    docs = [(i, "\n".join(rng.choice(frequent if k % 2 else pool) for k in range(6))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in linededup.drop_repeated_lines(frame, n_removed="gone").collect()}
+    runs = linededup.repeated_runs(frame.selectExpr("doc_id doc", "xxhash64(text) body", "text"), 10, 50)
+    gone = {(r.doc, n) for r in runs.collect() for x in r.runs for n in range(x["first"], x["last"] + 1)}
+    wanted = repeated_in_long_runs(docs, 50)
+    assert len(wanted) > 50
+    assert wanted <= gone
+    assert all(found[i].gone == sum(d == i for d, _ in gone) for i, _ in docs)
+
+
 def plain_simhash(text):
     words = words_of(text)[:-1]
     runs = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
