@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 
 import ahocorasick
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NEVER = 1 << 60
+#: What a cached word takes besides its letters and ids: two objects and their slots.
+_ENTRY_BYTES = 200
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = regex.compile(f"[^{_SPACES}]+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -35,24 +38,25 @@ def byte_letters() -> list[str]:
 
 
 class Recent(dict):
-    """Values of a function for recently used keys: two generations of about ``size``."""
+    """Values of a function for recently used keys: two generations of ``size`` bytes each.
+
+    Bytes are estimated from the lengths of key and value.
+    """
 
     def __init__(self, make: Callable, size: int):
         super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def make_room(self, n: int = 1) -> None:
-        """Call before ``n`` keys are added; the generation before the last may go."""
-        if len(self) + n > self.size and len(self):
-            self.older = dict(self)
-            self.clear()
+        self.make, self.size, self.older, self.held = make, size, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self.make_room()
+        own = _ENTRY_BYTES + len(key) + 8 * len(value)
+        if self.held + own > self.size and self.held:
+            self.older, self.held = dict(self), 0
+            self.clear()
         self[key] = value
+        self.held += own
         return value
 
 
@@ -92,6 +96,10 @@ def token_names(path: str) -> dict[int, str]:
     return names | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
 
 
+#: Words that a worker process keeps, in both caches and both of their generations.
+CACHE_BYTES = 400 << 20
+
+
 class WordBpe:
     """Vocabulary and merges of a tokenizer file of the kind "BPE with word ends".
 
@@ -99,7 +107,7 @@ class WordBpe:
     space is dropped. Special tokens in a text stand for themselves.
     """
 
-    def __init__(self, path: str, cached_words: int = 100_000):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         spec = read_spec(path)
         model = spec["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
@@ -130,8 +138,8 @@ class WordBpe:
             if len(text.removesuffix(self._end)) == 1 or self._reachable(i):
                 self._automaton.add_word(text, (i, len(text)))
         self._automaton.make_automaton()
-        self.words = Recent(self._encode_word, 2 * cached_words)
-        self.chunks = Recent(self._encode_chunk, cached_words)
+        self.words = Recent(self._encode_word, cache_bytes // 4)
+        self.chunks = Recent(self._encode_chunk, cache_bytes // 4)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Parts along one edge, smallest first, each with the rank at which it grows."""
@@ -232,16 +240,27 @@ class WordBpe:
         return np.array(ids, dtype=np.int32)
 
 
+@cache
+def worker_bpe(path: str) -> WordBpe:
+    """One encoder per worker process, so that later tasks find its words."""
+    return WordBpe(path)
+
+
+@cache
+def worker_names(path: str) -> dict[int, str]:
+    return token_names(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` as an array of integers.
 
     The whole text is encoded, however long, in pieces; a null or empty text has no ids.
-    Distinct words are encoded once per task as long as they stay in a cache of bounded
-    size. ``path`` must exist on every node. Other columns are passed on.
+    Distinct words are encoded once per worker process as long as they stay in a cache of
+    ``CACHE_BYTES``. ``path`` must exist on every node. Other columns are passed on.
     """
 
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
         for batch in batches:
             yield pd.Series([bpe.encode(t) for t in batch], dtype=object)
 
@@ -252,7 +271,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     """``docs`` with the text of the ids, as token texts with blanks between; a null gives a null."""
 
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        name = token_names(path).__getitem__
+        name = worker_names(path).__getitem__
         for batch in batches:
             yield pd.Series([None if row is None else " ".join(map(name, row.tolist())) for row in batch], dtype=object)
 

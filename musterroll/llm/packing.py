@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,9 @@ ID_BYTES = 4
 _TOGETHER = 1 << 21
 #: Beyond Latin letters, libraries may differ in classes and cases of letters.
 _ODD = re.compile("<\\||[\x1c-\x1f\u0250-\U0010ffff]")
+_MAYBE_ODD = re.compile("[<\x1c-\x1f\u0250-\U0010ffff]")
 #: A sign that stands alone between a letter or digit and white space is a word of its own.
-_MARK = re.compile(r"(?<=[^\W_])([.,;:!?])(?=\s|\Z)")
+_MARK = re.compile(r"[.,;:!?](?<=[^\W_].)(?=\s|\Z)")
 
 
 class _Known(dict):
@@ -53,7 +55,7 @@ class IdBytes:
     word ends divide again.
     """
 
-    def __init__(self, path: str, end_id: int, cached: int = 400_000):
+    def __init__(self, path: str, end_id: int, cached: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -98,7 +100,7 @@ class IdBytes:
         if len(texts) == 1 and len(texts[0]) >= _TOGETHER:
             blocks = (b"".join(map(self.odd.__getitem__, pieces)) for pieces in text_pieces(texts[0]))
             return [b"".join([*blocks, self.end])]
-        plain = [None if _ODD.search(t) else _MARK.sub(r" \1", t.lower()).split() for t in texts]
+        plain = [None if _MAYBE_ODD.search(t) and _ODD.search(t) else _MARK.sub(r" \g<0>", t.lower()).split() for t in texts]
         self._learn(set().union(*(pieces for pieces in plain if pieces)))
         out = []
         for text, pieces in zip(texts, plain, strict=True):
@@ -110,6 +112,12 @@ class IdBytes:
         return out
 
 
+@cache
+def worker_id_bytes(path: str, end_id: int) -> IdBytes:
+    """One per worker process, so that later tasks find its words."""
+    return IdBytes(path, end_id)
+
+
 def token_pieces(
     docs: DataFrame, ids_of: Callable[[], Callable[[list[str]], list[bytes]]], room: int, grain: int, with_ids: bool
 ) -> DataFrame:
@@ -158,7 +166,7 @@ def pack(
     counts per class and partition, so no class is sorted or gathered as a whole.
     """
     source = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    pieces = token_pieces(source, lambda: IdBytes(path, end_id).of, room, grain, with_ids)
+    pieces = token_pieces(source, lambda: worker_id_bytes(path, end_id).of, room, grain, with_ids)
     pieces = written(pieces, "pieces")
     counts = written(pieces.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
