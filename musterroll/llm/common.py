@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 20
 BATCH_ROWS = 512
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Per byte of UTF-8: A-Z in lower case, other ASCII letters and digits, and all bytes beyond
+#: ASCII as they are; every other ASCII character is a blank.
+WORD_BYTES = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores in front until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def plain_words(text: str | None) -> Iterator[list[bytes]]:
+    """Lower-cased words of ASCII letters, digits and all that is beyond ASCII, in lists."""
+    return word_runs(raw(text).translate(WORD_BYTES))
+
+
 def raw(text: str | None) -> bytes:
     """UTF-8 bytes; a null is an empty text, lone surrogates become question marks."""
     return b"" if text is None else text.encode("utf-8", "replace")
