@@ -97,7 +97,7 @@ def token_names(path: str) -> dict[int, str]:
 
 
 #: Words that a worker process keeps, in both caches and both of their generations.
-CACHE_BYTES = 400 << 20
+CACHE_BYTES = 160 << 20
 
 
 class WordBpe:
@@ -184,7 +184,7 @@ class WordBpe:
         return found
 
     def _compatible(self, left: int, right: int) -> bool:
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > 400_000:
             self._fits.clear()
         found = self._fits[left, right] = self._apart(left, right)
         return found
