@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from musterroll.operators import relate, sets
+from musterroll.operators import closure, relate, sets
 from musterroll.operators.handlers import Rule, rule_rows
 from musterroll.plans import roles
 from musterroll.plans.registry import query
@@ -112,7 +112,7 @@ def owned_closure(spark, sf):
     roots = roles.table(spark, sf, "region").select(
         F.concat(F.lit("r"), "r_regionkey").alias("root")
     )
-    return relate.owned_closure(roles.edges(spark, sf), roots)
+    return closure.owned_closure(roles.edges(spark, sf), roots)
 
 
 @query("j9_connect_plan", roles=("clusters", "worker_groups"), sql="""

@@ -1,6 +1,7 @@
 """Small hand-made cases of the single rules."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from musterroll.functions import clock, counting, labels, manifests, names, phases
-from musterroll.operators import expand, ordered, relate, rollup, select, sets
+from musterroll.operators import closure, expand, ordered, relate, rollup, select, sets
 from musterroll.operators.handlers import Handlers, Rule, rule_rows
 from musterroll.plans.roles import WORDS
 from musterroll.sources import logs, snapshot, specs
@@ -272,20 +273,66 @@ def test_closure_ends_cycles_and_keeps_least_depth(spark):
         [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d"), ("x", "y")],
         "parent_id STRING, child_id STRING")
     roots = spark.createDataFrame([("a",), ("x",), ("lone",)], "root STRING")
-    found = values(relate.owned_closure(edges, roots), "root", "node", "depth")
+    found = values(closure.owned_closure(edges, roots), "root", "node", "depth")
     assert found == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2),
                      ("lone", "lone", 0), ("x", "x", 0), ("x", "y", 1)]
-    assert values(relate.owned_closure(edges, roots, max_depth=2), "root", "node", "depth") == found
+    assert values(closure.owned_closure(edges, roots, max_depth=2), "root", "node", "depth") == found
     with pytest.raises(ValueError, match="deeper"):
-        relate.owned_closure(edges, roots, max_depth=1)
+        closure.owned_closure(edges, roots, max_depth=1)
 
 
 def test_closure_follows_long_chains(spark):
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)], "parent_id STRING, child_id STRING")
-    found = relate.owned_closure(chain, spark.createDataFrame([("0",)], "root STRING"))
+    found = closure.owned_closure(chain, spark.createDataFrame([("0",)], "root STRING"))
     assert values(found, "node", "depth") == sorted((str(i), i) for i in range(41))
 
 
+def plain_closure(edges, roots):
+    """Breadth first search from every root."""
+    below = {}
+    for up, node in edges:
+        below.setdefault(up, set()).add(node)
+    out = []
+    for root in set(roots) - {None}:
+        depth, level, seen = 0, {root}, set()
+        while level:
+            out += [(root, n, depth) for n in level]
+            seen |= level
+            level = {c for n in level for c in below.get(n, ()) if c is not None} - seen
+            depth += 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("kind", ["forest", "nested", "circles", "several owners", "nothing"])
+def test_closure_equals_search(spark, kind):
+    rng = random.Random(kind)
+    edges = [(str(rng.randrange(max(i // 2, 1))), str(i)) for i in range(1, 120)] * 2 + [(None, "3"), ("4", None), ("5", "5")]
+    roots = ["0", "0", None, "unknown"]
+    if kind == "nested":
+        roots += ["1", "2", "5", "11", "40", "119"]
+    if kind == "circles":
+        edges += [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c2", "c4"), ("d1", "d2"), ("d2", "d1"), ("d2", "d3"), ("d3", "d4")]
+        roots += ["c1", "c3"]
+    if kind == "several owners":
+        edges += [(str(rng.randrange(120)), str(rng.randrange(120))) for _ in range(60)]
+        roots += ["7", "9"]
+    if kind == "nothing":
+        edges = []
+    found = closure.owned_closure(
+        spark.createDataFrame(edges, "parent_id STRING, child_id STRING"), spark.createDataFrame([(r,) for r in roots], "root STRING"))
+    assert values(found, "root", "node", "depth") == plain_closure(edges, roots)
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    written = closure.written
+    monkeypatch.setattr(closure, "written", lambda df, label: rounds.append(label) or written(df, label))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1000)], "parent_id INT, child_id INT")
+    found = closure.owned_closure(chain, spark.createDataFrame([(0,)], "root INT"))
+    assert values(found, "node", "depth") == sorted(((i, i) for i in range(1001)), key=str)
+    assert rounds.count("pointers") <= 12
+
+
 def test_rules_match_label_subsets(spark):
     events = spark.createDataFrame(
         [(1, "pod", "phase", "Running", {"c": "job", "x": "1"}), (2, "pod", "phase", "Failed", {"c": "job"}),
