@@ -11,10 +11,13 @@ from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from musterroll.functions.labels import empty_map
+from musterroll.session import scratch_path
 
 ENTRY_POINT_GROUP = "musterroll_handlers"
+_ROUTE = "route_to_handler"
 _log = logging.getLogger(__name__)
 
 
@@ -64,14 +67,33 @@ class Handlers:
             loaded.append(point.name)
         return loaded
 
+    def _routed(self, events: DataFrame) -> list[DataFrame]:
+        """The events of each handler, from one pass over ``events``.
+
+        A row gets the numbers of all handlers that want it and is written once for each,
+        in a folder of its own, so a handler reads its rows only.
+        """
+        if len(self._entries) == 1 or events.isStreaming:
+            return [events.where(rule.selects()) for _, rule, _ in self._entries]
+        wanted = F.array_compact(F.array(*[F.when(rule.selects(), F.lit(i)) for i, (_, rule, _) in enumerate(self._entries)]))
+        path = scratch_path(events.sparkSession, "routed")
+        events.withColumn(_ROUTE, F.explode(wanted)).write.partitionBy(_ROUTE).parquet(path)
+        schema = T.StructType([*events.schema.fields, T.StructField(_ROUTE, T.IntegerType())])
+        table = events.sparkSession.read.schema(schema).parquet(path)
+        return [table.where(F.col(_ROUTE) == i).drop(_ROUTE) for i in range(len(self._entries))]
+
     def run_handlers(self, events: DataFrame) -> DataFrame:
-        """Outputs of all handlers, each with the handler's name."""
+        """Outputs of all handlers, each with the handler's name.
+
+        A batch of events is read once, however many handlers there are; on a stream each
+        handler filters for itself.
+        """
+        if not self._entries:
+            raise ValueError("no handler is registered")
         outputs = [
-            events.where(rule.selects()).transform(function).withColumn("handler", F.lit(name))
-            for name, rule, function in self._entries
+            own.transform(function).withColumn("handler", F.lit(name))
+            for (name, _, function), own in zip(self._entries, self._routed(events), strict=True)
         ]
-        if not outputs:
-            raise ValueError("no handler is registered")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs)
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from musterroll.functions.clock import shifted
 from musterroll.functions.names import named_port
 from musterroll.functions.phases import service_phase
-from musterroll.operators.heat import HOT_ROWS, checked_broadcast, with_latest
+from musterroll.operators.heat import HOT_ROWS, with_latest
 from musterroll.operators.rollup import count_members
 
 
@@ -183,31 +183,6 @@ def connect_plan(
     )
 
 
-def fires(event: DataFrame, rule: DataFrame) -> Column:
-    """Whether a rule selects an event; unset parts of a rule accept everything."""
-    unmet = F.map_filter(
-        rule["rule_labels"], lambda k, v: ~event["labels"][k].eqNullSafe(v)
-    )
-    return (
-        (event["kind"] == rule["rule_kind"])
-        & (rule["rule_field"].isNull() | event["field"].eqNullSafe(rule["rule_field"]))
-        & (rule["rule_new"].isNull() | event["new"].eqNullSafe(rule["rule_new"]))
-        & (rule["rule_labels"].isNull() | (F.size(unmet) < 1))
-    )
-
-
-def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every (event, rule) pair where the rule fires.
-
-    The kind is an equi key; the other conditions are checked on its matches. Rules are
-    broadcast while they are few, otherwise adaptive execution picks the join.
-    """
-    rules = checked_broadcast(rules)
-    return events.join(rules, fires(events, rules)).drop(
-        "rule_kind", "rule_field", "rule_new", "rule_labels"
-    )
-
-
 def resolve_endpoint(
     services: DataFrame, nodes: DataFrame, fleet: str, node_id: str, port_name: str
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from musterroll.operators import closure, relate, sets
+from musterroll.operators import closure, matching, relate, sets
 from musterroll.operators.handlers import Rule, rule_rows
 from musterroll.plans import roles
 from musterroll.plans.registry import query
@@ -181,7 +181,7 @@ def change_events(spark, sf):
     UNION ALL SELECT seq, 'service_status' FROM watch
     WHERE seq % 3 = 2 AND seq % 7 <> 0 AND key % 2 = 1""")
 def match_rules(spark, sf):
-    matched = relate.match_rules(change_events(spark, sf), rule_rows(spark, RULES))
+    matched = matching.match_rules(change_events(spark, sf), rule_rows(spark, RULES))
     return matched.select("seq", "rule")
 
 

@@ -249,7 +249,9 @@ def creation_waves(spark, sf):
     SELECT 'on_runner_end' AS handler, key, count(*) AS n FROM watch
     WHERE seq % 3 = 1 AND phase = 'Succeeded' AND seq % 7 <> 0 AND key % 2 = 0 GROUP BY key
     UNION ALL SELECT 'on_cluster_created', key, 1 FROM watch
-    WHERE seq % 3 = 0 AND phase = 'Created'""")
+    WHERE seq % 3 = 0 AND phase = 'Created'
+    UNION ALL SELECT 'on_service', key, max(seq) FROM watch
+    WHERE seq % 3 = 2 GROUP BY key""")
 def run_handlers(spark, sf):
     handlers = Handlers()
     handlers.register_handler(
@@ -260,6 +262,9 @@ def run_handlers(spark, sf):
         Rule("cluster", "phase", "Created"),
         lambda df: df.select("key", F.lit(1).cast("long").alias("n")), "on_cluster_created",
     )
+    handlers.register_handler(
+        Rule("service"), lambda df: df.groupBy("key").agg(F.max("seq").alias("n")), "on_service",
+    )
     return handlers.run_handlers(change_events(spark, sf))
 
 

@@ -44,3 +44,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, as the session reaches it, and the path in it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that one of our own tables was written to."""
+    store, place = _store(spark, path)
+    store.delete(place, True)

@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from musterroll.functions.phases import JOB_STATUS
-from musterroll.operators.rollup import FINAL_PHASES, job_fields, latest_state, replay_patches
+from musterroll.operators.rollup import FINAL_PHASES, job_fields, latest_state
 from musterroll.session import scratch_path
 from musterroll.sources.snapshot import timed
+from musterroll.streaming.buckets import BucketTable
 from musterroll.streaming.replay import MICROS, next_replicas
 from musterroll.streaming.ticks import IDLE_CHECK_PERIOD
 
@@ -77,31 +78,23 @@ def _per_batch(stream: DataFrame, path: str, mode: str,
 
 
 def coalesce_updates(
-    updates: DataFrame, current: DataFrame, key: list[str], order: list[str], path: str,
+    updates: DataFrame, current: DataFrame, key: list[str], order: list[str], path: str, buckets: int = 32,
 ) -> DataFrame:
-    """Apply updates to a table of current rows, one write per key and micro-batch.
+    """Apply updates to a table of current rows, one write per touched bucket and micro-batch.
 
     Several updates of a key in a batch collapse before they meet the table. A null is "not
     mentioned": the last value of each field counts, in ``order``, whether it came with an
-    update or stood in the table. Each batch writes a new version of the table from the
-    one before, so repeating a batch is harmless.
+    update or stood in the table, and whichever batch brought it. Keys lie in ``buckets``
+    and a batch rewrites only those it touches; see ``BucketTable`` for how a version comes
+    to count. Repeating a batch is harmless.
     """
-    spark = updates.sparkSession
-    versions = f"{path}/versions"
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        earlier = f"{versions}/version={batch_id - 1}"
-        before = current if batch_id == 0 else spark.read.schema(current.schema).parquet(earlier)
-        fields = [c for c in current.columns if c not in key]
-        merged = replay_patches(before.unionByName(batch.select(*current.columns)), key, order, fields)
-        merged.write.mode("overwrite").parquet(f"{versions}/version={batch_id}")
-
-    _per_batch(updates, path, "append", apply).awaitTermination()
-    written = spark.read.schema(
-        T.StructType(current.schema.fields + [T.StructField("version", T.LongType())])
-    ).parquet(versions)
-    newest = written.agg(F.max("version")).first()[0]
-    return written.where(F.col("version") == newest).drop("version")
+    table = BucketTable(updates.sparkSession, path, key, order, current.schema, buckets)
+    table.start(current)
+    columns = current.columns
+    _per_batch(
+        updates, path, "append", lambda batch, version: table.apply(batch.select(*columns), version)
+    ).awaitTermination()
+    return table.rows()
 
 
 # --- keyed state in event-time order -------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from musterroll.functions import clock, counting, labels, manifests, names, phases
-from musterroll.operators import closure, expand, ordered, relate, rollup, select, sets
+from musterroll.operators import closure, expand, matching, ordered, relate, rollup, select, sets
 from musterroll.operators.handlers import Handlers, Rule, rule_rows
 from musterroll.plans.roles import WORDS
 from musterroll.sources import logs, snapshot, specs
@@ -341,13 +341,75 @@ def test_rules_match_label_subsets(spark):
     rules = {"any": Rule("pod"), "run": Rule("pod", "phase", "Running", {"c": "job"}),
              "both": Rule("pod", None, None, {"c": "job", "x": "1"})}
     expected = [(1, "any"), (1, "both"), (1, "run"), (2, "any"), (3, "any")]
-    assert values(relate.match_rules(events, rule_rows(spark, rules)), "id", "rule") == expected
+    assert values(matching.match_rules(events, rule_rows(spark, rules)), "id", "rule") == expected
     handlers = Handlers()
     for name, rule in rules.items():
         handlers.register_handler(rule, lambda df: df.select("id"), name)
     assert values(handlers.run_handlers(events), "id", "handler") == expected
 
 
+def plain_matches(events, rules):
+    out = []
+    for number, kind, field, new, labels in events:
+        for name, rule_kind, rule_field, rule_new, rule_labels in rules:
+            good = kind is not None and kind == rule_kind and rule_field in (None, field) and rule_new in (None, new)
+            if good and all((labels or {}).get(k) == v for k, v in (rule_labels or {}).items()):
+                out.append((number, name))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("pass_shapes, few_kinds", [(64, 100), (3, 1)])
+def test_rules_equal_pairwise_matching(spark, monkeypatch, pass_shapes, few_kinds):
+    monkeypatch.setattr(matching, "PASS_SHAPES", pass_shapes)
+    monkeypatch.setattr(matching, "_FEW_KINDS", few_kinds)
+    rng = random.Random(8)
+
+    def some(*values):
+        return rng.choice(values)
+
+    def labels():
+        return some(None, {}, {k: some("1", "2", "-", "", None) for k in "abc" if rng.random() < 0.5})
+
+    events = [(i, some("pod", "svc", None), some("phase", "spec", None), some("Running", "Failed", None), labels()) for i in range(200)]
+    rules = [(f"r{i}", some("pod", "svc", "none", None), some("phase", None), some("Running", "Failed", None), labels()) for i in range(60)]
+    rules.append(rules[0])
+    types = "kind STRING, {0}field STRING, {0}new STRING, {0}labels MAP<STRING, STRING>"
+    found = matching.match_rules(
+        spark.createDataFrame(events, "id INT, " + types.format("")),
+        spark.createDataFrame(rules, "rule STRING, rule_" + types.format("rule_")),
+    )
+    assert found.columns == ["id", "kind", "field", "new", "labels", "rule"]
+    assert values(found, "id", "rule") == plain_matches(events, rules) and found.count() > 500
+    assert "map_filter" not in found._jdf.queryExecution().toString()
+
+
+def test_no_rules_match_nothing(spark):
+    events = spark.createDataFrame([(1, "pod", None, None, None)], "id INT, kind STRING, field STRING, new STRING, labels MAP<STRING, STRING>")
+    found = matching.match_rules(events, rule_rows(spark, {"r": Rule("pod")}).limit(0))
+    assert found.columns == [*events.columns, "rule"] and found.count() == 0
+
+
+def test_handlers_share_one_pass_over_the_events(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(len(batch))
+            yield batch
+
+    schema = "id INT, kind STRING, field STRING, new STRING, labels MAP<STRING, STRING>"
+    rows = [(i, ("pod", "svc", "node")[i % 3], "phase", "Running", None) for i in range(90)]
+    events = spark.createDataFrame(rows, schema).mapInPandas(seen, schema)
+    handlers = Handlers()
+    for kind in ("pod", "svc", "none"):
+        handlers.register_handler(Rule(kind), lambda df: df.select("id"), kind)
+    handlers.register_handler(Rule("pod", "phase"), lambda df: df.groupBy("kind").count(), "counts")
+    found = handlers.run_handlers(events)
+    assert found.where("handler = 'pod'").count() == 30 and found.where("handler = 'none'").count() == 0
+    assert found.where("handler = 'counts'").first()["count"] == 30
+    assert counted.value == 90
+
+
 def test_broken_plugins_are_skipped(monkeypatch):
     class Point:
         def __init__(self, name, fails):

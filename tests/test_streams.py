@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from musterroll.operators import relate, rollup
 from musterroll.session import scratch_path
 from musterroll.sources.snapshot import close_feed, closing_folder, read_watch
 from musterroll.streaming import live, replay, ticks
+from musterroll.streaming.buckets import BucketTable
 
 START = datetime(2024, 1, 1)
 SCHEMA = "key LONG, ts TIMESTAMP_NTZ, seq LONG, phase STRING, target INT"
@@ -136,3 +138,62 @@ def test_coalesced_updates_survive_a_restart(spark, feed):
     again = rows_of(live.coalesce_updates(updates, start, ["key"], ["ts", "seq"], path))
     batch = rollup.latest_state(feed[1].select(*columns), ["key"], ["ts", "seq"])
     assert first == again == rows_of(batch) + [(9, START, -1, 5)]
+
+
+def bucket_files(path):
+    return {(p.parent.parent.name, p.parent.name): p.stat().st_size for p in Path(path.removeprefix("file:")).glob("data/*/*/*.parquet")}
+
+
+def test_batches_write_only_the_buckets_they_touch(spark):
+    path = scratch_path(spark, "buckets")
+    start = spark.createDataFrame([(k, 0, "x", None) for k in range(20_000)], "key LONG, seq LONG, a STRING, b INT")
+    table = BucketTable(spark, path, ["key"], ["seq"], start.schema, 16)
+    table.start(start)
+    table.start(start.limit(1))
+    first = bucket_files(path)
+    assert len({b for _, b in first}) == 16
+    table.apply(spark.createDataFrame([(5, 9, None, 7), (5, 8, "y", None), (99_999, 1, "new", 1)], start.schema), 0)
+    fresh = {k: v for k, v in bucket_files(path).items() if k[0] == "version=0"}
+    assert 1 <= len({b for _, b in fresh}) <= 2 and sum(fresh.values()) < sum(first.values()) / 4
+    rows = {r.key: tuple(r)[1:] for r in table.rows().collect()}
+    assert rows[5] == (9, "y", 7) and rows[99_999] == (1, "new", 1) and len(rows) == 20_001
+    # What no commit that can still be read refers to is gone.
+    for version in range(1, 6):
+        table.apply(spark.createDataFrame([(5, 9 + version, None, version)], start.schema), version)
+    of_key = [v for v, b in bucket_files(path) if b == next(b for v, b in bucket_files(path) if v == "version=5")]
+    assert sorted(of_key) == ["version=4", "version=5"]
+    assert sorted(table.commits()) == [4, 5]
+    assert table.rows().where("key = 5").first().b == 5 and table.rows().count() == 20_001
+
+
+def test_a_killed_batch_leaves_no_half_version(spark, monkeypatch):
+    path = scratch_path(spark, "buckets")
+    start = spark.createDataFrame([(k, 0, "old") for k in range(100)], "key LONG, seq LONG, a STRING")
+    table = BucketTable(spark, path, ["key"], ["seq"], start.schema, 4)
+    table.start(start)
+    update = spark.createDataFrame([(k, 1, "new") for k in range(100)], start.schema)
+
+    def killed(*args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="killed"):
+        patch.setattr(BucketTable, "_commit", killed)
+        table.apply(update, 0)
+    assert bucket_files(path) and {r.a for r in table.rows().collect()} == {"old"}
+    table.apply(update.limit(30), 0)
+    assert sorted(r.a for r in table.rows().collect()) == ["new"] * 30 + ["old"] * 70
+    # A repeated batch that counts already changes nothing, and none ever goes back.
+    table.apply(update, 0)
+    table.apply(update.where("key < 0"), 1)
+    assert sorted(r.a for r in table.rows().collect()) == ["new"] * 30 + ["old"] * 70
+
+
+def test_late_updates_set_what_nothing_newer_has_set(spark):
+    schema = "key LONG, seq LONG, a STRING, b STRING"
+    updates = [(1, 5, "a5", None), (1, 9, None, "b9"), (1, 7, "a7", "b7"), (2, 1, "x", None), (1, 6, "a6", "b6")]
+    path = scratch_path(spark, "buckets")
+    table = BucketTable(spark, path, ["key"], ["seq"], spark.createDataFrame([], schema).schema, 4)
+    table.start(spark.createDataFrame([], schema))
+    for version, row in enumerate(updates):
+        table.apply(spark.createDataFrame([row], schema), version)
+    assert rows_of(table.rows()) == [(1, 9, "a7", "b9"), (2, 1, "x", None)]
