@@ -25,7 +25,7 @@ def _counted(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict
     return table, seen.get
 
 
-def _nearest(pointers: DataFrame, sizes: dict[str, int]) -> tuple[DataFrame, int]:
+def _nearest(pointers: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """The nearest root above each node that has one, with its distance.
 
     ``pointers`` has ``node, up, depth, done``; a pointer is done at a root. Each round
@@ -41,7 +41,7 @@ def _nearest(pointers: DataFrame, sizes: dict[str, int]) -> tuple[DataFrame, int
         pointers, sizes = _counted(pointers.where("done").unionByName(moved), "pointers", open=~F.col("done"))
         if sizes["open"] == before:
             break
-    return pointers.where("done").select(F.col("up").alias("root"), "node", "depth"), sizes["rows"] - sizes["open"]
+    return pointers.where("done").select(F.col("up").alias("root"), "node", "depth")
 
 
 def _all_above(pairs: DataFrame) -> DataFrame:
@@ -91,26 +91,34 @@ def owned_closure(
     up, node = F.col(parent).alias("up"), F.col(child).alias("node")
     links = edges.select(node, up).where(F.col("node") != F.col("up"))
     roots = roots.select("root").where(F.col("root").isNotNull()).distinct()
-    owners = links.select(F.col("up").alias("node")).distinct()
-    inner = links.join(owners, "node", "left_semi").groupBy("node").agg(
-        F.min("up").alias("up"), F.max("up").alias("other"))
-    tops = roots.select(F.col("root").alias("up"), F.lit(True).alias("is_root"))
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None).cast(links.schema["up"].dataType).alias("up")
+    # One shuffle tells for each node its owners, whether it owns something and whether it is a root.
+    facts = links.select("node", "up", no.alias("owns"), no.alias("is_root"))
+    facts = facts.union(links.select("up", none, yes, no)).union(roots.select("root", none, no, yes))
+    inner = facts.groupBy("node").agg(
+        F.min("up").alias("up"), F.max("up").alias("other"), F.max("owns").alias("owns"), F.max("is_root").alias("nested"),
+    ).where("owns AND up IS NOT NULL")
+    tops = roots.select(F.col("root").alias("up"), yes.alias("to_root"))
     inner = inner.join(tops, "up", "left").select(
-        "node", "up", F.lit(1).alias("depth"), F.col("is_root").isNotNull().alias("done"), (F.col("other") != F.col("up")).alias("several"))
-    inner, sizes = _counted(inner, "inner", open=~F.col("done"), several=F.col("several"))
+        "node", "up", F.lit(1).alias("depth"), F.col("to_root").isNotNull().alias("done"),
+        (F.col("other") != F.col("up")).alias("several"), "nested")
+    inner, sizes = _counted(inner, "inner", open=~F.col("done"), several=F.col("several"), nested=F.col("nested"))
     if sizes["several"]:
         found = _by_levels(links, roots)
     else:
-        nearest, n_nearest = _nearest(inner.drop("several"), sizes)
+        nearest = _nearest(inner.drop("several", "nested"), sizes)
         own = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-        nested = nearest.join(roots.select(F.col("root").alias("node")), "node", "left_semi").where("root <> node")
-        above = _all_above(nested.select("root", "node", "depth"))
-        start = own.unionByName(nearest).withColumnRenamed("node", "up")
-        step = links.join(small_side(start, n_nearest + roots.count()), "up")
-        near = own.unionByName(step.select("root", "node", (F.col("depth") + 1).alias("depth")))
-        higher = near.join(above.select(F.col("root").alias("top"), F.col("node").alias("root"), F.col("depth").alias("more")), "root")
-        higher = higher.select(F.col("top").alias("root"), "node", (F.col("depth") + F.col("more")).alias("depth"))
-        found = near.unionByName(higher).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        # Only what owns something is on the left, far less than there is to own.
+        step = own.unionByName(nearest).withColumnRenamed("node", "up").join(links, "up")
+        found = own.unionByName(step.select("root", "node", (F.col("depth") + 1).alias("depth")))
+        if sizes["nested"]:
+            pairs = nearest.join(roots, nearest["node"] == roots["root"], "left_semi").where("root <> node")
+            above = _all_above(pairs.select("root", "node", "depth")).select(
+                F.col("root").alias("top"), F.col("node").alias("root"), F.col("depth").alias("more"))
+            higher = found.join(above, "root").select(
+                F.col("top").alias("root"), "node", (F.col("depth") + F.col("more")).alias("depth"))
+            found = found.unionByName(higher)
+        found = found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
     if max_depth is not None:
         found, sizes = _counted(found, "closure", deeper=F.col("depth") > max_depth)
         if sizes["deeper"]:

@@ -75,9 +75,10 @@ class Handlers:
         """
         if len(self._entries) == 1 or events.isStreaming:
             return [events.where(rule.selects()) for _, rule, _ in self._entries]
-        wanted = F.array_compact(F.array(*[F.when(rule.selects(), F.lit(i)) for i, (_, rule, _) in enumerate(self._entries)]))
+        wanted = F.array(*[F.when(rule.selects(), F.lit(i)) for i, (_, rule, _) in enumerate(self._entries)])
         path = scratch_path(events.sparkSession, "routed")
-        events.withColumn(_ROUTE, F.explode(wanted)).write.partitionBy(_ROUTE).parquet(path)
+        routed = events.withColumn(_ROUTE, F.explode(wanted)).where(F.col(_ROUTE).isNotNull())
+        routed.write.partitionBy(_ROUTE).parquet(path)
         schema = T.StructType([*events.schema.fields, T.StructField(_ROUTE, T.IntegerType())])
         table = events.sparkSession.read.schema(schema).parquet(path)
         return [table.where(F.col(_ROUTE) == i).drop(_ROUTE) for i in range(len(self._entries))]

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from musterroll.operators.heat import checked_broadcast
+from musterroll.operators.heat import small_side
 
 #: Shapes whose keys one pass over the events emits; more shapes take further passes.
 PASS_SHAPES = 64
@@ -26,57 +26,58 @@ _PARTS = ("rule_kind", "rule_field", "rule_new", "rule_labels")
 class Shape:
     """The parts of an event that some rules ask for, and the kinds they ask for."""
 
-    number: int
     field: bool
     new: bool
     labels: tuple[str, ...]
     kinds: tuple[str, ...] | None
 
-    def key(self, kind: Column, field: Column, new: Column, labels: Column) -> Column:
-        """The values of the parts as one array; an absent value differs from every text."""
-        parts = [kind, *[field] * self.field, *[new] * self.new, *[labels[name] for name in self.labels]]
-        marked = [F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts]
-        return F.array(F.lit(str(self.number)), *marked)
 
+def _marked(value: Column) -> Column:
+    """The value as a text that no absent value equals."""
+    return F.coalesce(F.concat(F.lit("="), value), F.lit("-"))
 
-def _asked(rules: DataFrame) -> list[Column]:
-    names = F.array_sort(F.map_keys(F.coalesce("rule_labels", F.create_map().cast("map<string,string>"))))
-    return [F.col("rule_field").isNotNull().alias("field"), F.col("rule_new").isNotNull().alias("new"), names.alias("names")]
 
+def _names(labels: str) -> Column:
+    return F.array_sort(F.map_keys(F.coalesce(labels, F.create_map().cast("map<string,string>"))))
 
-def shapes_of(rules: DataFrame) -> list[Shape]:
-    """The shapes of a rule table: one row each comes to the driver."""
-    found = rules.where(F.col("rule_kind").isNotNull()).groupBy(*_asked(rules)).agg(
-        F.slice(F.array_sort(F.collect_set("rule_kind")), 1, _FEW_KINDS + 1).alias("kinds"))
+
+def shapes_of(rules: DataFrame) -> tuple[list[Shape], int]:
+    """The shapes of a rule table, of which the driver gets one row each, and its rows."""
+    asked = [F.col("rule_field").isNotNull().alias("field"), F.col("rule_new").isNotNull().alias("new"), _names("rule_labels").alias("names")]
+    found = rules.where(F.col("rule_kind").isNotNull()).groupBy(*asked).agg(
+        F.slice(F.array_sort(F.collect_set("rule_kind")), 1, _FEW_KINDS + 1).alias("kinds"), F.count(F.lit(1)).alias("n"))
     rows = sorted(found.collect(), key=lambda r: (r["field"], r["new"], r["names"]))
-    return [
-        Shape(i, r["field"], r["new"], tuple(r["names"]), tuple(r["kinds"]) if len(r["kinds"]) <= _FEW_KINDS else None)
-        for i, r in enumerate(rows)
+    shapes = [
+        Shape(r["field"], r["new"], tuple(r["names"]), tuple(r["kinds"]) if len(r["kinds"]) <= _FEW_KINDS else None)
+        for r in rows
     ]
+    return shapes, sum(r["n"] for r in rows)
 
 
-def _rule_keys(rules: DataFrame, shapes: list[Shape]) -> DataFrame:
-    """Rules of the given shapes with their key in ``_key``."""
-    field, new, names = _asked(rules)
-    parts = [F.col(c) for c in _PARTS]
-    key = F.lit(None).cast("array<string>")
-    for shape in shapes:
-        own = (field == F.lit(shape.field)) & (new == F.lit(shape.new)) & (
-            names == F.array(*map(F.lit, shape.labels)).cast("array<string>"))
-        key = F.when(own, shape.key(*parts)).otherwise(key)
-    return rules.withColumn("_key", key).where(F.col("_key").isNotNull()).drop(*_PARTS)
+def _rule_keys(rules: DataFrame) -> DataFrame:
+    """Rules with their key in ``_key``: flags of the parts, their values, names and values of labels."""
+    flag = lambda part: F.when(F.col(part).isNotNull(), "+").otherwise("")
+    own = F.array(
+        F.concat(F.lit("f"), flag("rule_field"), F.lit("n"), flag("rule_new")),
+        F.col("rule_kind"), F.coalesce("rule_field", F.lit("")), F.coalesce("rule_new", F.lit("")),
+    )
+    labels = F.flatten(F.transform(_names("rule_labels"), lambda k: F.array(k, _marked(F.col("rule_labels")[k]))))
+    return rules.where(F.col("rule_kind").isNotNull()).withColumn("_key", F.concat(own, labels)).drop(*_PARTS)
 
 
 def _event_keys(events: DataFrame, shapes: list[Shape]) -> DataFrame:
     """One row per event and shape that may select it, with the key in ``_key``."""
-    parts = [F.col(c) for c in ("kind", "field", "new", "labels")]
+    kind, field, new, nothing = F.col("kind"), F.col("field"), F.col("new"), F.lit("")
+    values = {name: _marked(F.col("labels")[name]) for shape in shapes for name in shape.labels}
     keys = []
     for shape in shapes:
-        wanted = F.col("kind").isNotNull() if shape.kinds is None else F.col("kind").isin(*shape.kinds)
-        # A rule never asks for a part that is null, so an event without it has no key.
-        wanted &= reduce(lambda a, b: a & b, [p.isNotNull() for p, asked in zip(parts[1:3], (shape.field, shape.new), strict=True) if asked], F.lit(True))
-        keys.append(F.when(wanted, shape.key(*parts)))
-    return events.withColumn("_key", F.explode(F.array_compact(F.array(*keys))))
+        wanted = kind.isNotNull() if shape.kinds is None else kind.isin(*shape.kinds)
+        flags = f"f{'+' * shape.field}n{'+' * shape.new}"
+        # A part that is asked for is never null in a rule, and neither is an array with a null in it equal to a key.
+        parts = [F.lit(flags), kind, field if shape.field else nothing, new if shape.new else nothing]
+        labels = [part for name in shape.labels for part in (F.lit(name), values[name])]
+        keys.append(F.when(wanted, F.array(*parts, *labels)))
+    return events.withColumn("_key", F.explode(F.array(*keys))).where(F.col("_key").isNotNull())
 
 
 def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -91,12 +92,13 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     sides are shuffled on the whole key, so the events of one kind spread over its values,
     and adaptive execution splits what is still skewed.
     """
-    shapes = shapes_of(rules)
-    parts = [
-        _event_keys(events, some).join(checked_broadcast(_rule_keys(rules, some)), "_key").drop("_key")
-        for at in range(0, len(shapes), PASS_SHAPES) if (some := shapes[at : at + PASS_SHAPES])
-    ]
-    if not parts:
+    shapes, n_rules = shapes_of(rules)
+    if not shapes:
         kept = [F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema if f.name not in _PARTS]
         return events.where(F.lit(False)).select("*", *kept)
+    keyed = small_side(_rule_keys(rules), n_rules)
+    parts = [
+        _event_keys(events, shapes[at : at + PASS_SHAPES]).join(keyed, "_key").drop("_key")
+        for at in range(0, len(shapes), PASS_SHAPES)
+    ]
     return reduce(DataFrame.unionByName, parts)
