@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterroll.functions.manifests import Vocabulary
+from musterroll.functions.manifests import Vocabulary, cluster_documents
 from musterroll.functions.phases import lookup
 
 WORDS = Vocabulary(
@@ -233,26 +233,50 @@ def cluster_params(spark, sf) -> DataFrame:
     )
 
 
+def _label_maps(key, segment) -> dict:
+    return {
+        "labels": F.create_map(
+            F.lit("segment"), segment, F.lit("tier"), F.concat(F.lit("t"), key % 3)),
+        "annotations": F.create_map(
+            F.lit("note"), F.concat(F.lit("n"), key % 10),
+            F.lit("kopf.zalando.org/foobar"), F.lit("x"),
+            F.lit("kubectl.kubernetes.io"), F.lit("y"),
+        ),
+        "scheduler_labels": F.create_map(F.lit("tier"), F.lit("scheduler")),
+        "scheduler_annotations": F.create_map(F.lit("probe"), F.lit("on")),
+        "worker_labels": F.when(key % 2 == 0, F.create_map(
+            F.lit(WORDS.label("cluster-name")), F.lit("mine"), F.lit("pool"), F.lit("p")
+        )),
+        "worker_annotations": F.lit(None).cast("map<string,string>"),
+    }
+
+
 def cluster_labels(spark, sf) -> DataFrame:
     """Clusters with the label and annotation maps of the object and of both parts."""
     key = F.col("cluster_id")
-    label = WORDS.label
     named = clusters(spark, sf).withColumn(
         "name", F.replace(F.lower("name"), F.lit("#"), F.lit("-"))
     )
     return named.select(
         "cluster_id", "name",
-        F.create_map(F.lit("segment"), F.col("segment"), F.lit("tier"),
-                     F.concat(F.lit("t"), key % 3)).alias("labels"),
-        F.create_map(
-            F.lit("note"), F.concat(F.lit("n"), key % 10),
-            F.lit("kopf.zalando.org/foobar"), F.lit("x"),
-            F.lit("kubectl.kubernetes.io"), F.lit("y"),
-        ).alias("annotations"),
-        F.create_map(F.lit("tier"), F.lit("scheduler")).alias("scheduler_labels"),
-        F.create_map(F.lit("probe"), F.lit("on")).alias("scheduler_annotations"),
-        F.when(key % 2 == 0, F.create_map(
-            F.lit(label("cluster-name")), F.lit("mine"), F.lit("pool"), F.lit("p")
-        )).alias("worker_labels"),
-        F.lit(None).cast("map<string,string>").alias("worker_annotations"),
+        *[value.alias(name) for name, value in _label_maps(key, F.col("segment")).items()],
+    )
+
+
+def cluster_manifests(spark, sf) -> DataFrame:
+    """Whole cluster documents with labels, notes and metadata of both parts."""
+    params = cluster_params(spark, sf).withColumn("namespace", F.concat(F.lit("ns-"), "namespace"))
+    key = F.col("cluster_id")
+    segment = F.substring_index(F.substring_index("image", "/", -1), ":", 1)
+    made = cluster_documents(params, WORDS).withColumns(_label_maps(key, segment))
+    part = lambda p: F.struct(F.col(f"{p}_labels").alias("labels"), F.col(f"{p}_annotations").alias("annotations"))
+    doc = F.col("document")
+    meta = F.struct(
+        doc["metadata"]["name"].alias("name"), F.concat(F.lit("uid-"), key).alias("uid"),
+        F.col("labels").alias("labels"), F.col("annotations").alias("annotations"),
     )
+    spec = doc["spec"]
+    with_meta = spec.withField("scheduler", spec["scheduler"].withField("metadata", part("scheduler"))).withField(
+        "worker", spec["worker"].withField("metadata", part("worker")))
+    return made.select(
+        "cluster_id", "namespace", doc.withField("metadata", meta).withField("spec", with_meta).alias("document"))
