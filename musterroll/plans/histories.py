@@ -11,7 +11,7 @@ from musterroll.plans.registry import query
 from musterroll.plans.rollups import JOB_RUNS_SQL
 from musterroll.session import scratch_path
 from musterroll.sources.snapshot import close_feed, closing_folder, read_watch
-from musterroll.streaming import live, replay, ticks
+from musterroll.streaming import live, replay, scaling, ticks
 
 AS_OF = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
 END = "TIMESTAMP_NTZ'2025-01-01 00:00:00'"
@@ -104,6 +104,46 @@ def tick_samples(spark, sf):
     return ticks.tick_samples(roles.watch(spark, sf), ["key"], "ts", roles.HOUR)
 
 
+_PLAN_SQL = """
+    , said AS (SELECT key, ts, seq, CASE event_type WHEN 'signup' THEN TRUE WHEN 'error' THEN FALSE END AS ready,
+                      CASE event_type WHEN 'view' THEN target WHEN 'purchase' THEN -1 END AS http,
+                      CASE event_type WHEN 'click' THEN target END AS rpc, FALSE AS tick FROM watch
+               UNION ALL SELECT key, ts, 9223372036854775807, NULL, NULL, NULL, TRUE
+               FROM ticks WHERE epoch(ts) % 21600 = 0)
+    , seen AS (SELECT key, ts, tick, last_value(ready IGNORE NULLS) OVER w AS ready,
+                      last_value(http IGNORE NULLS) OVER w AS http, last_value(rpc IGNORE NULLS) OVER w AS rpc
+               FROM said WINDOW w AS (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))
+    , s AS (SELECT key, 0 AS seq, ts, coalesce(nullif(http, -1), rpc) AS target, minimum, maximum,
+                   row_number() OVER (PARTITION BY key ORDER BY ts) AS n
+            FROM seen JOIN clusters ON cluster_id = key
+            WHERE tick AND ready AND coalesce(nullif(http, -1), rpc) IS NOT NULL), """ + _AUTOSCALER_SQL[
+    _AUTOSCALER_SQL.index("run AS ("):_AUTOSCALER_SQL.rindex("SELECT key")] + """
+    , moved AS (SELECT key, count(*) AS moves, arg_max(cur, ts) AS desired FROM run WHERE fired GROUP BY key)
+    , wanted AS (SELECT cluster_id AS key, coalesce(desired, minimum) AS desired, coalesce(moves, 0) AS moves
+                 FROM clusters LEFT JOIN moved ON key = cluster_id)
+    , had AS (SELECT cluster_id AS key, count(*) AS n FROM worker_groups GROUP BY cluster_id)
+    SELECT key, desired, moves, coalesce(n, 0) AS current, desired - coalesce(n, 0) AS needed,
+           CASE WHEN desired > coalesce(n, 0) THEN 'up' WHEN desired < coalesce(n, 0) THEN 'down' ELSE 'none' END AS action
+    FROM wanted LEFT JOIN had USING (key)"""
+
+
+@query("t9_scaling_plan", roles=("watch", "clusters", "worker_groups", "ticks"), sql=_PLAN_SQL)
+def scaling_plan(spark, sf):
+    """Events as readiness and as answers of two sources; groups as the members of a cluster."""
+    kind = F.col("event_type")
+    changes = roles.watch(spark, sf).select(
+        "key", "ts", "seq",
+        F.when(kind == "signup", F.lit(True)).when(kind == "error", F.lit(False)).alias("ready"),
+        F.when(kind == "view", F.col("target")).when(kind == "purchase", F.lit(scaling.UNREACHABLE)).alias("http"),
+        F.when(kind == "click", F.col("target")).alias("rpc"),
+    )
+    members = roles.worker_groups(spark, sf).select(F.col("cluster_id").alias("key"))
+    return scaling.scaling_plan(
+        changes, roles.watch_clusters(spark, sf), members, ["key"], "ts", "seq", "ready", ["http", "rpc"],
+        6 * roles.HOUR, roles.COOLDOWN,
+    )
+
+
 # --- streams over the event files ----------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from musterroll.operators import relate, rollup
 from musterroll.session import scratch_path
 from musterroll.sources.snapshot import close_feed, closing_folder, read_watch
-from musterroll.streaming import live, replay, ticks
+from musterroll.streaming import live, replay, scaling, ticks
 from musterroll.streaming.buckets import BucketTable
 
 START = datetime(2024, 1, 1)
@@ -197,3 +197,19 @@ def test_late_updates_set_what_nothing_newer_has_set(spark):
     for version, row in enumerate(updates):
         table.apply(spark.createDataFrame([row], schema), version)
     assert rows_of(table.rows()) == [(1, 9, "a7", "b9"), (2, 1, "x", None)]
+
+
+def test_ticks_ask_sources_in_order_and_only_ready_schedulers(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [(1, at(0), 1, None, 4, 9), (1, at(12), 2, True, None, None), (1, at(21), 3, None, -1, None), (1, at(33), 4, None, None, -1),
+            (1, at(41), 5, None, 6, None), (1, at(52), 6, False, 7, None), (1, at(60), 7, None, None, None), (2, at(0), 1, True, None, None),
+            (2, at(20), 2, None, None, None)]
+    changes = spark.createDataFrame(rows, "key LONG, ts TIMESTAMP_NTZ, seq LONG, ready BOOLEAN, http INT, rpc INT")
+    found = rows_of(scaling.targets_at_ticks(changes, ["key"], "ts", "seq", "ready", ["http", "rpc"], 10))
+    assert found == [(1, at(20), 4), (1, at(30), 9), (1, at(50), 6)]
+    bounds = spark.createDataFrame([(1, 1, 5), (2, 2, None), (3, None, 4)], "key LONG, minimum INT, maximum INT")
+    members = spark.createDataFrame([(1,), (2,), (2,), (9,)], "key LONG")
+    plan = scaling.scaling_plan(changes, bounds, members, ["key"], "ts", "seq", "ready", ["http", "rpc"], 10, 15)
+    # 4 at 20 s; 30 s is within the cooldown; 6 is cut to 5 at 50 s.
+    assert rows_of(plan.select("key", "desired", "moves", "current", "needed", "action")) == [
+        (1, 5, 2, 1, 4, "up"), (2, 2, 0, 2, 0, "none"), (3, 0, 0, 0, 0, "none")]
