@@ -323,85 +323,34 @@ def job_runs_table(written: DataFrame, key: str) -> DataFrame:
     return job_fields(latest_state(written, [key], ["at_micros", "at_seq"]), key)
 
 
-class Readiness(StatefulProcessor):
-    """Settles each creation once the watermark has passed its limit."""
-
-    def __init__(self, timeout: int, width: int, out: str):
-        self.timeout, self.width, self.out = timeout * MICROS, width * MICROS, out
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "t LONG, seq LONG, created BOOLEAN")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            arrived = part[["at_micros", "at_seq", "is_created"]]
-            self.held.appendList([tuple(r) for r in arrived.astype("object").itertuples(index=False)])
-            first = arrived["at_micros"][arrived["is_created"]].min()
-            if first == first:
-                self._wake(int(first) + self.timeout)
-        # Past this time nothing of the bucket is needed any more.
-        self._wake((key[-1] + 1) * self.width + self.timeout)
-        return iter(())
-
-    def _wake(self, at: int) -> None:
-        self.handle.registerTimer(at // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        found, rest, following = [], [], None
-        # Backwards in time; at one time the ready events come before the creations.
-        rows = sorted(self.held.get(), key=lambda r: (-r[0], r[2]))
-        for t, seq, created in rows:
-            if not created:
-                following = t
-            elif t + self.timeout >= now:
-                rest.append((t, seq, created))
-            else:
-                in_time = following is not None and following < t + self.timeout
-                found.append((*key, seq, t, following if in_time else None,
-                              "ready" if in_time else "timed_out"))
-        earliest = min([now, *[r[0] for r in rest]])
-        done = now > (key[-1] + 1) * self.width + self.timeout
-        rest += [r for r in rows if not r[2] and r[0] >= earliest and not done]
-        if rest:
-            self.held.put(rest)
-            pending = [r[0] for r in rest if r[2]]
-            if pending:
-                self._wake(min(pending) + self.timeout)
-        elif rows:
-            self.held.clear()
-        if found:
-            frame = next(_frame(self.out, found))
-            frame["ready_ts"] = frame["ready_ts"].astype("Int64")
-            yield frame
-
-
 def ready_within_stream(
     events: DataFrame, key: str | list[str], ts: str, seq: str, created: Column, ready: Column,
     timeout: int, bucket_timeouts: int = BUCKET_TIMEOUTS,
 ) -> DataFrame:
-    """``ready_within`` on a watermarked stream, without joining creations to ready events.
+    """``ready_within`` on a watermarked stream: an interval join, of which the first match counts.
 
+    Both sides are kept and dropped by the engine as the watermark passes their interval.
     Time is cut into buckets of some timeouts, so a creation's answer lies in its own
     bucket or early in the next one; such a ready event also goes to the bucket before.
-    Each bucket of a key is a state of its own, so a long history of one key spreads over
-    many tasks, and a state keeps the rows of one timeout.
+    The bucket is part of the join key, so a long history of one key spreads over many
+    tasks. A creation's matches are those of one timeout.
     """
     key = _keys(key)
-    width = timeout * bucket_timeouts
+    width = timeout * bucket_timeouts * MICROS
     at = micros(ts)
-    bucket = F.floor(at / (width * MICROS))
-    early = ready & (at - bucket * (width * MICROS) < timeout * MICROS)
-    own = F.struct(bucket.alias("at_bucket"), created.alias("is_created"))
-    before = F.struct((bucket - 1).alias("at_bucket"), F.lit(False).alias("is_created"))
-    rows = events.where(timed(created | ready, ts)).select(
-        *key, ts, at.alias("at_micros"), F.col(seq).cast("long").alias("at_seq"),
-        F.explode(F.when(early, F.array(own, before)).otherwise(F.array(own))).alias("_b"),
-    )
-    rows = rows.select(*key, "_b.at_bucket", ts, "at_micros", "at_seq", "_b.is_created")
-    out = _out(rows, key, f"at_bucket LONG, {seq} LONG, at_micros LONG, ready_ts LONG, outcome STRING")
-    settled = rows.groupBy(*key, "at_bucket").transformWithStateInPandas(
-        Readiness(timeout, width, out), T.StructType.fromDDL(out), "append", "EventTime"
+    bucket = F.floor(at / width)
+    early = at - bucket * width < timeout * MICROS
+    left = events.where(timed(created, ts)).select(
+        *key, F.col(ts).alias("_created"), F.col(seq).cast("long").alias(seq), bucket.alias("_bucket"))
+    buckets = F.when(early, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))
+    right = events.where(timed(ready, ts)).select(
+        *[F.col(k).alias(f"_ready_{k}") for k in key], F.col(ts).alias("_ready"), F.explode(buckets).alias("_ready_bucket"))
+    same = [left[k] == right[f"_ready_{k}"] for k in key]
+    within = (right["_ready"] >= left["_created"]) & (
+        right["_ready"] < left["_created"] + F.expr(f"INTERVAL {timeout} SECONDS"))
+    both = left.join(right, reduce(and_, same) & (left["_bucket"] == right["_ready_bucket"]) & within, "left_outer")
+    settled = both.groupBy(*key, seq, "_created").agg(F.min("_ready").alias("_first"))
+    return settled.select(
+        *key, seq, F.col("_created").cast("timestamp_ntz").alias(ts), F.col("_first").cast("timestamp_ntz").alias("ready_ts"),
+        F.when(F.col("_first").isNotNull(), "ready").otherwise("timed_out").alias("outcome"),
     )
-    return _timed(settled, {"at_micros": ts, "ready_ts": "ready_ts"}, "at_bucket")
