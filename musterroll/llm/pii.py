@@ -13,6 +13,7 @@ spans as the plain forms.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterroll.llm.boosting import Boosted, boost, threshold_for
+from musterroll.llm.common import free_name
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
@@ -38,15 +40,59 @@ _PROPOSED = {
 _CUE = r"(?i)(?:password|passwd|pwd|token|secret|key|mail|phone|tel|call|contact)[^A-Za-z0-9]{0,5}$"
 _SECRET_CUE = r"(?i)(?:password|passwd|pwd|token|secret|key)\s*[=:]\s*[\"']?$"
 _SECRET_FORM = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"
-FEATURES = ["kind", "digits", "seps", "case", "size", "cue", "joined"]
+#: Signs that do not rest on the base rules: a usual last part of a host, announced numbers, codes
+#: that the numbering plan allows for area and exchange.
+_USUAL_END = r"(?i)(?:\.|(?:\[dot\]|\(dot\))\x20?)(?:com|org|net|edu|gov|info|io|example|[a-z]{2})$"
+_PHONE_CUE = r"(?i)(?:phone|tel|call|fax|mobile|contact)[^A-Za-z0-9]{0,5}$"
+_PHONE_CODES = r"^\(?[2-9][0-8][0-9]\)?[\x20.-]?(?![2-9]11)[2-9][0-9]{2}"
+FEATURES = ["kind", "digits", "seps", "case", "size", "cue", "joined", "usual"]
 BASE_SCORE = 2.0
 _SPAN_TYPE = "array<struct<kind: string, start: int, end: int, hit: string, before: string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of each block of an array, as an array. A block has 64 items, up to 512 of long arrays.
+
+    Every step of ``aggregate`` copies its state, so a state that collects what it finds is
+    kept to one block.
+    """
+    size = F.least(F.greatest(F.floor(F.size(items) / 1000).cast("int"), F.lit(64)), F.lit(512))
+    return F.transform(F.sequence(F.lit(0), F.size(items) - 1, size), lambda at: _let(F.slice(items, at + 1, size), use))
+
+
+def _scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], found: str) -> Column:
+    """Struct of the last ``state`` and all that was ``found``, in order.
+
+    ``step`` gives the next state and an array of what the item adds.
+    """
+    none = F.array().cast(f"array<{found}>")
+
+    def one(done: Column, item: Column) -> Column:
+        after, more = step(done["state"], item)
+        return F.struct(after.alias("state"), F.concat(done["found"], more).alias("found"))
+
+    def block(done: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(done["state"].alias("state"), none.alias("found")), one)
+        return _let(inner, lambda r: F.struct(
+            r["state"].alias("state"), F.concat(done["found"], F.array(r["found"])).alias("found")))
+
+    def all_blocks(whole: Column) -> Column:
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{found}>>").alias("found"))
+        return F.aggregate(_blocks(whole, lambda own: own), zero, block, lambda d: F.struct(
+            d["state"].alias("state"), F.flatten(d["found"]).alias("found")))
+
+    return _let(items, lambda whole: F.when(F.size(whole) > 0, all_blocks(whole)).otherwise(
+        F.struct(state.alias("state"), none.alias("found"))))
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """All matches with code-point positions and the text just before them, in order."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("hit"))
+    none = F.array().cast(_SPAN_TYPE)
 
     def step(done: Column, pair: Column) -> Column:
         start = done["at"] + F.length(pair["gap"])
@@ -57,9 +103,26 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(done["found"], F.array(found)).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN_TYPE).alias("found"))
-    steps = F.slice(steps, 1, F.size(matches))
-    return F.aggregate(steps, zero, step)["found"]
+    def measured(own: Column) -> Column:
+        width = F.aggregate(own, F.lit(0), lambda n, pair: n + F.length(pair["gap"]) + F.length(pair["hit"]))
+        return F.struct(width.alias("width"), own.alias("own"))
+
+    def block(placed: Column) -> Column:
+        zero = F.struct(placed["at"].alias("at"), none.alias("found"))
+        return F.aggregate(placed["own"], zero, step, lambda done: done["found"])
+
+    def all_blocks(blocks: Column) -> Column:
+        """Where each block starts, and then the spans of each on their own."""
+        starts = F.aggregate(blocks["width"], F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        placed = F.arrays_zip(blocks["own"].alias("own"), F.slice(starts, F.lit(1), F.size(blocks)).alias("at"))
+        return F.flatten(F.transform(placed, block))
+
+    def found(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        steps = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"))
+        return F.when(F.size(matches) > 0, _let(steps, lambda s: _let(_blocks(s, measured), all_blocks))).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
 def _digits(hit: Column) -> Column:
@@ -132,14 +195,24 @@ def features(span: Column) -> list[Column]:
         F.least(F.floor(F.length(hit) / 4), F.lit(12)).cast("int"),
         before.rlike(_CUE).cast("int"),
         before.rlike(r"[\p{L}0-9]$").cast("int"),
+        F.when(span["kind"] == "email", hit.rlike(_USUAL_END)).when(span["kind"] == "phone", hit.rlike(_PHONE_CODES))
+        .otherwise(hit.rlike(_SECRET_FORM)).cast("int"),
     ]
 
 
-def _silver(span: Column, base: Column) -> Column:
-    """Inside a base span, or a secret that is announced or has a known form."""
-    inside = F.exists(base, lambda b: (b["start"] <= span["start"]) & (span["end"] <= b["end"]))
-    secret = span["before"].rlike(_SECRET_CUE) | span["hit"].rlike(_SECRET_FORM)
-    return F.when(span["kind"] == "secret", secret).otherwise(inside)
+def _silver(span: Column) -> Column:
+    """1 or 0 by signs that do not rest on the base rules, null without a sign.
+
+    Mail: whether the host has an end, and a usual one. Phone: announced with codes of the
+    numbering plan, or with others. Secret: announced or of a known form, or neither.
+    """
+    hit, before = span["hit"], span["before"]
+    dotted = hit.rlike(r"\.|\[dot\]|\(dot\)")
+    mail = F.when(hit.rlike(_USUAL_END), 1).when(~dotted, 0)
+    codes = hit.rlike(_PHONE_CODES)
+    phone = F.when(before.rlike(_PHONE_CUE) & codes, 1).when(~codes, 0)
+    secret = before.rlike(_SECRET_CUE) | hit.rlike(_SECRET_FORM)
+    return F.when(span["kind"] == "email", mail).when(span["kind"] == "phone", phone).otherwise(secret.cast("int"))
 
 
 @dataclass(frozen=True)
@@ -149,31 +222,30 @@ class Selector:
     model: Boosted
     thresholds: dict[str, float]
 
-    def score(self, span: Column) -> Column:
-        return self.model.column(features(span))
-
-    def selects(self, span: Column, score: Column) -> Column:
+    def selected_score(self, span: Column) -> Column:
+        """The score of a span that is selected, null for others; features are computed once."""
         least = F.lit(1.5)
         for kind, value in self.thresholds.items():
             least = F.when(span["kind"] == kind, F.lit(value)).otherwise(least)
-        return score >= least
+        named = F.struct(*[f.alias(n) for f, n in zip(features(span), FEATURES, strict=True)])
+        score = _let(named, lambda f: self.model.column([f[n] for n in FEATURES]))
+        return _let(score, lambda value: F.when(value >= least, value))
 
 
 def fit(docs: DataFrame, text: str = "text", precision: float = 0.95, **options) -> Selector:
     """Fit on all candidates of ``docs``, counted in feature cells.
 
-    Labels are silver: whether a candidate lies in a validated base span, or a secret is
-    announced or of a known form. Half the texts (by a hash) fit the trees, the others
-    calibrate, per kind, the threshold that reaches ``precision``. Without candidates
-    nothing is added to the base spans.
+    Labels are silver, by signs in the candidate and before it (see ``_silver``), not by the
+    base rules; candidates without a sign take no part. Half the texts (by a hash) fit the
+    trees, the others calibrate, per kind, the threshold that reaches ``precision``. Without
+    candidates nothing is added to the base spans.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(body.alias("text")).where(proposed_needed(F.col("text")))
-    rows = rows.select(F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"),
-                       proposed_spans(F.col("text")).alias("spans"))
+    rows = rows.select(F.xxhash64("text").alias("h"), proposed_spans(F.col("text")).alias("spans"))
     rows = rows.select("h", F.explode(F.transform("spans", lambda s: F.struct(
         *[f.cast("int").alias(n) for f, n in zip(features(s), FEATURES, strict=True)],
-        _silver(s, F.col("base")).cast("int").alias("label")))).alias("cell"))
+        _silver(s).alias("label")))).alias("cell")).where("cell.label IS NOT NULL")
     counted = rows.groupBy((F.pmod("h", F.lit(2))).alias("fold"), *[F.col(f"cell.{n}") for n in FEATURES]).agg(
         F.sum("cell.label").alias("positive"), F.count(F.lit(1)).alias("total"))
     cells = np.array([tuple(r) for r in counted.collect()], dtype=np.float64).reshape(-1, len(FEATURES) + 3)
@@ -196,26 +268,24 @@ def added_spans(text: Column, base: Column, selector: Selector) -> Column:
     scored_type = "struct<start: int, end: int, score: double, kind: string>"
     scored = F.transform(proposed_spans(text), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"),
-        F.when(selector.selects(s, selector.score(s)), selector.score(s)).alias("score"), s["kind"].alias("kind")))
+        selector.selected_score(s).alias("score"), s["kind"].alias("kind")))
     fixed = F.transform(base, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lit(BASE_SCORE).alias("score"), s["kind"].alias("kind")))
     ordered = F.array_sort(F.concat(F.filter(scored, lambda s: s["score"].isNotNull()), fixed))
     none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(BASE_SCORE).alias("score"), F.lit("").alias("kind"))
 
-    def step(done: Column, span: Column) -> Column:
-        last = done["last"]
+    def step(last: Column, span: Column) -> tuple[Column, Column]:
         apart = span["start"] >= last["end"]
         both_base = (span["score"] == BASE_SCORE) & (last["score"] == BASE_SCORE)
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"),
                          last["score"].alias("score"), last["kind"].alias("kind"))
         current = F.when(apart | (span["score"] > last["score"]), span).when(both_base, wider).otherwise(last)
-        closed = F.when(apart & (last["score"] < BASE_SCORE), F.concat(done["kept"], F.array(last))).otherwise(done["kept"])
-        return F.struct(closed.alias("kept"), current.cast(scored_type).alias("last"))
+        closed = F.when(apart & (last["score"] < BASE_SCORE), F.array(last)).otherwise(nothing)
+        return current.cast(scored_type), closed
 
-    zero = F.struct(F.array().cast(f"array<{scored_type}>").alias("kept"), none.cast(scored_type).alias("last"))
-    done = F.aggregate(ordered, zero, step, lambda d: F.concat(
-        d["kept"], F.when(d["last"]["score"] < BASE_SCORE, F.array(d["last"])).otherwise(F.array().cast(f"array<{scored_type}>"))))
-    return done
+    nothing = F.array().cast(f"array<{scored_type}>")
+    done = _scanned(ordered, none.cast(scored_type), step, scored_type)
+    return _let(done, lambda d: F.concat(d["found"], F.when(d["state"]["score"] < BASE_SCORE, F.array(d["state"])).otherwise(nothing)))
 
 
 def find_spans(docs: DataFrame, selector: Selector, text: str, base: str, spans: str) -> DataFrame:
@@ -231,14 +301,15 @@ def find_spans(docs: DataFrame, selector: Selector, text: str, base: str, spans:
         return F.transform(array, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_base", F.when(proposed_needed(body), base_spans(body)).otherwise(F.array().cast(_SPAN_TYPE)))
-    rows = rows.withColumn("_added", F.when(proposed_needed(body), added_spans(body, F.col("_base"), selector)))
-    rows = rows.withColumns({base: narrow(F.col("_base")).cast(plain), "_more": narrow(F.coalesce("_added", F.array().cast(
-        "array<struct<start: int, end: int, score: double, kind: string>>"))).cast(plain)})
+    whole, added = free_name(docs, "base_with_hits"), free_name(docs, "added")
+    rows = docs.withColumn(whole, F.when(proposed_needed(body), base_spans(body)).otherwise(F.array().cast(_SPAN_TYPE)))
+    rows = rows.withColumn(added, F.when(proposed_needed(body), added_spans(body, F.col(whole), selector)))
+    more = narrow(F.coalesce(added, F.array().cast("array<struct<start: int, end: int, score: double, kind: string>>"))).cast(plain)
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    both = F.transform(F.concat(F.col(base), F.col("_more")), lambda s: F.struct(
+    own = narrow(F.col(whole)).cast(plain)
+    both = F.transform(F.concat(own, more), lambda s: F.struct(
         F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.withColumn(spans, narrow(F.array_sort(both)).cast(plain)).drop("_base", "_added", "_more")
+    return rows.withColumns({base: own, spans: narrow(F.array_sort(both)).cast(plain)}).drop(whole, added)
 
 
 def listed(spans: Column) -> Column:
@@ -252,16 +323,42 @@ def redact(docs: DataFrame, selector: Selector, text: str = "text") -> DataFrame
     Spans that overlap become one, named after the first. A text without any is unchanged,
     a null stays null; all rows and columns stay.
     """
-    found = find_spans(docs, selector, text, "_own", "_all")
-    ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(done: Column, span: Column) -> Column:
-        apart = span["start"] >= done["at"]
-        piece = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, span["start"] - done["at"]),
-                         F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(F.when(apart, piece).otherwise(done["out"]).alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
-
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cut = F.aggregate(ordered, zero, step, lambda d: F.concat(d["out"], F.substring(F.col(text), d["at"] + 1, F.length(text))))
-    clean = F.when(F.size("_all") > 0, cut).otherwise(F.col(text))
+    base, every, apart = free_name(docs, "base_spans"), free_name(docs, "all_spans"), free_name(docs, "apart_spans")
+    found = find_spans(docs, selector, text, base, every).withColumn(apart, _apart(F.col(every)))
+    clean = F.when(F.size(apart) > 0, _replaced(F.col(text), F.col(apart))).otherwise(F.col(text))
     return found.withColumn(text, clean).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def _apart(spans: Column) -> Column:
+    """The spans by start, those that overlap as one, named after the first."""
+    kind = "struct<start: int, end: int, kind: string>"
+    none = F.array().cast(f"array<{kind}>")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def step(last: Column, span: Column) -> tuple[Column, Column]:
+        apart = last["start"].isNull() | (span["start"] >= last["end"])
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"), last["kind"].alias("kind"))
+        closed = F.when(last["start"].isNotNull() & apart, F.array(last)).otherwise(none)
+        return F.when(apart, span).otherwise(wider).cast(kind), closed
+
+    first = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("start", "int"), ("end", "int"), ("kind", "string"))])
+    done = _scanned(ordered, first, step, kind)
+    return _let(done, lambda d: F.concat(d["found"], F.when(d["state"]["start"].isNotNull(), F.array(d["state"])).otherwise(none)))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with each of the spans, which do not overlap, replaced.
+
+    Spans go in blocks, each with its stretch of the text, so that positions are counted
+    from the start of a stretch and not from that of the text.
+    """
+    size = F.size(spans)
+    nexts = F.concat(F.slice(spans["start"], F.lit(2), size), F.array(F.length(text)))
+    zipped = F.arrays_zip(spans["start"].alias("start"), spans["end"].alias("end"), spans["kind"].alias("kind"), nexts.alias("next"))
+
+    def pieces(own: Column) -> Column:
+        first, last = own[0]["start"], F.element_at(own, -1)["next"]
+        return _let(F.substring(text, first + 1, last - first), lambda stretch: F.array_join(F.transform(own, lambda s: F.concat(
+            F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substring(stretch, s["end"] - first + 1, s["next"] - s["end"]))), ""))
+
+    return F.concat(F.substring(text, F.lit(1), spans[0]["start"]), _let(zipped, lambda z: F.array_join(_blocks(z, pieces), "")))
