@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from musterroll.llm.common import raw
+from musterroll.llm.common import free_name, raw
 from musterroll.operators.heat import with_previous
 from musterroll.session import written
 
@@ -238,10 +238,11 @@ def drop_repeated_lines(
     body = F.xxhash64(F.col(text))
     source = docs.select(F.col(doc_id).alias("doc"), body.alias("body"), F.col(text).alias("text"))
     runs = repeated_runs(source, gram_words, window_words)
-    runs = runs.select(*[F.col(c).alias(f"_cut_{c}") for c in [*KEY, "runs"]])
-    same = docs[doc_id].eqNullSafe(runs["_cut_doc"]) & (body == runs["_cut_body"])
+    own_doc, own_body, own_runs, cut_text = (free_name(docs, c) for c in ("cut_doc", "cut_body", "cut_runs", "cut_text"))
+    runs = runs.select(F.col("doc").alias(own_doc), F.col("body").alias(own_body), F.col("runs").alias(own_runs))
+    same = docs[doc_id].eqNullSafe(runs[own_doc]) & (body == runs[own_body])
     without = F.pandas_udf(_without, "struct<kept: string, lines: bigint, removed: bigint>")
-    cut = docs.join(runs, same, "left").withColumn("_cut", without(F.col(text), F.col("_cut_runs")))
-    columns = [F.col("_cut.kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    added = [F.col(f"_cut.{f}").alias(c) for f, c in (("lines", n_lines), ("removed", n_removed)) if c]
+    cut = docs.join(runs, same, "left").withColumn(cut_text, without(F.col(text), F.col(own_runs)))
+    columns = [F.col(f"{cut_text}.kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    added = [F.col(f"{cut_text}.{f}").alias(c) for f, c in (("lines", n_lines), ("removed", n_removed)) if c]
     return cut.select(*columns, *added)

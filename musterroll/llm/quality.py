@@ -164,12 +164,11 @@ def training_sample(
     The limit falls on the labels, so what is broadcast to the documents is bounded.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & keep)
-    known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    found = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id"))
-    found = found.select("_id", F.coalesce(F.col(text), F.lit("")).alias("_text"), "_label")
-    found = found.where(F.length("_text") <= longest_text)
-    return [(r["_text"], r["_label"]) for r in sorted(found.collect(), key=lambda r: (r["_id"], r["_text"]))]
+    known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= longest_text)
+    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: (r["id"], r["text"]))]
 
 
 def fit_on(
