@@ -26,9 +26,9 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores in front until no column of ``df`` has that name."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, wanted: str, *also: str | None) -> str:
+    """``wanted``, with underscores in front until no column of ``df`` nor one of ``also`` has that name."""
+    taken = {c.lower() for c in [*df.columns, *also] if c}
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted

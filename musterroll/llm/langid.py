@@ -244,7 +244,7 @@ def predict(
                 known += seen.tolist()
             yield pd.DataFrame({"lang": names, "score": scores, "known": known}, columns=["lang", "score", "known"])
 
-    found = free_name(docs, "found")
+    found = free_name(docs, "found", out_lang, out_score, out_known)
     columns = {out_lang: F.col(f"{found}.lang"), out_score: F.col(f"{found}.score")}
     if out_known is not None:
         columns[out_known] = F.col(f"{found}.known")

@@ -301,7 +301,7 @@ def find_spans(docs: DataFrame, selector: Selector, text: str, base: str, spans:
         return F.transform(array, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
     body = F.coalesce(F.col(text), F.lit(""))
-    whole, added = free_name(docs, "base_with_hits"), free_name(docs, "added")
+    whole, added = (free_name(docs, c, base, spans) for c in ("base_with_hits", "added"))
     rows = docs.withColumn(whole, F.when(proposed_needed(body), base_spans(body)).otherwise(F.array().cast(_SPAN_TYPE)))
     rows = rows.withColumn(added, F.when(proposed_needed(body), added_spans(body, F.col(whole), selector)))
     more = narrow(F.coalesce(added, F.array().cast("array<struct<start: int, end: int, score: double, kind: string>>"))).cast(plain)

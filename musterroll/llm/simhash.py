@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from musterroll.llm.common import raw, word_runs
+from musterroll.llm.common import free_name, raw, word_runs
 from musterroll.llm.components import components
 from musterroll.session import written
 
@@ -114,9 +114,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Repeats of the same row all carry that id; one of them stays. Rows with a null id
     cannot be told apart and stay. Columns are those of ``docs``.
     """
+    head, nth = free_name(docs, "head_doc"), free_name(docs, "nth_of_doc")
     groups = near_groups(docs, doc_id, text)
-    heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[doc_id] == F.col("_head"), "left_semi")
+    heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(head)).distinct()
+    kept = docs.join(heads, docs[doc_id] == F.col(head), "left_semi")
     order = Window.partitionBy(doc_id).orderBy(F.length(text).desc_nulls_last(), text)
-    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
