@@ -173,3 +173,16 @@ def test_bpe_cache_is_bounded_by_bytes():
     for i in range(1000):
         assert cache[f"word{i}"] == (1, 2)
     assert len(cache) < 20 and len(cache.older) < 20
+
+
+def test_counts_above_32_bits_stay_whole():
+    import numpy as np
+    import pandas as pd
+
+    from musterroll.llm import katz
+
+    keys = katz.squeeze(np.array([5, 9], dtype=np.uint64))
+    rows = pd.DataFrame({"bucket": [0] * 3, "keys": [keys] * 3, "counts": [katz.squeeze(np.array([2**32 - 1, 7], dtype=np.uint64))] * 3})
+    found = katz._summed("u8", 10)(rows).iloc[0]
+    assert katz.loosen(found["counts"], "u8").tolist() == [3 * (2**32 - 1), 21]
+    assert found["total"] == 3 * (2**32 + 6)
