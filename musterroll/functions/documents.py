@@ -146,3 +146,38 @@ def with_field(doc: Value, name: str, value: Value) -> Value:
     parts = {n: doc.field(n) for n in doc.kind.names} | {name: value}
     made = record(**parts)
     return Value(F.when(doc.column.isNotNull(), made.column), made.kind)
+
+
+_LEAF = "array<struct<path: string, value: string>>"
+
+
+def leaves(value: Value, path: Column) -> Column:
+    """All parts of a document that are not null, as paths with their texts.
+
+    A part of a struct is ``path.field``, of a map ``path[key]``, of a list ``path[name]``
+    if it has a name and no earlier one has the same, else ``path[#place]``.
+    """
+    none, kind = F.array().cast(_LEAF), value.kind
+    if isinstance(kind, T.StructType):
+        parts = [leaves(value.field(n), F.concat(path, F.lit(f".{n}"))) for n in kind.names]
+        return F.concat(*parts) if parts else none
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(value.column)
+        under = F.transform(entries, lambda e: leaves(
+            Value(e["value"], kind.valueType), F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(under), none)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)):
+        def place(item: Column, at: Column) -> Column:
+            number = F.concat(F.lit("#"), at.cast("string"))
+            if not _is_named_list(kind):
+                return number
+            named = item["name"].cast("string")
+            first = F.array_position(value.column["name"].cast("array<string>"), named) == at + 1
+            return F.when(named.isNotNull() & first, named).otherwise(number)
+
+        under = F.transform(value.column, lambda item, at: leaves(
+            Value(item, kind.elementType), F.concat(path, F.lit("["), place(item, at), F.lit("]"))))
+        return F.coalesce(F.flatten(under), none)
+    shown = F.to_json(value.column) if isinstance(kind, T.ArrayType) else value.column.cast("string")
+    leaf = F.array(F.struct(path.alias("path"), shown.alias("value")))
+    return F.when(value.column.isNotNull(), leaf).otherwise(none)

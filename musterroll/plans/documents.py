@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from musterroll.operators import children, expand
+from musterroll.operators import children, expand, sets
 from musterroll.plans import roles
 from musterroll.plans.registry import query
 from musterroll.plans.relations import fleet_plan
@@ -134,3 +134,22 @@ def group_documents(spark, sf):
         "namespace": "metadata.namespace", "cluster": "spec.cluster", "image": "spec.worker.spec.containers[0].image",
         "component": f"metadata['{word('component')}']",
     }))
+
+
+@query("o1_drift_paths", roles=("clusters",), sql=_CLUSTERS + """
+    SELECT cluster_id, 'document.metadata.labels[tier]' AS path, tier AS expected, NULL AS actual FROM base WHERE cluster_id % 10 = 1
+    UNION ALL SELECT cluster_id, 'document.metadata.labels[zone]', NULL, 'z' FROM base WHERE cluster_id % 10 = 1
+    UNION ALL SELECT cluster_id, 'document.spec.worker.replicas', CAST(minimum AS VARCHAR), CAST(minimum + 1 AS VARCHAR)
+              FROM base WHERE cluster_id % 10 = 2
+    UNION ALL SELECT cluster_id, 'document.spec.worker.spec.containers[worker].image', image, 'other' FROM base WHERE cluster_id % 10 = 3""")
+def drift_paths(spark, sf):
+    """Clusters with changed labels, replicas and images, by path."""
+    expected = roles.cluster_manifests(spark, sf).select("cluster_id", "document")
+    key, doc = F.col("cluster_id"), F.col("document")
+    worker = doc["spec"]["worker"]
+    other = F.transform(worker["spec"]["containers"], lambda c: c.withField("image", F.lit("other")))
+    labels = F.map_concat(F.map_filter(doc["metadata"]["labels"], lambda k, _: k != "tier"), F.create_map(F.lit("zone"), F.lit("z")))
+    changed = doc.withField("metadata", F.when(key % 10 == 1, doc["metadata"].withField("labels", labels)).otherwise(doc["metadata"]))
+    changed = changed.withField("spec", doc["spec"].withField("worker", F.when(key % 10 == 2, worker.withField("replicas", worker["replicas"] + 1))
+                                .when(key % 10 == 3, worker.withField("spec", worker["spec"].withField("containers", other))).otherwise(worker)))
+    return sets.drift_paths(expected, expected.select("cluster_id", changed.alias("document")), ["cluster_id"], ["document"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from musterroll.functions.documents import Value, merged
-from musterroll.operators import children
+from musterroll.operators import children, sets
 from musterroll.plans.roles import WORDS
 
 
@@ -88,3 +88,20 @@ def test_children_without_some_parts(spark):
     empty = cluster_rows(spark, metadata={"name": "foo"}, spec={})
     group = next(json.loads(r.manifest) for r in children.cluster_children(empty, WORDS).collect() if r.kind == "WorkerGroup")
     assert group["spec"] == {"cluster": "foo"} and group["metadata"]["annotations"] == {}
+
+
+def test_drift_by_path(spark):
+    kind = "d STRUCT<a: INT, m: MAP<STRING, STRING>, l: ARRAY<STRUCT<name: STRING, v: INT>>, n: ARRAY<INT>>"
+    left = spark.createDataFrame([
+        (1, (1, {"x": "1", "y": "2"}, [("p", 1), ("q", 2)], [1, 2])), (2, (None, None, None, None)), (3, (5, None, [], None)), (None, (1, None, None, None)),
+        (5, (1, {}, [("p", 1), ("p", 2), (None, 3)], None)), (6, None),
+    ], f"k INT, {kind}")
+    right = spark.createDataFrame([
+        (1, (1, {"y": "3", "z": "4"}, [("q", 2), ("p", 7)], [1])), (2, (None, {}, None, None)), (4, (9, None, None, None)), (None, (2, None, None, None)),
+        (5, (1, None, [("p", 1), ("p", 4), (None, 3)], None)), (6, None),
+    ], f"k INT, {kind}")
+    found = sorted((tuple(r) for r in sets.drift_paths(left, right, ["k"], ["d"]).collect()), key=repr)
+    assert found == sorted([
+        (1, "d.m[x]", "1", None), (1, "d.m[y]", "2", "3"), (1, "d.m[z]", None, "4"), (1, "d.l[p].v", "1", "7"), (1, "d.n", "[1,2]", "[1]"),
+        (3, "d.a", "5", None), (4, "d.a", None, "9"), (None, "d.a", "1", "2"), (5, "d.l[#1].v", "2", "4"),
+    ], key=repr)
