@@ -29,6 +29,8 @@ from musterroll.streaming.ticks import IDLE_CHECK_PERIOD
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 BUCKET_TIMEOUTS = 64
+#: Time that one entry of held rows covers.
+CHUNK_MICROS = 600 * MICROS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -112,43 +114,76 @@ def _frame(schema: str, rows: list[tuple]) -> Iterator[pd.DataFrame]:
 class InOrder(StatefulProcessor):
     """Holds rows until the watermark has passed them, then steps through them in order.
 
-    A key holds the rows of its lateness window, and what ``step`` keeps.
+    A key holds the rows of its lateness window, and what ``step`` keeps. Rows lie in chunks
+    of time, each one entry of a map: a row rewrites its own chunk only, and due chunks are
+    read, sorted and stepped through one after the other. What is kept goes once it says no
+    more than nothing does (``expires``) and no row is held.
     """
 
-    ROW = "t LONG, seq LONG, value LONG, start LONG"
+    ROWS = "t ARRAY<LONG>, seq ARRAY<LONG>, value ARRAY<LONG>, start ARRAY<LONG>"
     KEPT = "a LONG, b LONG"
     out = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.ROW)
+        self.held = handle.getMapState("held", "chunk LONG", self.ROWS)
         self.kept = handle.getValueState("kept", self.KEPT)
 
+    def _held(self, chunk: int) -> list[tuple]:
+        found = self.held.getValue((chunk,)) if self.held.containsKey((chunk,)) else None
+        return list(zip(*found, strict=True)) if found else []
+
+    def _hold(self, chunk: int, rows: list[tuple]) -> None:
+        self.held.updateValue((chunk,), tuple([r[i] for r in rows] for i in range(4)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            arrived = part[["at_micros", "at_seq", "value", "start"]].astype("object")
-            self.held.appendList([tuple(r) for r in arrived.itertuples(index=False)])
+            arrived = part[["at_micros", "at_seq", "value", "start"]]
+            for chunk, own in arrived.groupby(arrived["at_micros"] // CHUNK_MICROS):
+                own = own.astype("object").where(own.notna(), None)
+                self._hold(int(chunk), self._held(int(chunk)) + [tuple(r) for r in own.itertuples(index=False)])
             self.handle.registerTimer(int(arrived["at_micros"].min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.held.get())
-        due = sorted((r for r in rows if r[0] < now), key=lambda r: (r[0], r[1]))
-        rest = [r for r in rows if r[0] >= now]
-        if due:
-            self.held.put(rest) if rest else self.held.clear()
-        if rest:
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+        chunks = sorted(c for (c,) in self.held.keys())
         state = self.kept.get() if self.kept.exists() else None
-        state, found = self.step(state, due, now)
-        if state is not None:
-            self.kept.update(state)
-        yield from _frame(self.out, [(*key, *row) for row in found])
+        left = []
+        # An empty step at the end lets a state act on the time alone.
+        for chunk in [*(c for c in chunks if c * CHUNK_MICROS < now), None]:
+            rows = self._held(chunk) if chunk is not None else []
+            due = sorted((r for r in rows if r[0] < now), key=lambda r: (r[0], r[1]))
+            rest = [r for r in rows if r[0] >= now]
+            if due:
+                self._hold(chunk, rest) if rest else self.held.removeKey((chunk,))
+            left += [min(r[0] for r in rest)] if rest else []
+            # Time has come no further than the chunk's end while later chunks are due.
+            state, found = self.step(state, due, now if chunk is None else min(now, (chunk + 1) * CHUNK_MICROS))
+            yield from _frame(self.out, [(*key, *row) for row in found])
+        left += [c * CHUNK_MICROS for c in chunks if c * CHUNK_MICROS >= now][:1]
+        if left:
+            self.handle.registerTimer(max(min(left), now) // 1000 + 1)
+        self._keep(state, now, bool(left))
+
+    def _keep(self, state, now: int, rows_left: bool) -> None:
+        if state is None:
+            return
+        gone = self.expires(state)
+        if gone is not None and gone < now and not rows_left:
+            self.kept.clear()
+            return
+        self.kept.update(state)
+        if gone is not None:
+            self.handle.registerTimer(max(gone, now) // 1000 + 1)
 
     def step(self, state, due, now):
         raise NotImplementedError
 
+    def expires(self, state) -> int | None:
+        """The time from which the state can go, None if it has to stay."""
+        return None
+
 
 class Cooldown(InOrder):
     """Autoscaling steps, or with ``scaling=False`` a plain throttle."""
@@ -170,12 +205,19 @@ class Cooldown(InOrder):
             state = (new, t + self.cooldown)
         return state, found
 
+    def expires(self, state):
+        # After its pause a throttle lets the next row pass, as if it had seen none.
+        return None if self.scaling or state[1] is None else state[1]
+
 
 class Idle(InOrder):
-    """First check after an idle gap longer than the key's timeout, carried in ``value``."""
+    """First check after an idle gap longer than the key's timeout, carried in ``value``.
 
-    def __init__(self, period: int, out: str):
-        self.period, self.out = period * MICROS, out
+    A key that was shut down is marked, until ``forget`` seconds have passed.
+    """
+
+    def __init__(self, period: int, forget: int | None, out: str):
+        self.period, self.forget, self.out = period * MICROS, forget, out
 
     def step(self, state, due, now):
         found = []
@@ -185,26 +227,32 @@ class Idle(InOrder):
                 break
             if last is not None and shutdown < t:
                 found.append((last, shutdown))
-                state = (-1, -1)
+                state = (-1, shutdown)
                 break
             state = (t, ((t + timeout * MICROS) // self.period + 1) * self.period)
         if state is not None and state[0] != -1:
             if state[1] < now:
                 found.append(state)
-                state = (-1, -1)
+                state = (-1, state[1])
             else:
                 self.handle.registerTimer(state[1] // 1000 + 1)
         return state, found
 
+    def expires(self, state):
+        return None if self.forget is None or state[0] != -1 else state[1] + self.forget * MICROS
+
 
 class JobRun(InOrder):
-    """Follows the phase of a job; ``value`` numbers the phases of ``JOB_STATUS``."""
+    """Follows the phase of a job; ``value`` numbers the phases of ``JOB_STATUS``.
+
+    An ended job goes ``forget`` seconds after its end.
+    """
 
     KEPT = "code LONG, started LONG, ended LONG"
 
-    def __init__(self, out: str):
+    def __init__(self, forget: int | None, out: str):
         names = list(JOB_STATUS)
-        self.out, self.running = out, names.index("Running") + 1
+        self.forget, self.out, self.running = forget, out, names.index("Running") + 1
         self.final = [names.index(p) + 1 for p in FINAL_PHASES]
 
     def step(self, state, due, now):
@@ -216,6 +264,10 @@ class JobRun(InOrder):
             state = (code, started, ended)
         return state, [(*due[-1][:2], *state)] if due else []
 
+    def expires(self, state):
+        code, _, ended = state
+        return None if self.forget is None or code not in self.final or ended is None else ended + self.forget * MICROS
+
 
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -280,9 +332,13 @@ def throttle_stream(
 
 def idle_shutdowns_stream(
     activity: DataFrame, timeouts: DataFrame, key: str | list[str], ts: str, seq: str,
-    timeout: str, period: int = IDLE_CHECK_PERIOD,
+    timeout: str, period: int = IDLE_CHECK_PERIOD, forget: int | None = None,
 ) -> DataFrame:
-    """``idle_shutdowns`` on a watermarked stream; the watermark is the current time."""
+    """``idle_shutdowns`` on a watermarked stream; the watermark is the current time.
+
+    With ``forget``, a cluster that shows activity more than that many seconds after its
+    shutdown counts as created anew; with a generation among the keys, it does at once.
+    """
     key = _keys(key)
     watched = timeouts.where(F.col(timeout) > 0).select(
         *key, F.col(timeout).cast("long").alias("_timeout")
@@ -295,13 +351,16 @@ def idle_shutdowns_stream(
     )
     out = _out(rows, key, "idle_since LONG, shutdown_at LONG")
     names = {c: c for c in ("idle_since", "shutdown_at")}
-    return _timed(_in_order(rows, key, Idle(period, out)), names)
+    return _timed(_in_order(rows, key, Idle(period, forget, out)), names)
 
 
-def job_runs_stream(events: DataFrame, key: str, ts: str, seq: str, phase: str) -> DataFrame:
+def job_runs_stream(
+    events: DataFrame, key: str, ts: str, seq: str, phase: str, forget: int | None = None
+) -> DataFrame:
     """Runs of jobs on a watermarked stream: a row whenever events of a job became final.
 
-    The state holds phase, start and end. ``job_runs_table`` makes status fields of it.
+    The state holds phase, start and end, of an ended job for ``forget`` seconds more, after
+    which an event of it is that of a new job. ``job_runs_table`` makes status fields of it.
     """
     code = F.array_position(F.array(*[F.lit(p) for p in JOB_STATUS]), F.col(phase))
     rows = events.where(timed(F.col(key).isNotNull(), ts)).select(
@@ -310,7 +369,7 @@ def job_runs_stream(events: DataFrame, key: str, ts: str, seq: str, phase: str)
     )
     out = _out(rows, [key], "at_micros LONG, at_seq LONG, code LONG, started LONG, ended LONG")
     followed = rows.groupBy(key).transformWithStateInPandas(
-        JobRun(out), T.StructType.fromDDL(out), "append", "EventTime"
+        JobRun(forget, out), T.StructType.fromDDL(out), "append", "EventTime"
     )
     status = F.element_at(F.array(*[F.lit(s) for s in JOB_STATUS.values()]), F.col("code").cast("int"))
     times = {c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("started", "ended")}

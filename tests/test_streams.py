@@ -3,7 +3,9 @@
 import random
 from datetime import datetime, timedelta
 from pathlib import Path
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,81 @@ def test_ticks_ask_sources_in_order_and_only_ready_schedulers(spark):
     # 4 at 20 s; 30 s is within the cooldown; 6 is cut to 5 at 50 s.
     assert rows_of(plan.select("key", "desired", "moves", "current", "needed", "action")) == [
         (1, 5, 2, 1, 4, "up"), (2, 2, 0, 2, 0, "none"), (3, 0, 0, 0, 0, "none")]
+
+
+class Kept:
+    """The state of one key in memory, with the calls that the processors make."""
+
+    def __init__(self, processor):
+        self.maps, self.value, self.timers, self.most = {}, None, set(), 0
+        self.processor = processor
+        processor.init(self)
+
+    def getMapState(self, *_):
+        return SimpleNamespace(
+            keys=lambda: list(self.maps), containsKey=self.maps.__contains__, getValue=self._read,
+            updateValue=self.maps.__setitem__, removeKey=self.maps.pop)
+
+    def _read(self, key):
+        self.most = max(self.most, len(self.maps[key][0]))
+        return self.maps[key]
+
+    def getValueState(self, *_):
+        return SimpleNamespace(
+            exists=lambda: self.value is not None, get=lambda: self.value,
+            update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def feed(self, rows):
+        frame = pd.DataFrame(rows, columns=["at_micros", "at_seq", "value", "start"])
+        list(self.processor.handleInputRows((1,), iter([frame]), None))
+
+    def time(self, seconds):
+        """Let the watermark come to a time; the rows that follow."""
+        found, now = [], seconds * 1000
+        while due := [t for t in self.timers if t <= now]:
+            self.timers.difference_update(due)
+            frames = self.processor.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None)
+            found += [tuple(r) for f in frames for r in f.itertuples(index=False)]
+        return found
+
+
+def test_rows_of_a_hot_key_are_stepped_through_in_chunks():
+    rows = [(s * 1_000_000, s, 0, 0) for s in range(30_000)]
+    kept = Kept(live.Cooldown(45, False, "key LONG, at LONG, seq LONG, old INT, new INT"))
+    random.Random(1).shuffle(rows)
+    for at in range(0, len(rows), 5000):
+        kept.feed(rows[at : at + 5000])
+    found = [r[2] for r in kept.time(29_000)]
+    assert found == list(range(0, 29_000, 45)) and kept.most <= 600
+    assert [r[2] for r in kept.time(40_000)] == list(range(29_025, 30_000, 45))
+    assert not kept.maps and kept.value is None
+
+
+def test_ended_jobs_and_pauses_expire():
+    out = "key LONG, at LONG, seq LONG, code LONG, started LONG, ended LONG"
+    job = Kept(live.JobRun(100, out))
+    names = list(live.JOB_STATUS)
+    running, ended = names.index("Running") + 1, names.index(live.FINAL_PHASES[0]) + 1
+    job.feed([(10_000_000, 1, running, 0), (20_000_000, 2, ended, 0)])
+    assert job.time(30)[-1][-2:] == (10_000_000, 20_000_000) and job.value is not None
+    job.time(130)
+    assert job.value is None and not job.timers
+    kept_for_ever = Kept(live.JobRun(None, out))
+    kept_for_ever.feed([(20_000_000, 2, ended, 0)])
+    kept_for_ever.time(10**6)
+    assert kept_for_ever.value is not None
+
+
+@pytest.mark.parametrize("forget, shutdowns", [(None, 1), (1000, 2)])
+def test_recreated_clusters_are_shut_down_again(forget, shutdowns):
+    kept = Kept(live.Idle(5, forget, "key LONG, idle_since LONG, shutdown_at LONG"))
+    kept.feed([(0, 1, 60, 0), (30_000_000, 2, 60, 0)])
+    found = kept.time(500)
+    assert found == [(1, 30_000_000, 95_000_000)]
+    found += kept.time(1200)
+    kept.feed([(1_300_000_000, 3, 60, 0)])
+    found += kept.time(5000)
+    assert len(found) == shutdowns
