@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from musterroll.operators import children, expand, sets
+from musterroll.operators import children, expand, sets, validate
 from musterroll.plans import roles
 from musterroll.plans.registry import query
 from musterroll.plans.relations import fleet_plan
@@ -153,3 +153,67 @@ def drift_paths(spark, sf):
     changed = changed.withField("spec", doc["spec"].withField("worker", F.when(key % 10 == 2, worker.withField("replicas", worker["replicas"] + 1))
                                 .when(key % 10 == 3, worker.withField("spec", worker["spec"].withField("containers", other))).otherwise(worker)))
     return sets.drift_paths(expected, expected.select("cluster_id", changed.alias("document")), ["cluster_id"], ["document"])
+
+
+# What the documents of each kind have to hold.
+_TEXT, _COUNT, _ANY = {"type": "string"}, {"type": "integer", "minimum": 0}, {"type": "object"}
+_TEXTS = {"type": "object", "additionalProperties": _TEXT}
+_META = {"type": "object", "required": ["name"], "additionalProperties": True,
+         "properties": {"name": {"type": "string", "pattern": "^[a-z0-9-]+$"}, "labels": _TEXTS, "annotations": _TEXTS}}
+_CONTAINER = {"type": "object", "required": ["name"], "additionalProperties": True, "properties": {"name": _TEXT, "image": _TEXT}}
+_POD = {"type": "object", "required": ["containers"], "properties": {"containers": {"type": "array", "items": _CONTAINER}}}
+_WORKER = {"type": "object", "required": ["spec"], "properties": {"metadata": _ANY, "replicas": _COUNT, "spec": _POD}}
+_SERVICE = {"type": "object", "properties": {
+    "type": {"enum": ["ClusterIP", "NodePort", "LoadBalancer"]}, "selector": _TEXTS, "ports": {"type": "array", "items": _ANY}}}
+_SCHEDULER = {"type": "object", "required": ["spec", "service"], "properties": {"metadata": _ANY, "spec": _POD, "service": _SERVICE}}
+
+
+def _schema(required: list[str], **spec) -> dict:
+    return {"type": "object", "required": ["metadata", "spec"], "properties": {
+        "apiVersion": _TEXT, "kind": _TEXT, "metadata": _META, "status": _ANY,
+        "spec": {"type": "object", "required": required, "properties": spec}}}
+
+
+SCHEMAS = {
+    "Cluster": _schema(["worker", "scheduler"], idleTimeout={"type": "integer"}, worker=_WORKER, scheduler=_SCHEDULER),
+    "WorkerGroup": _schema(["cluster", "worker"], cluster=_TEXT, worker=_WORKER),
+    "Autoscaler": _schema(["cluster", "minimum", "maximum"], cluster=_TEXT, minimum=_COUNT, maximum=_COUNT),
+    "Pod": _schema(["containers"], **_POD["properties"]),
+}
+
+
+@query("f7_check_documents", roles=("clusters",), sql="""
+    SELECT cluster_id, 'Autoscaler' AS kind, 'spec.maximum' AS path, 'missing' AS problem FROM clusters WHERE cluster_id % 7 = 0
+    UNION ALL SELECT cluster_id, 'Autoscaler', 'spec.minimum', 'not of type integer' FROM clusters WHERE cluster_id % 9 = 0
+    UNION ALL SELECT cluster_id, 'Autoscaler', 'spec.minimum', 'too small' FROM clusters WHERE cluster_id % 9 = 1
+    UNION ALL SELECT cluster_id, 'Cluster', 'spec.scheduler.service.type', 'not one of the values' FROM clusters WHERE cluster_id % 5 = 0
+    UNION ALL SELECT cluster_id, 'Cluster', 'spec.scheduler.service.typo', 'unknown' FROM clusters WHERE cluster_id % 4 = 0
+    UNION ALL SELECT cluster_id, 'WorkerGroup', 'spec.worker.spec.containers[0].name', 'missing' FROM clusters
+              WHERE cluster_id % 6 = 0 AND cluster_id % 11 <> 3
+    UNION ALL SELECT cluster_id, 'WorkerGroup', '', 'not JSON' FROM clusters WHERE cluster_id % 11 = 3
+    UNION ALL SELECT cluster_id, 'Pod', 'metadata.name', 'not of the form' FROM clusters WHERE cluster_id % 8 = 0
+    UNION ALL SELECT cluster_id, 'Pod', 'extra', 'unknown' FROM clusters WHERE cluster_id % 8 = 1""")
+def check_documents(spark, sf):
+    """Documents of four kinds, of which some were damaged."""
+    key = F.col("cluster_id")
+    clusters = roles.cluster_manifests(spark, sf)
+    doc = F.col("document")
+    service = doc["spec"]["scheduler"]["service"]
+    typed = service.withField("type", F.when(key % 5 == 0, "Other").otherwise(service["type"])).withField(
+        "typo", F.when(key % 4 == 0, 1))
+    changed = doc.withField("spec", doc["spec"].withField("scheduler", doc["spec"]["scheduler"].withField("service", typed)))
+    container = F.struct(F.when(key % 6 != 0, "worker").alias("name"), F.lit("i:1").alias("image"))
+    group = F.to_json(F.struct(
+        F.struct(F.lit("g").alias("name")).alias("metadata"),
+        F.struct(F.lit("c").alias("cluster"), F.struct(F.struct(F.array(container).alias("containers")).alias("spec")).alias("worker")).alias("spec")))
+    low = F.when(key % 9 == 0, '"2"').when(key % 9 == 1, "-1").otherwise("2")
+    high = F.when(key % 7 == 0, "null").otherwise("5")
+    autoscaler = F.concat(F.lit('{"metadata":{"name":"a"},"spec":{"cluster":"c","minimum":'), low, F.lit(',"maximum":'), high, F.lit("}}"))
+    pod = F.concat(
+        F.lit('{"metadata":{"name":"'), F.when(key % 8 == 0, "Not A Name").otherwise("name"), F.lit('"},"spec":{"containers":[]}'),
+        F.when(key % 8 == 1, ',"extra":{}').otherwise(""), F.lit("}"))
+    texts = {"Cluster": F.to_json(changed), "WorkerGroup": F.when(key % 11 == 3, F.substring(group, 1, 20)).otherwise(group),
+             "Autoscaler": autoscaler, "Pod": pod}
+    rows = clusters.select(key, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), t.alias("body")) for k, t in texts.items()])).alias("d")).select("cluster_id", "d.*")
+    return validate.check_documents(rows, ["cluster_id"], "body", F.col("kind"), SCHEMAS)

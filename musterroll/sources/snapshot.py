@@ -11,7 +11,7 @@ from musterroll.operators.relate import orphans
 from musterroll.session import scratch_path
 from musterroll.sources.schemas import schema_of
 
-FILES_PER_BATCH = 64
+BYTES_PER_BATCH = 1 << 30
 
 
 def read_snapshot(
@@ -40,20 +40,23 @@ def read_watch(
     ts: str = "ts",
     lateness: str = "0 seconds",
     files: str | None = None,
-    files_per_batch: int = FILES_PER_BATCH,
+    bytes_per_batch: int = BYTES_PER_BATCH,
+    files_per_batch: int | None = None,
     closing: str | None = None,
 ) -> DataFrame:
     """The change feed as a stream with event time, from files that keep arriving.
 
-    A backlog is taken in batches of ``files_per_batch`` files, which bounds what one key
-    can bring into one task. The watermark follows every row of the feed; conditions that
-    are to stay above it have to be ``timed`` ones. ``closing`` is a folder from
+    A backlog is taken in batches of about ``bytes_per_batch`` (or of ``files_per_batch``
+    files, if given), which bounds what one key can bring into one task. The watermark
+    follows every row of the feed; conditions that are to stay above it have to be
+    ``timed`` ones. ``closing`` is a folder from
     ``closing_folder``: a row there, null but for its time, ends a backfill.
 
     Zone-less times become session-zone timestamps, which a watermark requires; keep
     the session in UTC.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    bound = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(schema).option(*bound)
     if files is not None:
         reader = reader.option("pathGlobFilter", files)
     feed = reader.parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from musterroll.functions.documents import Value, merged
-from musterroll.operators import children, sets
+from musterroll.operators import children, sets, validate
 from musterroll.plans.roles import WORDS
 
 
@@ -105,3 +105,24 @@ def test_drift_by_path(spark):
         (1, "d.m[x]", "1", None), (1, "d.m[y]", "2", "3"), (1, "d.m[z]", None, "4"), (1, "d.l[p].v", "1", "7"), (1, "d.n", "[1,2]", "[1]"),
         (3, "d.a", "5", None), (4, "d.a", None, "9"), (None, "d.a", "1", "2"), (5, "d.l[#1].v", "2", "4"),
     ], key=repr)
+
+
+def test_documents_against_their_schemas(spark):
+    schema = {"type": "object", "required": ["a", "l"], "properties": {
+        "a": {"type": "integer", "minimum": 1}, "s": {"type": "string", "enum": ["x", "y"]}, "b": {"type": "boolean"},
+        "m": {"type": "object", "additionalProperties": {"type": "string"}}, "free": {"type": "object"},
+        "l": {"type": "array", "items": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}}}}}}
+    rows = [
+        (1, "k", '{"a": 3, "l": [{"name": "n"}], "s": "x", "b": true, "m": {"p": "q"}, "free": {"any": [1]}}'),
+        (2, "k", '{"a": 0, "l": [{"name": 1}, {"nome": "n"}, 5], "s": "z", "b": 1, "m": {"p": 1}, "more": null}'),
+        (3, "k", '{"a": null, "l": {}}'), (4, "k", "[]"), (5, "k", "{"), (6, "k", None), (7, "other", "{}"), (8, "k", '{"a": 1.5, "l": []}'),
+        (9, None, "{}"), (10, "k", ""),
+    ]
+    df = spark.createDataFrame(rows, "id INT, kind STRING, body STRING")
+    found = sorted(tuple(r) for r in validate.check_documents(df, ["id"], "body", F.col("kind"), {"k": schema}).drop("kind").collect())
+    assert found == sorted([
+        (2, "a", "too small"), (2, "l[0].name", "not of type string"), (2, "l[1].name", "missing"), (2, "l[1].nome", "unknown"),
+        (2, "l[2]", "not an object"), (2, "s", "not one of the values"), (2, "b", "not of type boolean"), (2, "m[p]", "not of type string"),
+        (2, "more", "unknown"), (3, "a", "missing"), (3, "l", "not an array"), (4, "", "not an object"), (5, "", "not JSON"),
+        (8, "a", "not of type integer"), (10, "", "not JSON"),
+    ])
