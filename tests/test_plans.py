@@ -9,7 +9,7 @@ from musterroll.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {n for n in QUERIES if n.endswith("_stream")} | {"s2_read_watch", "t4_coalesce_updates"}
-PYTHON = {"t1_replay_autoscaler", "t3_throttle"}
+PYTHON = {"t1_replay_autoscaler", "t3_throttle", "t9_scaling_plan"}
 
 
 def plan_of(df):
