@@ -1,14 +1,17 @@
 """Language-model scoring with Katz backoff.
 
-Word counts cover every word. Pair counts cover all pairs whose second word is in the
-vocabulary (the most frequent words); in a first word, all others are one class. Counts
-are discounted by Good-Turing, and the weight of backing off is normalised exactly: for
-every history the probabilities of all words and of one unseen word sum to one.
-
-Tables lie in buckets by a hash of their key. Documents are read in blocks; a block asks
-each bucket once for the distinct keys that it holds, with the documents they occur in,
-and gets sums per document back. The most frequent words and pairs are known everywhere
-(their number is fixed), so no key that is asked for is in a large share of documents.
+Word counts cover every word, and pair counts every pair. Counts are discounted by
+Good-Turing, and the weight of backing off is normalised exactly: for every history the
+probabilities of all words and of one unseen word sum to one.
+
+The most frequent words (the vocabulary) and pairs are known to every task; what is known
+there changes no result. Of all other words, counts and backoff weights lie in buckets by
+their hash. A pair with such a word is rare: it is counted in the bucket of its second
+word, whose count it takes along, and ends in that of its first word, whose backoff weight
+it makes up; a rare pair after a vocabulary word stays. Documents are read in blocks;
+a block asks each bucket once for the distinct keys that it holds, with the documents they
+occur in, and gets sums per document back. As frequent words and pairs are not asked for,
+no key that is asked for is in a large share of documents.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ _TOTALS = ["total", "kinds", *[f"n{r}" for r in range(1, KEPT + 2)]]
 
 def squeeze(values: np.ndarray) -> bytes:
     """Compressed bytes, the first byte of every value first, then the second and so on."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -91,8 +94,8 @@ def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
 class Katz:
     """What every task knows: the vocabulary, its word probabilities and backoff weights.
 
-    Histories are numbers in the vocabulary; ``len(words)`` stands for all other words and
-    ``len(words) + 1`` for the start of a text.
+    A word's name is its number in the vocabulary, or its hash if it has none; the start of
+    a text has the number ``len(words) + 1``, and ``len(words)`` stands for no word.
     """
 
     words: np.ndarray
@@ -102,8 +105,7 @@ class Katz:
     word_factors: np.ndarray
     unseen: float
     per_token: float
-    word_buckets: int = 1
-    pair_buckets: int = 1
+    buckets: int = 1
     pair_factors: np.ndarray = field(default_factory=lambda: np.ones(KEPT + 1))
     seen_after: np.ndarray = field(default_factory=lambda: np.zeros(0))
     backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -116,6 +118,10 @@ class Katz:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at, len(self.words))
 
+    def rare(self, names: np.ndarray) -> np.ndarray:
+        """Whether these are names of words beyond the vocabulary."""
+        return names > np.uint64(len(self.words) + 1)
+
     def word_probability(self, counts: np.ndarray) -> np.ndarray:
         """Of a word with this count; all unseen words share what is left."""
         return np.where(counts > 0, discounted(counts, self.word_factors) * self.per_token, self.unseen)
@@ -163,6 +169,29 @@ def _counted(keys: np.ndarray, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
 
 
+def _distinct(keys: np.ndarray, others: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and the sums of their counts."""
+    order = np.lexsort((others, keys))
+    keys, others = keys[order], others[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (others[1:] != others[:-1])
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    return keys[at], others[at], sums
+
+
+def _counted_rare(kind: str, keys: np.ndarray, others: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Rare pairs with their counts in a block, for the buckets of ``keys``."""
+    keys, others, counts = _distinct(keys, others, np.ones(len(keys), dtype=np.int64))
+    rows = [(kind, b, squeeze(keys[own]), squeeze(others[own]), squeeze(counts[own])) for b, own in by_bucket(keys, buckets)]
+    return pd.DataFrame(rows, columns=["kind", "bucket", "keys", "others", "counts"])
+
+
+def _sizes(counts: np.ndarray) -> dict[str, int]:
+    few = np.bincount(np.minimum(counts, KEPT + 2), minlength=KEPT + 3)[1 : KEPT + 2].tolist()
+    return dict(zip(_TOTALS, [int(counts.sum()), len(counts), *few], strict=True))
+
+
 def _summed(kind: str, top: int):
     """Add up the counts of a bucket; with totals, and its ``top`` most frequent keys."""
 
@@ -173,19 +202,52 @@ def _summed(kind: str, top: int):
         sums = np.zeros(len(keys), dtype=np.int64)
         np.add.at(sums, place, counts.astype(np.int64))
         counts = sums
-        few = np.bincount(np.minimum(counts, KEPT + 2), minlength=KEPT + 3)[1 : KEPT + 2].tolist()
         best = np.lexsort((keys, -counts))[:top]
         first = {"bucket": int(block["bucket"].iloc[0]), "keys": squeeze(keys), "counts": squeeze(counts.astype(np.uint64))}
         first["top_keys"] = keys[best].astype(np.uint64).view(np.int64)
         first["top_counts"] = counts[best]
-        return pd.DataFrame([first | dict(zip(_TOTALS, [int(counts.sum()), len(keys), *few], strict=True))])
+        return pd.DataFrame([first | _sizes(counts)])
+
+    return summed
+
+
+def _joined(blobs: pd.Series, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[loosen(b, kind) for b in blobs]])
+
+
+def _summed_pairs(model: Katz, top: int):
+    """Add up the pairs of a bucket, by their kind.
+
+    ``pair``: both words in the vocabulary; ``first``: only the history is rare. ``second``,
+    by the rare second word, comes with the bucket's words (without ``others``), and the
+    second word's count goes along. It becomes ``own`` if the history is in the vocabulary,
+    else ``met``, turned round and for the bucket of the history.
+    """
+    plain = _summed("u4", top)
+
+    def summed(block: pd.DataFrame) -> pd.DataFrame:
+        kind, bucket = block["kind"].iloc[0], int(block["bucket"].iloc[0])
+        if kind == "pair":
+            return plain(block).assign(kind=kind, others=None, words=None)
+        known, block = block[block["others"].isna()], block[block["others"].notna()]
+        keys, others, counts = _distinct(_joined(block["keys"], "u8"), _joined(block["others"], "u8"), _joined(block["counts"], "i8"))
+        if kind == "first":
+            rows = [(kind, bucket, squeeze(keys), squeeze(others), squeeze(counts), None)]
+        else:
+            words = _joined(known["counts"], "i8")[np.searchsorted(_joined(known["keys"], "u8"), keys)]
+            rare, rows = model.rare(others), []
+            rows.append(("own", bucket, *[squeeze(v[~rare]) for v in (keys, others, counts, words)]))
+            order = np.flatnonzero(rare)[np.lexsort((keys[rare], others[rare]))]
+            for target, part in by_bucket(others[order], model.buckets):
+                rows.append(("met", target, *[squeeze(v[order[part]]) for v in (others, keys, counts, words)]))
+        found = pd.DataFrame(rows, columns=["kind", "bucket", "keys", "others", "counts", "words"]).assign(top_keys=None, top_counts=None)
+        # All that is counted here counts in the first row.
+        return found.assign(**{t: [n] + [0] * (len(found) - 1) for t, n in _sizes(counts).items()})
 
     return summed
 
 
-def _count_table(parts: DataFrame, kind: str, top: int, label: str) -> DataFrame:
-    schema = f"{_COUNTED}, top_keys array<bigint>, top_counts array<bigint>, " + ", ".join(f"{t} bigint" for t in _TOTALS)
-    return written(parts.groupBy("bucket").applyInPandas(_summed(kind, top), schema), label)
+_SUMMED = f"{_COUNTED}, top_keys array<bigint>, top_counts array<bigint>, " + ", ".join(f"{t} bigint" for t in _TOTALS)
 
 
 def _share(keys: int, buckets: int) -> int:
@@ -203,45 +265,63 @@ def _most_frequent(counted: DataFrame, n: int) -> list[tuple[int, int]]:
 
 
 def _pairs(model: Katz, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of a block: number, history and document."""
-    numbers = model.numbers(np.concatenate(hashes))
+    """Of all tokens of a block: name, name of the history, and document."""
+    tokens = np.concatenate(hashes)
+    numbers = model.numbers(tokens)
+    names = np.where(numbers < len(model.words), numbers.astype(np.uint64), tokens)
     sizes = np.array([len(h) for h in hashes])
-    history = np.empty_like(numbers)
-    history[1:] = numbers[:-1]
+    history = np.empty_like(names)
+    history[1:] = names[:-1]
     history[np.cumsum(sizes) - sizes] = len(model.words) + 1
-    return numbers, history, np.repeat(np.arange(len(sizes)), sizes)
+    return names, history, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _pair_keys(history: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (history.astype(np.uint32) << np.uint32(16)) | numbers.astype(np.uint32)
 
 
+def _rare_keys(history: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """64-bit hashes of rare pairs; one history's words never clash."""
+    mixed = (history ^ (history >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) + names
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def fit(docs: DataFrame, vocabulary: int = 65_000, hot_pairs: int = 65_536, bucket_tokens: int = 4_000_000):
     """Count ``docs`` (a column ``text``): the model, and the tables of word and pair counts.
 
-    ``vocabulary`` bounds what tasks hold in memory, not what is counted: the words beyond
-    it keep their own counts, and back off as words after any history.
+    ``vocabulary`` (65,000 at most) and ``hot_pairs`` bound what tasks hold in memory; the
+    model is the same whatever they are.
     """
     docs = docs.select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    word_buckets = 1 + size // (bucket_tokens * 24)
-    pair_buckets = 1 + size // (bucket_tokens * 6)
+    buckets = 1 + size // (bucket_tokens * 6)
+    vocabulary = min(vocabulary, 65_000)  # two numbers are one key of 32 bits
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, _, hashes in _text_blocks(batches):
-            yield _counted(np.concatenate(hashes), word_buckets)
+            yield _counted(np.concatenate(hashes), buckets)
 
-    words = _count_table(docs.mapInPandas(count_words, _COUNTED), "u8", _share(vocabulary, word_buckets), "words")
+    words = docs.mapInPandas(count_words, _COUNTED).groupBy("bucket").applyInPandas(_summed("u8", _share(vocabulary, buckets)), _SUMMED)
+    words = written(words, "words")
     model = word_model(_totals(words), _most_frequent(words, vocabulary))
-    model.word_buckets, model.pair_buckets = word_buckets, pair_buckets
+    model.buckets = buckets
 
     def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, _, hashes in _text_blocks(batches):
-            numbers, history, _ = _pairs(model, hashes)
-            known = numbers < len(model.words)
-            yield _counted(_pair_keys(history[known], numbers[known]), pair_buckets)
-
-    pairs = _count_table(docs.mapInPandas(count_pairs, _COUNTED), "u4", _share(hot_pairs, pair_buckets), "pairs")
+            names, history, _ = _pairs(model, hashes)
+            second, first = model.rare(names), model.rare(history)
+            plain, first = ~(first | second), first & ~second
+            yield _counted(_pair_keys(history[plain], names[plain]), buckets).assign(kind="pair", others=None)
+            yield _counted_rare("second", names[second], history[second], buckets)
+            yield _counted_rare("first", history[first], names[first], buckets)
+
+    pairs = docs.mapInPandas(count_pairs, f"{_COUNTED}, kind string, others binary").unionByName(words.select(
+        F.lit("second").alias("kind"), "bucket", "keys", F.lit(None).cast("binary").alias("others"), "counts"))
+    pairs = pairs.groupBy("kind", "bucket").applyInPandas(
+        _summed_pairs(model, _share(hot_pairs, buckets)), f"{_SUMMED}, kind string, others binary, words binary")
+    pairs = written(pairs, "pairs")
     totals = _totals(pairs)
     model.pair_factors = discounts([totals[f"n{r}"] for r in range(1, KEPT + 2)])
     model.hot_pairs, model.hot_counts = _hot(_most_frequent(pairs, hot_pairs))
@@ -249,6 +329,40 @@ def fit(docs: DataFrame, vocabulary: int = 65_000, hot_pairs: int = 65_536, buck
     return model, words, pairs
 
 
+def _mass(model: Katz, history: np.ndarray, counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per history: discounted counts of its pairs, and the probabilities of their words by the words' counts."""
+    own, place = np.unique(history, return_inverse=True)
+    direct = np.bincount(place, discounted(counts, model.pair_factors), len(own))
+    return own, direct, np.bincount(place, model.word_probability(words), len(own))
+
+
+def _rest(model: Katz, table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: words, counts and backoff weights; hashes of rare pairs and what they add to a score."""
+    kept = {k: table[table["kind"] == k] for k in ("words", "own", "first", "met")}
+    keys, of_words = _joined(kept["words"]["keys"], "u8"), _joined(kept["words"]["counts"], "i8")
+    numbers = _joined(kept["first"]["others"], "u8")
+
+    def joined(kind: str, column: str, dtype: str = "u8") -> np.ndarray:
+        return _joined(kept[kind][column], dtype)
+
+    history = np.concatenate([joined("first", "keys"), joined("met", "keys"), joined("own", "others")])
+    names = np.concatenate([numbers, joined("met", "others"), joined("own", "keys")])
+    counts = np.concatenate([joined(k, "counts", "i8") for k in ("first", "met", "own")])
+    words = np.concatenate([model.counts[numbers.astype(np.int64)], joined("met", "words", "i8"), joined("own", "words", "i8")])
+    rare, level = model.rare(history), np.empty(len(history))
+    place = np.searchsorted(keys, history[rare])
+    direct = np.bincount(place, discounted(counts[rare], model.pair_factors), len(keys))
+    lower = np.bincount(place, model.word_probability(words[rare]), len(keys))
+    seen, backoff = _weights(of_words.astype(float), direct, lower)
+    level[rare] = (np.log10(seen) + backoff)[place]
+    own = history[~rare].astype(np.int64)
+    level[~rare] = np.log10(model.seen_after[own]) + model.backoff[own]
+    gains = np.log10(discounted(counts, model.pair_factors)) - np.log10(model.word_probability(words)) - level
+    named = _rare_keys(history, names)
+    order = np.argsort(named)
+    return keys, of_words, backoff, named[order], gains[order]
+
+
 def _hot(top: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.array([k for k, _ in top], dtype=np.uint32)
     order = np.argsort(keys)
@@ -256,41 +370,50 @@ def _hot(top: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _normalise(model: Katz, pairs: DataFrame, n_docs: int) -> None:
-    """Backoff weights: what the counted pairs leave, over what their words leave."""
+    """Backoff weights of the vocabulary: what the counted pairs leave, over what their words leave."""
 
     def mass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
-                keys, counts = loosen(keys, "u4"), loosen(counts, "u8").astype(np.int64)
-                history, word = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
-                own, place = np.unique(history, return_inverse=True)
-                direct = np.bincount(place, discounted(counts, model.pair_factors), len(own))
-                lower = np.bincount(place, model.word_probability(model.counts[word]), len(own))
+            for row in batch.itertuples(index=False):
+                counts = loosen(row.counts, "i8")
+                if row.kind == "pair":
+                    keys = loosen(row.keys, "u4")
+                    history, words = (keys >> np.uint32(16)).astype(np.int64), model.counts[(keys & np.uint32(0xFFFF)).astype(np.int64)]
+                else:
+                    history, words = loosen(row.others, "i8"), loosen(row.words, "i8")
+                own, direct, lower = _mass(model, history, counts, words)
                 yield pd.DataFrame({"history": own, "direct": direct, "lower": lower})
 
-    found = pairs.select("keys", "counts").mapInPandas(mass, "history bigint, direct double, lower double")
+    found = pairs.where("kind in ('pair', 'own')").select("kind", "keys", "others", "counts", "words")
+    found = found.mapInPandas(mass, "history bigint, direct double, lower double")
     rows = found.groupBy("history").agg(F.sum("direct"), F.sum("lower")).collect()  # one per vocabulary word
     n = len(model.words)
-    seen = np.concatenate([model.counts, [model.total - model.counts.sum(), n_docs]]).astype(float)
+    seen = np.concatenate([model.counts, [0, n_docs]]).astype(float)
     direct, lower = np.zeros(n + 2), np.zeros(n + 2)
     for history, own, words in rows:
         direct[history], lower[history] = own, words
+    model.seen_after, model.backoff = _weights(seen, direct, lower)
+
+
+def _weights(seen: np.ndarray, direct: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per history: the occurrences that its pairs share, and the log10 weight of backing off."""
     # A history that leaves nothing gets one occurrence more.
     seen = np.where(seen - direct < 1e-6 * np.maximum(seen, 1), seen + 1, seen)
-    model.seen_after = np.maximum(seen, 1)
+    seen = np.maximum(seen, 1)
     left = np.maximum(1 - lower, 1e-12)
-    model.backoff = np.where(direct > 0, np.log10((1 - direct / model.seen_after) / left), 0.0)
+    return seen, np.where(direct > 0, np.log10((1 - direct / seen) / left), 0.0)
 
 
 _ASKED = "kind string, target bigint, block bigint, keys binary, counts binary, docs binary, ids array<{}>, flags array<boolean>"
 _FIELDS = ["kind", "target", "block", "keys", "counts", "docs", "ids", "flags"]
 
 
-def _asks(kind: str, block: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """The distinct keys of a block for each bucket, with the documents they occur in."""
+def _asks(kind: str, block: int, keys: np.ndarray, docs: np.ndarray, buckets: int, places: np.ndarray | None = None) -> Iterator[tuple]:
+    """The distinct keys of a block for each bucket (of ``places``, else of the keys), with the documents they occur in."""
     order = np.argsort(keys, kind="stable")
+    places = keys[order] if places is None else places[order]
     keys, docs = keys[order], docs[order]
-    for bucket, own in by_bucket(keys, buckets):
+    for bucket, own in by_bucket(places, buckets):
         distinct, counts = np.unique(keys[own], return_counts=True)
         yield (kind, bucket, block, squeeze(distinct), squeeze(counts.astype(np.uint32)),
                squeeze(docs[own].astype(np.uint16)), None, None)
@@ -301,13 +424,14 @@ def _ask(model: Katz):
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, rows, hashes in _text_blocks(batches):
-            numbers, history, docs = _pairs(model, hashes)
-            known, n = numbers < len(model.words), len(rows)
-            counts = np.where(known, np.append(model.counts, 0)[numbers], 0)
-            base = np.bincount(docs, np.log10(counts + 1.0), n)
-            score = np.bincount(docs, model.backoff[history], n)
-            score += np.bincount(docs[known], np.log10(model.word_probability(counts[known])), n)
-            pairs, owners = _pair_keys(history[known], numbers[known]), docs[known]
+            names, history, docs = _pairs(model, hashes)
+            known, led, n = ~model.rare(names), ~model.rare(history), len(rows)
+            plain = known & led
+            counts = model.counts[names[known].astype(np.int64)]
+            base = np.bincount(docs[known], np.log10(counts + 1.0), n)
+            score = np.bincount(docs[led], model.backoff[history[led].astype(np.int64)], n)
+            score += np.bincount(docs[known], np.log10(model.word_probability(counts)), n)
+            pairs, owners = _pair_keys(history[plain], names[plain]), docs[plain]
             if len(model.hot_pairs):
                 at = np.minimum(np.searchsorted(model.hot_pairs, pairs), len(model.hot_pairs) - 1)
                 hot = model.hot_pairs[at] == pairs
@@ -316,8 +440,10 @@ def _ask(model: Katz):
                 pairs, owners = pairs[~hot], owners[~hot]
             own = np.column_stack([np.bincount(docs, minlength=n), np.bincount(docs[known], minlength=n), base, score])
             out = [("own", block, block, squeeze(own.ravel()), None, None, list(rows.iloc[:, 0]), list(rows.iloc[:, 1]))]
-            out += _asks("word", block, np.concatenate(hashes)[~known], docs[~known], model.word_buckets)
-            out += _asks("pair", block, pairs, owners, model.pair_buckets)
+            out += _asks("word", block, names[~known], docs[~known], model.buckets)
+            out += _asks("pair", block, pairs, owners, model.buckets)
+            places = np.where(led, names, history)[~plain]
+            out += _asks("rare", block, _rare_keys(history[~plain], names[~plain]), docs[~plain], model.buckets, places)
             yield pd.DataFrame(out, columns=_FIELDS)
 
     return ask
@@ -327,27 +453,30 @@ def _answer(model: Katz):
     """Per asking block: sums per document of known words, base and model terms."""
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        kind = rows["kind"].iloc[0]
-        if kind == "own":
+        asks, table = rows[rows["block"] != -1], rows[rows["block"] == -1]
+        if rows["held"].iloc[0] == "block":
             return rows[["block", "keys", "docs", "ids", "flags"]].rename(columns={"keys": "sums"})
-        width = "u8" if kind == "word" else "u4"
-        table = rows[rows["block"] == -1]
-        keys, counts = np.zeros(0, width), np.zeros(0, np.int64)
-        if len(table):
-            keys, counts = loosen(table["keys"].iloc[0], width), loosen(table["counts"].iloc[0], "u8").astype(np.int64)
+        if rows["held"].iloc[0] == "pair":
+            keys, counts = _joined(table["keys"], "u4"), _joined(table["counts"], "i8")
+            held = {"pair": (keys, counts, model.pair_gain(keys, counts))}
+        else:
+            words, counts, backoff, pairs, gains = _rest(model, table)
+            held = {"word": (words, counts, backoff), "rare": (pairs, None, gains)}
         out = []
-        for row in rows[rows["block"] != -1].itertuples(index=False):
-            asked, times, docs = loosen(row.keys, width), loosen(row.counts, "u4"), loosen(row.docs, "u2")
-            found = np.zeros(len(asked), dtype=np.int64)
+        for row in asks.itertuples(index=False):
+            keys, counts, gains = held[row.kind]
+            asked, times, docs = loosen(row.keys, keys.dtype.str), loosen(row.counts, "u4"), loosen(row.docs, "u2")
+            found, gain, none = np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked)), np.zeros(len(asked))
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                found = np.where(keys[at] == asked, counts[at], 0)
-            if kind == "word":
-                terms = [found > 0, np.log10(found + 1.0), np.log10(model.word_probability(found))]
-            else:
-                gain = np.zeros(len(asked))
-                gain[found > 0] = model.pair_gain(asked[found > 0], found[found > 0])
-                terms = [np.zeros(len(asked)), np.zeros(len(asked)), gain]
+                there = keys[at] == asked
+                gain[there] = gains[at[there]]
+                if row.kind == "word":
+                    found[there] = counts[at[there]]
+            terms = [none, none, gain]
+            if row.kind == "word":
+                # Every word leads to another, so its weight of backing off counts as often as itself.
+                terms = [found > 0, np.log10(found + 1.0), np.log10(model.word_probability(found)) + gain]
             present, place = np.unique(docs, return_inverse=True)
             sums = [np.bincount(place, np.repeat(t.astype(float), times), len(present)) for t in terms]
             out.append((row.block, squeeze(np.column_stack(sums).ravel()), squeeze(present), None, None))
@@ -385,11 +514,16 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     model, words, pairs = fit(rows.where(~F.col("held")), **options)
     kind = rows.schema["doc"].dataType.simpleString()
     asked = rows.mapInPandas(_ask(model), _ASKED.format(kind))
-    for name, counted in (("word", words), ("pair", pairs)):
-        asked = asked.unionByName(counted.select(
-            F.lit(name).alias("kind"), F.col("bucket").cast("bigint").alias("target"), F.lit(-1).cast("bigint").alias("block"),
-            "keys", "counts", *[F.lit(None).cast(t).alias(c) for c, t in (("docs", "binary"), ("ids", f"array<{kind}>"), ("flags", "array<boolean>"))]))
-    answers = asked.groupBy("kind", "target").applyInPandas(
+    none = F.lit(None).cast("binary")
+    held = F.when(F.col("kind") == "own", "block").when(F.col("kind") == "pair", "pair").otherwise("rest")
+    asked = asked.withColumns({"held": held, "others": none, "words": none})
+    counts = words.select(F.lit("words").alias("kind"), "bucket", "keys", "counts", none.alias("others"), none.alias("words"))
+    counts = counts.unionByName(pairs.select("kind", "bucket", "keys", "counts", "others", "words"))
+    asked = asked.unionByName(counts.select(
+        "kind", F.when(F.col("kind") == "pair", "pair").otherwise("rest").alias("held"), F.col("bucket").cast("bigint").alias("target"),
+        F.lit(-1).cast("bigint").alias("block"), "keys", "counts", "others", "words", none.alias("docs"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("ids", f"array<{kind}>"), ("flags", "array<boolean>"))]))
+    answers = asked.groupBy("held", "target").applyInPandas(
         _answer(model), f"block bigint, sums binary, docs binary, ids array<{kind}>, flags array<boolean>")
     done = answers.groupBy("block").applyInPandas(
         _add_up(model), f"doc {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

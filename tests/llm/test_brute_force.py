@@ -414,3 +414,16 @@ def test_components_of_chains_and_stars(spark):
     roots = {r.node: r.root for r in components(frame, "a", "b").collect()}
     assert {roots[i] for i in range(100, 161)} == {100}
     assert {roots[i] for i in range(1, 30)} == {1} and roots[41] == 40 and 50 not in roots
+
+
+@pytest.mark.parametrize("vocabulary, hot_pairs", [(25, 7), (3, 0), (0, 5)])
+def test_scoring_is_katz_whatever_tasks_know(spark, vocabulary, hot_pairs):
+    """Words beyond the vocabulary are second words and histories of counted pairs too."""
+    rng = random.Random(8)
+    words = ["w%d" % min(int(rng.paretovariate(0.6)), 90) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(150)] + ["new words w80 w81 w1", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = katz.score(docs, F.col("doc_id") % 5 == 1, vocabulary=vocabulary, hot_pairs=hot_pairs, bucket_tokens=200).collect()
+    wanted = plain_katz([t for i, t in enumerate(texts) if i % 5 != 1], texts)
+    found = {r.doc_id: r.score for r in rows}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(wanted)
