@@ -5,6 +5,9 @@ for a ball around a whole fingerprint. A long fingerprint is therefore cut into
 piece emits its ball of variants within half a small radius, and texts that share a variant
 of some piece are candidates. There are as many pieces as let nearly all such pairs meet,
 and a piece has as many bits as keep chance meetings rare at the table's size.
+
+Where many texts share a variant, each first meets a few. What is then connected needs no
+further pairs; every other pair of the variant is compared in a second step.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from musterroll.llm.common import free_name, raw, word_runs
@@ -26,7 +29,7 @@ from musterroll.session import written
 SEED = 42
 #: Bits of the sketch that goes along with a variant.
 _SKETCH = 32
-#: Texts of a variant that a text meets, besides the smallest.
+#: Texts of a variant that a text meets in the first step, besides the smallest.
 _BEFORE = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,15 +85,16 @@ def plan_pieces(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def _candidates(classes: DataFrame, bits: int, pieces: int, differ: float) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``at`` that share a variant and agree in most bits.
+def _meetings(classes: DataFrame, bits: int, pieces: int, differ: float) -> DataFrame:
+    """``variant``, ``at``, ``size``, ``sketch``, ``others`` (met in the first step) and ``crowded``.
 
     ``classes`` has one row per different text: its number ``at``, its number of shingles and
     its fingerprint. Texts of a variant are ordered by their number of shingles and each
     meets the few before it and the smallest, so a group of n gives 4 n pairs at most. A
-    sketch of 32 further bits goes along and drops most chance meetings on the spot.
+    sketch of 32 further bits goes along and drops most chance meetings on the spot. A
+    variant is crowded if it has texts that do not all meet; all rows of it are kept.
     """
-    width, whole_bits = bits * pieces, 64 * _lanes(bits, pieces)
+    width = bits * pieces
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = np.left_shift(np.int64(1), np.arange(bits, dtype=np.int64))
@@ -110,12 +114,40 @@ def _candidates(classes: DataFrame, bits: int, pieces: int, differ: float) -> Da
     variants = variants.select("at", "size", "sketch", variant.alias("variant"))
     order = Window.partitionBy("variant").orderBy("size", "at")
     own = F.struct("at", "sketch")
-    met = variants.select(
-        F.col("at").alias("b"), F.col("sketch").alias("own"),
-        F.array(*[F.lag(own, n).over(order) for n in range(1, _BEFORE + 1)], F.first(own).over(order)).alias("others"))
-    pairs = met.select("b", "own", F.explode("others").alias("other")).where("b <> other.at")
-    pairs = pairs.where(F.bit_count(F.col("own").bitwiseXOR(F.col("other.sketch"))) <= _most_bits(differ, _SKETCH))
-    pairs = pairs.select(F.least("b", "other.at").alias("a"), F.greatest("b", "other.at").alias("b")).distinct()
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    others = F.array(*[F.lag(own, n).over(order) for n in range(1, _BEFORE + 1)], F.first(own).over(order))
+    met = variants.select("variant", "at", "size", "sketch", others.alias("others"), (F.count("at").over(whole) > _BEFORE + 2).alias("crowded"))
+    near = F.filter("others", lambda o: (o["at"] != F.col("at")) & _near(F.col("sketch"), o["sketch"], differ))
+    met = met.withColumn("others", F.array_distinct(F.transform(near, lambda o: o["at"])))
+    return met.where("crowded or size(others) > 0")
+
+
+def _near(left: Column, right: Column, differ: float) -> Column:
+    return F.bit_count(left.bitwiseXOR(right)) <= _most_bits(differ, _SKETCH)
+
+
+def _across(met: DataFrame, roots: DataFrame, differ: float, similarity: float) -> DataFrame:
+    """Pairs that share a crowded variant, but not a group of those that the first step found.
+
+    Of a variant, the texts of the group that has most of its rows are left out on one side;
+    no pair across groups has both ends in it. A text with less than the share of the
+    other's shingles cannot be similar.
+    """
+    rows = met.where("crowded").select("variant", "at", "size", "sketch")
+    rows = rows.join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
+    rows = written(rows, "crowded")
+    groups = rows.groupBy("variant", "root").agg(F.count("at").alias("n"))
+    mixed = groups.groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("root").alias("n"))
+    rows = written(rows.join(mixed.where("n > 1").drop("n"), "variant"), "mixed")
+    left = rows.where("root <> most").select("variant", *[F.col(c).alias(f"{c}_l") for c in ("at", "size", "sketch", "root")])
+    pairs = left.join(rows, "variant").where(
+        (F.col("root_l") != F.col("root")) & _near(F.col("sketch_l"), F.col("sketch"), differ)
+        & (F.least("size_l", "size") >= similarity * F.greatest("size_l", "size") - 1e-6))
+    return pairs.select(F.least("at_l", "at").alias("a"), F.greatest("at_l", "at").alias("b")).distinct()
+
+
+def _close(pairs: DataFrame, classes: DataFrame, differ: float, whole_bits: int) -> DataFrame:
+    """The pairs whose whole fingerprints agree in most bits."""
 
     @F.pandas_udf("int")
     def distance(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -191,9 +223,17 @@ def near_copies(
     # Written, so that the numbers stay; they are shorter than hashes where rows are many.
     classes = written(classes.withColumn("at", F.monotonically_increasing_id()), "classes")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    pairs = written(_candidates(classes, bits, pieces, differ), "pairs")
-    links = _similar(pairs, _texts_of(rows, classes, pairs), "a", "b", width, similarity)
-    roots = components(links, "a", "b").withColumnRenamed("node", "at")
+    met = written(_meetings(classes, bits, pieces, differ), "met")
+    first = met.select("at", F.explode("others").alias("other")).select(F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"))
+    pairs = written(_close(first.distinct(), classes, differ, 64 * lanes), "pairs")
+    links = written(_similar(pairs, _texts_of(rows, classes, pairs), "a", "b", width, similarity), "similar")
+    roots = components(links, "a", "b")
+    rest = _across(met, roots, differ, similarity).join(pairs, ["a", "b"], "left_anti")
+    rest = written(_close(rest, classes, differ, 64 * lanes), "pairs")
+    if not rest.isEmpty():
+        more = written(_similar(rest, _texts_of(rows, classes, rest), "a", "b", width, similarity), "similar")
+        roots = roots if more.isEmpty() else components(links.union(more), "a", "b")
+    roots = roots.withColumnRenamed("node", "at")
     # The head of a group is the class of its smallest document.
     groups = classes.join(roots, "at").select("root", "at", "first")
     heads = groups.groupBy("root").agg(F.min_by("at", "first").alias("head_at"), F.min("first").alias("head"))

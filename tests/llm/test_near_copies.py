@@ -186,3 +186,23 @@ def test_counts_above_32_bits_stay_whole():
     found = katz._summed("u8", 10)(rows).iloc[0]
     assert katz.loosen(found["counts"], "u8").tolist() == [3 * (2**32 - 1), 21]
     assert found["total"] == 3 * (2**32 + 6)
+
+
+def test_crowded_variants_lose_no_pair(spark, monkeypatch):
+    """All texts share every variant, and those that are alike lie far apart in it."""
+    import numpy as np
+
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(500)], []
+    for g in range(30):
+        text = [rng.choice(words) for _ in range(120)]
+        for k in range(rng.choice([1, 2, 3])):
+            other = list(text)
+            for i in range(k):
+                other[10 + 50 * i] = rng.choice(words)
+            rows.append((g + 30 * k, " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, F.rand(1))
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda hashes, lanes: np.zeros(64 * lanes, dtype=np.uint8))
+    found = {r.doc: r["head"] for r in nearcopies.near_copies(docs).collect()}
+    wanted = plain_heads(rows, 5, 0.8)
+    assert found == wanted and sum(d != h for d, h in found.items()) > 20
