@@ -7,7 +7,9 @@ of some piece are candidates. There are as many pieces as let nearly all such pa
 and a piece has as many bits as keep chance meetings rare at the table's size.
 
 Where many texts share a variant, each first meets a few. What is then connected needs no
-further pairs; every other pair of the variant is compared in a second step.
+further pairs. Of the rest, all pairs of a variant are compared where it has up to 32 texts.
+The texts of larger variants are joined without regard to variants, by the rarest of the
+shingles that set them apart from what their neighbours have in common; that is exact.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SEED = 42
 _SKETCH = 32
 #: Texts of a variant that a text meets in the first step, besides the smallest.
 _BEFORE = 3
+#: Up to so many texts of a variant all meet in the second step.
+_DIRECT = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,24 +130,118 @@ def _near(left: Column, right: Column, differ: float) -> Column:
     return F.bit_count(left.bitwiseXOR(right)) <= _most_bits(differ, _SKETCH)
 
 
-def _across(met: DataFrame, roots: DataFrame, differ: float, similarity: float) -> DataFrame:
-    """Pairs that share a crowded variant, but not a group of those that the first step found.
+def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of crowded variants whose texts are not all one group after the first step.
 
-    Of a variant, the texts of the group that has most of its rows are left out on one side;
-    no pair across groups has both ends in it. A text with less than the share of the
-    other's shingles cannot be similar.
+    ``root`` names a text's group, ``most`` the group with most rows of the variant, which
+    are ``n_most``, and ``n`` counts all rows of the variant.
     """
     rows = met.where("crowded").select("variant", "at", "size", "sketch")
     rows = rows.join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("root", "at"))
     rows = written(rows, "crowded")
     groups = rows.groupBy("variant", "root").agg(F.count("at").alias("n"))
-    mixed = groups.groupBy("variant").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("root").alias("n"))
-    rows = written(rows.join(mixed.where("n > 1").drop("n"), "variant"), "mixed")
+    top = groups.groupBy("variant").agg(F.max(F.struct("n", "root")).alias("top"), F.count("root").alias("roots"), F.sum("n").alias("n"))
+    top = top.where("roots > 1").select("variant", F.col("top.root").alias("most"), F.col("top.n").alias("n_most"), "n")
+    return written(rows.join(top, "variant"), "mixed")
+
+
+def _across(mixed: DataFrame, differ: float, similarity: float) -> DataFrame:
+    """Pairs of the smaller crowded variants that are not in one group.
+
+    Of a variant, the texts of the group that has most of its rows are left out on one side;
+    no pair across groups has both ends in it. A text with less than the share of the
+    other's shingles cannot be similar.
+    """
+    rows = mixed.where(F.col("n") <= _DIRECT).select("variant", "at", "size", "sketch", "root", "most")
     left = rows.where("root <> most").select("variant", *[F.col(c).alias(f"{c}_l") for c in ("at", "size", "sketch", "root")])
     pairs = left.join(rows, "variant").where(
         (F.col("root_l") != F.col("root")) & _near(F.col("sketch_l"), F.col("sketch"), differ)
         & (F.least("size_l", "size") >= similarity * F.greatest("size_l", "size") - 1e-6))
-    return pairs.select(F.least("at_l", "at").alias("a"), F.greatest("at_l", "at").alias("b")).distinct()
+    return _ordered(pairs, "at_l", "at").distinct()
+
+
+def _ordered(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    return pairs.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+
+
+def _hubs(mixed: DataFrame) -> DataFrame:
+    """``at``, ``size``, ``root`` and ``hub`` of the texts of larger variants.
+
+    The hub is the group that a text shares most rows of its variants with, each variant
+    counted by the group that has most of its rows.
+    """
+    rows = mixed.where(F.col("n") > _DIRECT)
+    led = rows.groupBy("at", "size", "root", "most").agg(F.sum("n_most").alias("n"))
+    return led.groupBy("at", "size", "root").agg(F.max_by("most", F.struct("n", "most")).alias("hub"))
+
+
+def _spaces(sets: DataFrame, ratio: float, similarity: float) -> DataFrame:
+    """Each text's ``items`` twice: what sets it apart from the centre of its hub, and all its shingles.
+
+    A hub's centre holds the shingles of more than half of its group's texts. Two texts of a
+    hub differ in the same shingles as their items do. Space -1 has the whole sets, for texts
+    of different hubs. Only texts of different ``kind`` are to meet: groups within a hub, hubs
+    in space -1. Two texts x and y are similar if and only if x and y differ in (x + y) / ratio
+    shingles at most; with e = ratio * items - shingles that asks for (e of x + e of y) /
+    (2 * ratio) common items. ``fewest`` is the least number that any partner leaves.
+    """
+    led = sets.join(sets.select(F.col("hub").alias("root")).distinct(), "root", "left_semi")
+    counts = led.select("root", F.explode("tokens").alias("token")).groupBy("root", "token").agg(F.count("*").alias("n"))
+    centres = counts.join(led.groupBy("root").agg(F.count("*").alias("texts")), "root").where("2 * n > texts")
+    centres = centres.groupBy("root").agg(F.collect_list("token").alias("centre")).withColumnRenamed("root", "hub")
+    around = sets.join(centres, "hub", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    apart = F.concat(F.array_except("tokens", "centre"), F.array_except("centre", "tokens"))
+    around = around.select(F.col("hub").alias("space"), "at", "size", "root", F.col("root").alias("kind"), apart.alias("items"))
+    whole = sets.select(F.lit(-1).cast("bigint").alias("space"), "at", "size", "root", F.col("hub").alias("kind"), F.col("tokens").alias("items"))
+    both = around.union(whole).withColumn("d", F.size("items")).withColumn("e", ratio * F.col("d") - F.col("size"))
+    both = written(both, "spaces")
+    low = both.where("space >= 0").groupBy("space").agg(F.min(F.struct("e", "at", "root")).alias("low"))
+    both = both.join(low, "space", "left")
+    least = F.coalesce("low.e", (ratio - 1) * similarity * F.col("size"))
+    return both.withColumn("fewest", _common(F.col("e"), least, ratio))
+
+
+def _common(left: Column, right: Column, ratio: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil((left + right) / (2 * ratio) - 1e-6))
+
+
+def _crossings(hubs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs that connect what similar texts of different groups connect, found without variants.
+
+    Texts near the centre of a hub, by sum of their distances, are surely similar; one pair
+    with the nearest text stands for all of these. All other similar pairs have items in
+    common, one of them among the rarest of either text: with items in one order, what comes
+    after the first common one bounds the common ones. Items of one kind of texts only are
+    never common to a pair in question and go first.
+    """
+    ratio = (1 + similarity) / max(1 - similarity, 1e-9)
+
+    @F.pandas_udf("array<bigint>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, width).view(np.int64) for t in texts], dtype=object)
+
+    texts = _texts_of(docs, classes, hubs.select("at"))
+    sets = written(hubs.join(texts, "at").withColumn("tokens", cut("text")).drop("text"), "sets")
+    spaces = _spaces(sets, ratio, similarity)
+    sure = _ordered(spaces.where("e + low.e <= 1e-6 and root <> low.root").withColumn("other", F.col("low.at")), "at", "other")
+    items = spaces.select("space", "at", "kind", "d", "fewest", F.explode("items").alias("item"))
+    often = items.groupBy("space", "item").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
+    shared = items.join(often.where("low < high").select("space", "item", "n"), ["space", "item"])
+    own = Window.partitionBy("space", "at")
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "item")) - 1
+    shared = shared.withColumn("place", place).where("place + fewest <= d").select("space", "item", "at", "place")
+    shared = shared.join(spaces.select("space", "at", "size", "root", "kind", "d", "e"), ["space", "at"])
+    shared = written(shared, "shared")
+    kinds = shared.groupBy("space", "item", "kind").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("space", "item").agg(F.max_by("kind", F.struct("n", "kind")).alias("most"), F.count("*").alias("n"))
+    left = shared.join(kinds.where("n > 1").drop("n"), ["space", "item"]).where("kind <> most").drop("most")
+    left = left.withColumnsRenamed({c: f"{c}_l" for c in left.columns if c not in ("space", "item")})
+    common = _common(F.col("e_l"), F.col("e"), ratio)
+    pairs = left.join(shared, ["space", "item"]).where(
+        "kind_l <> kind and root_l <> root and e_l + e > 1e-6").where(
+        (F.col("place_l") + common <= F.col("d_l")) & (F.col("place") + common <= F.col("d"))
+        & (F.least("size_l", "size") >= similarity * F.greatest("size_l", "size") - 1e-6))
+    return written(sure.union(_ordered(pairs, "at_l", "at")).distinct(), "crossings")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, differ: float, whole_bits: int) -> DataFrame:
@@ -170,7 +268,7 @@ def _most_bits(differ: float, bits: int) -> int:
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``at`` and text of the classes in the pairs: a text is only read where it is compared."""
+    """``at`` and text of the classes in the first two columns: a text is only read where it is compared."""
     ends = pairs.columns[:2]
     needed = pairs.select(F.explode(F.array(*ends)).alias("at")).distinct().join(classes.select("at", "first", "body"), "at")
     needed = written(needed, "needed")
@@ -228,8 +326,12 @@ def near_copies(
     pairs = written(_close(first.distinct(), classes, differ, 64 * lanes), "pairs")
     links = written(_similar(pairs, _texts_of(rows, classes, pairs), "a", "b", width, similarity), "similar")
     roots = components(links, "a", "b")
-    rest = _across(met, roots, differ, similarity).join(pairs, ["a", "b"], "left_anti")
-    rest = written(_close(rest, classes, differ, 64 * lanes), "pairs")
+    mixed = _mixed(met, roots)
+    rest = _close(_across(mixed, differ, similarity).join(pairs, ["a", "b"], "left_anti"), classes, differ, 64 * lanes)
+    hubs = written(_hubs(mixed), "hubs")
+    if not hubs.isEmpty():
+        rest = rest.union(_crossings(hubs, rows, classes, width, similarity).join(pairs, ["a", "b"], "left_anti")).distinct()
+    rest = written(rest, "pairs")
     if not rest.isEmpty():
         more = written(_similar(rest, _texts_of(rows, classes, rest), "a", "b", width, similarity), "similar")
         roots = roots if more.isEmpty() else components(links.union(more), "a", "b")

@@ -206,3 +206,57 @@ def test_crowded_variants_lose_no_pair(spark, monkeypatch):
     found = {r.doc: r["head"] for r in nearcopies.near_copies(docs).collect()}
     wanted = plain_heads(rows, 5, 0.8)
     assert found == wanted and sum(d != h for d, h in found.items()) > 20
+
+
+def around(rng, words, texts, most):
+    """Variants of a few templates, with up to ``most`` words changed."""
+    base = [[rng.choice(words) for _ in range(150)] for _ in range(3)]
+    base.append([w if rng.random() > 0.03 else rng.choice(words) for w in base[0]])
+    for d in range(texts):
+        text = list(base[d % 4])
+        for _ in range(rng.randrange(most + 1)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        yield d, " ".join(text[: rng.choice([150, 150, 140, 60])])
+
+
+def test_crowded_variants_need_no_square_of_pairs(spark, monkeypatch):
+    """All texts share every variant and few are alike: pairs grow with the texts, not with their square."""
+    import numpy as np
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    compared, similar = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda hashes, lanes: np.zeros(64 * lanes, dtype=np.uint8))
+    monkeypatch.setattr(nearcopies, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    rows = list(around(rng, words, 400, 14))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, F.rand(1))
+    found = {r.doc: r["head"] for r in nearcopies.near_copies(docs).collect()}
+    assert found == plain_heads(rows, 5, 0.8)
+    assert sum(compared) < 12 * len(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_crossings_connect_all_that_is_similar(spark, similarity):
+    """Whatever the hubs and groups: pairs and groups together connect what all pairs connect."""
+    rng = random.Random(int(10 * similarity))
+    words = [f"w{i}" for i in range(40)] + [f"r{i}" for i in range(3000)]
+    rows = list(around(rng, words, 160, 12)) + [(160 + i, " ".join(rng.choice(words) for _ in range(i))) for i in range(1, 9)]
+    sets = [nearcopies.shingles(t, 5) for _, t in rows]
+    like = [(i, j) for i in range(len(rows)) for j in range(i) if nearcopies.jaccard(sets[i], sets[j]) >= similarity]
+
+    def joined(pairs):
+        group = list(range(len(rows)))
+        for a, b in pairs:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+        return group
+
+    for known in ([], rng.sample(like, len(like) // 3)):
+        roots = joined(known)
+        hubs = [(d, len(s), roots[d], roots[rng.choice([d % 4, d % 4, rng.randrange(len(rows))])]) for d, s in enumerate(sets)]
+        docs = spark.createDataFrame(rows, "doc bigint, text string")
+        classes = docs.select(F.col("doc").alias("at"), F.col("doc").alias("first"), F.xxhash64("text").alias("body"))
+        hubs = spark.createDataFrame(hubs, "at bigint, size int, root bigint, hub bigint")
+        found = {(r.b, r.a) for r in nearcopies._crossings(hubs, docs, classes, 5, similarity).collect()}
+        assert joined([*known, *(p for p in found if p in set(like))]) == joined(like)
+        assert {p for p in like if roots[p[0]] != roots[p[1]]} and len(found) < len(rows) ** 2 / 8
