@@ -7,7 +7,7 @@ of some piece are candidates. There are as many pieces as let nearly all such pa
 and a piece has as many bits as keep chance meetings rare at the table's size.
 
 Where many texts share a variant, each first meets a few. What is then connected needs no
-further pairs. Of the rest, all pairs of a variant are compared where it has up to 32 texts.
+further pairs. Of the rest, all pairs of a variant are compared where it has up to 12 texts.
 The texts of larger variants are joined without regard to variants, by the rarest of the
 shingles that set them apart from what their neighbours have in common; that is exact.
 """
@@ -34,7 +34,7 @@ _SKETCH = 32
 #: Texts of a variant that a text meets in the first step, besides the smallest.
 _BEFORE = 3
 #: Up to so many texts of a variant all meet in the second step.
-_DIRECT = 32
+_DIRECT = 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
