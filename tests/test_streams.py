@@ -293,3 +293,76 @@ def test_recreated_clusters_are_shut_down_again(forget, shutdowns):
     kept.feed([(1_300_000_000, 3, 60, 0)])
     found += kept.time(5000)
     assert len(found) == shutdowns
+
+class Counted(Kept):
+    """The state of a group, which counts the calls that go to the engine."""
+
+    def __init__(self, processor):
+        self.calls = 0
+        processor.carried = ("LONG",)
+        super().__init__(processor)
+
+    def getMapState(self, *_):
+        return self._counted(super().getMapState())
+
+    def getValueState(self, *_):
+        return self._counted(super().getValueState())
+
+    def _counted(self, state):
+        def counted(call):
+            def run(*args):
+                self.calls += 1
+                return call(*args)
+            return run
+        return SimpleNamespace(**{name: counted(call) for name, call in vars(state).items()})
+
+    def registerTimer(self, at):
+        self.calls += 1
+        super().registerTimer(at)
+
+    def feed(self, rows):
+        frame = pd.DataFrame(rows, columns=["at_micros", "at_seq", "value", "start", "own0"])
+        list(self.processor.handleInputRows((0,), iter([frame]), None))
+
+
+def month(keys, rows, rng, value=lambda key: 0):
+    """Rows of some keys over 30 days, seconds apart or days, as they may arrive."""
+    found = [(rng.randrange(30 * 86_400) * 1_000_000, n, value(key), key % 3, key) for key in range(keys) for n in range(rows)]
+    rng.shuffle(found)
+    return found
+
+
+def stepped(step, rows):
+    """What one pass over the sorted rows of each key gives; ``step`` starts anew for a key."""
+    found = []
+    for key in sorted({r[4] for r in rows}):
+        found += [(key, *r) for r in step(sorted(r[:4] for r in rows if r[4] == key))]
+    return sorted(found)
+
+
+def passed(cooldown, scaling):
+    def step(rows):
+        found, count, wake = [], rows[0][3], None
+        for t, seq, value, _ in rows:
+            new = replay.next_replicas(count, value) if scaling else count
+            if (wake is None or t >= wake) and not (scaling and new == count):
+                found.append((t, seq, count, new))
+                count, wake = new, t + cooldown * 1_000_000
+        return found
+    return step
+
+
+def fed(kept, rows, parts=4):
+    for at in range(parts):
+        kept.feed(rows[at::parts])
+    return kept
+
+
+def test_keys_of_a_group_share_the_calls_of_an_autoscaler():
+    rng = random.Random(5)
+    rows = [(t, n, rng.randrange(12), start, key) for t, n, _, start, key in month(30, 60, rng)]
+    kept = fed(Counted(live.Cooldown(21_600, True, "own0 LONG, at LONG, seq LONG, old INT, new INT")), rows)
+    half = kept.time(15 * 86_400)
+    assert sorted(half + kept.time(40 * 86_400)) == stepped(passed(21_600, True), rows)
+    # 1,800 rows in as many entries took several calls each.
+    assert kept.calls < 150 and not kept.maps and kept.value is not None
