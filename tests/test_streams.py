@@ -366,3 +366,21 @@ def test_keys_of_a_group_share_the_calls_of_an_autoscaler():
     assert sorted(half + kept.time(40 * 86_400)) == stepped(passed(21_600, True), rows)
     # 1,800 rows in as many entries took several calls each.
     assert kept.calls < 150 and not kept.maps and kept.value is not None
+
+
+def test_one_timer_settles_the_idle_keys_of_a_group():
+    rng = random.Random(6)
+    rows = month(30, 60, rng, value=lambda key: 40_000 + 3_000 * key)
+
+    def step(rows):
+        for (t, _, timeout, _), after in zip(rows, [*rows[1:], (31 * 86_400 * 1_000_000, 0, 0, 0)]):
+            shutdown = ((t + timeout * 1_000_000) // 5_000_000 + 1) * 5_000_000
+            if shutdown < after[0]:
+                return [(t, shutdown)]
+        return []
+
+    kept = fed(Counted(live.Idle(5, None, "own0 LONG, idle_since LONG, shutdown_at LONG")), rows)
+    found = [r for day in range(0, 31, 3) for r in kept.time(day * 86_400)]
+    expected = stepped(step, rows)
+    assert sorted(found + kept.time(31 * 86_400)) == expected and 10 < len(expected) < 31
+    assert kept.calls < 300 and not kept.maps
