@@ -384,3 +384,44 @@ def test_one_timer_settles_the_idle_keys_of_a_group():
     expected = stepped(step, rows)
     assert sorted(found + kept.time(31 * 86_400)) == expected and 10 < len(expected) < 31
     assert kept.calls < 300 and not kept.maps
+
+
+@pytest.mark.parametrize("entry_rows", [4, 512])
+def test_throttled_rows_lie_in_few_entries_and_keep_their_order(monkeypatch, entry_rows):
+    monkeypatch.setattr(live, "ENTRY_ROWS", entry_rows)
+    rng = random.Random(7)
+    rows = [r for r in month(20, 60, rng) for _ in range(1 + (r[1] % 10 == 0))]
+    rows += [(t - t % 86_400_000_000, seq, 0, 0, key) for t, seq, _, _, key in rows[::3]]
+    rng.shuffle(rows)
+    kept = fed(Counted(live.Cooldown(21_600, False, "own0 LONG, at LONG, seq LONG, old INT, new INT")), rows, 7)
+    places = sorted(kept.maps)
+    held = [r for p in places for r in zip(*kept.maps[p])]
+    assert sorted(held) == sorted(rows) and [r[:2] for r in held] == sorted(r[:2] for r in held)
+    assert places == [min(zip(*kept.maps[p]))[:2] for p in places] and len(places) < 4 * len(rows) / entry_rows + 1
+    found = [r[:3] for day in range(0, 45, 4) for r in kept.time(day * 86_400)]
+    zeros = [(*r[:3], 0, r[4]) for r in rows]
+    assert sorted(found) == [r[:3] for r in stepped(passed(21_600, False), zeros)]
+    assert not kept.maps and kept.value is None
+
+
+def test_rows_without_seq_come_first_and_those_without_time_not_at_all():
+    kept = Kept(live.Cooldown(45, False, "key LONG, at LONG, seq LONG, old INT, new INT"))
+    kept.feed([(10_000_000, 7.0, 0, 0), (10_000_000, None, 0, 0), (None, 1.0, 0, 0), (60_000_000, 3.0, 0, 0)])
+    assert [(at, None if seq != seq else seq) for _, at, seq, *_ in kept.time(100)] == [(10_000_000, None), (60_000_000, 3)]
+
+
+@pytest.mark.parametrize("groups", [1, 4096])
+def test_throttle_by_keys_of_other_types(spark, feed, groups):
+    def typed(events):
+        key = F.col("key")
+        return events.select(
+            F.date_add(F.lit("2024-01-01").cast("date"), key.cast("int")).alias("day"),
+            F.unhex(F.lpad(F.hex(key + 250), 4, "0")).alias("raw"), (key / 3).alias("share"),
+            F.struct(key.alias("id"), F.when(key > 2, "x").alias("tag")).alias("at"),
+            (key / 10).cast("decimal(9,2)").alias("price"), "ts", "seq")
+
+    key = ["day", "raw", "share", "at", "price"]
+    found = settled(
+        spark, feed, lambda f: live.throttle_stream(typed(f), key, "ts", "seq", 45, groups=groups), "typed")
+    batch = replay.throttle(typed(feed[1]), key, "ts", "seq", 45)
+    assert found.schema[:5] == batch.schema[:5] and rows_of(found) == rows_of(batch)
