@@ -425,3 +425,28 @@ def test_throttle_by_keys_of_other_types(spark, feed, groups):
         spark, feed, lambda f: live.throttle_stream(typed(f), key, "ts", "seq", 45, groups=groups), "typed")
     batch = replay.throttle(typed(feed[1]), key, "ts", "seq", 45)
     assert found.schema[:5] == batch.schema[:5] and rows_of(found) == rows_of(batch)
+
+
+def test_jobs_of_a_group_give_one_row_each_time_they_are_settled():
+    rng = random.Random(8)
+    rows = month(25, 60, rng)
+    rows = [(t, seq, rng.randrange(len(live.JOB_STATUS) + 1), 0, key) for t, seq, _, _, key in rows]
+    out = "own0 LONG, at LONG, seq LONG, code LONG, started LONG, ended LONG"
+    job = live.JobRun(None, out)
+
+    def step(rows):
+        before, started, ended = None, None, None
+        for t, seq, code, _ in rows:
+            if code != before:
+                started = t if code == job.running else started
+                ended = t if code in job.final else ended
+            before = code
+        return [(t, seq, code, started, ended)]
+
+    kept = fed(Counted(job), rows)
+    plain = lambda found: sorted(tuple(None if v is None or v != v else int(v) for v in r) for r in found)
+    early = [r for r in rows if r[0] < 20 * 86_400_000_000]
+    assert plain(kept.time(20 * 86_400)) == stepped(step, early)
+    # All 1,500 rows were in entries of their own, and each gave a row.
+    assert plain(kept.time(40 * 86_400)) == [r for r in stepped(step, rows) if r[1] >= 20 * 86_400_000_000]
+    assert kept.calls < 150 and not kept.maps and len(kept.value[0]) == 25
